@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from groundline.llm import bpe
+from groundline.llm import bpe, urls
 
 QUERIES = {
+    "op1_url_filters": urls.op1_url_filters,
     "op3_bpe": bpe.op3_bpe,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_url_filters": urls.ORACLE,
+}
