@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from groundline.llm import bpe, urls
+from groundline.llm import bpe, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
     "op3_bpe": bpe.op3_bpe,
+    "op4_warc": warc.op4_warc,
 }
 ORACLE: dict[str, str] = {
     "op1_url_filters": urls.ORACLE,
+    "op4_warc": warc.ORACLE,
 }
