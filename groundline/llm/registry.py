@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from groundline.llm import bpe, packing, urls, warc
+from groundline.llm import bpe, packing, quality, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
     "op3_bpe": bpe.op3_bpe,
     "op4_warc": warc.op4_warc,
+    "op5_quality": quality.op5_quality,
     "op8_packing": packing.op8_packing,
 }
 ORACLE: dict[str, str] = {
