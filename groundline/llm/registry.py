@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundline.llm import bpe, packing, quality, urls, warc
+from groundline.llm import bpe, neardup, packing, quality, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -10,8 +10,10 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
     "op8_packing": packing.op8_packing,
+    "op10_neardup": neardup.op10_neardup,
 }
 ORACLE: dict[str, str] = {
     "op1_url_filters": urls.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op10_neardup": neardup.ORACLE,
 }
