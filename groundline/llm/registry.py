@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from groundline.llm import bpe, neardup, packing, quality, urls, warc
+from groundline.llm import bpe, neardup, packing, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_bpe": bpe.op3_bpe,
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
