@@ -1,9 +1,9 @@
 """Toxicity by a subsequence string-kernel support vector machine with Nystroem landmarks.
 
 Two words are alike by their common subsequences of three letters, weighted by DECAY for every letter they span, gaps
-included, and normalised; the third power makes chance likeness small. Sentences are sums over their words, so this is a
-convolution kernel. LANDMARKS words, taken from the training sentences (half by how much likelier they are in toxic
-documents, half common words), give every sentence its Nystroem features; a linear machine with squared hinge loss is
+included, and normalised; the third power makes chance likeness small. Sentences are sums over their distinct words, so this is a
+convolution kernel. LANDMARKS words, taken from the training sentences (four fifths by how much likelier they are in toxic
+documents, the others the most common words), give every sentence its Nystroem features; a linear machine with squared hinge loss is
 trained on them. Labels are of documents: in repeated rounds the sentences of a toxic document that look clean are taken
 for clean, except its worst. Training sentences are repeated with characters inserted into their words, so gapped insults
 score high too. A document's score is its worst sentence's margin, as a probability by a sigmoid fitted on the documents.
@@ -32,12 +32,15 @@ from pyspark.sql import types as T
 
 from groundline.llm.tables import cut, read
 
-SAMPLE, SAMPLE_CHARS = 1500, 20_000
-LANDMARKS = 48
-GRAM, DECAY, POWER = 3, 0.8, 3
+SAMPLE, SAMPLE_CHARS = 1000, 20_000
+LANDMARKS = 80
+GRAM, DECAY, POWER = 3, 0.9, 3
+#: Likeness below this is chance and counts as none.
+LEAST = 0.25
 LONGEST, SPAN = 40, 24
 THRESHOLD = 0.7
 CACHE = 300_000
+RIDGE = 0.0005
 CUT = re.compile(r"[.!?\n\r]+(?=\s|$)|[\n\r]+")
 SPACED = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
 NOT_LETTERS = re.compile(r"[\W_]+")
@@ -48,12 +51,12 @@ def letters(word: str) -> str:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The words of each sentence; single letters in a row are one word."""
+    """The distinct words of each sentence; single letters in a row are one word."""
     text = SPACED.sub(lambda m: re.sub(r"\s", "", m[0]), text)
     out = []
     for s in CUT.split(text):
         words = s.split()
-        out += [words[i : i + LONGEST] for i in range(0, len(words), LONGEST)]
+        out += [sorted(set(words[i : i + LONGEST])) for i in range(0, len(words), LONGEST)]
     return out
 
 
@@ -78,29 +81,44 @@ def subsequence_kernel(words: list[str], marks: list[str], block: int = 512) ->
             x[: len(words[i]), k] = [ord(c) for c in words[i]]
         shape = (len(rows), len(marks))
         # below[q][j]: subsequences of q letters in the word so far and the mark's first j letters, decayed to both ends
-        below = [[np.zeros(shape, np.float32) for _ in range(width + 1)] for _ in range(GRAM)]
-        for j in range(width + 1):
-            below[0][j] += 1
+        below = [np.zeros((width + 1, *shape), np.float32) for _ in range(GRAM)]
+        below[0] += 1
         total = np.zeros(shape, np.float32)
+        step, run = np.empty((width, *shape), np.float32), np.empty(shape, np.float32)
         for i in range(length):
-            same = [(x[i][:, None] == z[j][None, :]).astype(np.float32) for j in range(width)]
-            for j in range(width):  # the last letter, from the state before this letter
-                total += same[j] * below[GRAM - 1][j] * dd
+            same = np.where(x[i][None, :, None] == z[:, None, :], dd, np.float32(0))
+            np.multiply(same, below[GRAM - 1][:-1], out=step)  # the last letter, from the state before this letter
+            total += step.sum(0)
             for q in range(GRAM - 1, 0, -1):
-                run = np.zeros(shape, np.float32)
+                np.multiply(same, below[q - 1][:-1], out=step)
+                below[q] *= d
+                run[:] = 0
                 for j in range(width):
                     run *= d
-                    run += same[j] * below[q - 1][j] * dd
-                    below[q][j + 1] *= d
+                    run += step[j]
                     below[q][j + 1] += run
         out[rows] = total
     return out
 
 
+def least_self(n: int) -> float:
+    """What the kernel of any word of n letters with itself is at least: each subsequence meets itself."""
+    return sum((n - span + 1) * (span - 2) * DECAY ** (2 * span) for span in range(3, n + 1)) if n >= 3 else 0.0
+
+
+_least = np.array([least_self(n) for n in range(SPAN + 1)])
+
+
 def alike(words: list[str], marks: list[str], own: np.ndarray) -> np.ndarray:
     """Normalised kernel to the power of POWER; own: the marks' kernel with themselves."""
-    found = subsequence_kernel(words, marks)
-    return (found / np.sqrt(np.maximum(self_kernels(words), 1e-12)[:, None] * np.maximum(own, 1e-12)[None, :])) ** POWER
+    found = subsequence_kernel(words, marks) / np.sqrt(np.maximum(own, 1e-12)).astype(np.float32)
+    n = np.array([len(w) for w in words], int)
+    near = np.flatnonzero((found.max(1) if found.size else np.zeros(len(words))) >= 0.999 * LEAST * np.sqrt(_least[n]))
+    out = np.zeros_like(found)
+    if len(near):
+        part = found[near] / np.sqrt(np.maximum(self_kernels([words[i] for i in near]), 1e-12))[:, None]
+        out[near] = np.where(part < LEAST, 0, part) ** POWER
+    return out
 
 
 def self_kernels(words: list[str], block: int = 512) -> np.ndarray:
@@ -144,8 +162,8 @@ class Machine:
     shift: float
 
     def shares(self, words: list[str]) -> np.ndarray:
-        """Each word's share of its sentence's margin."""
-        parts = [(i, s) for i, w in enumerate(words) for s in spans(letters(w)) if len(s) >= GRAM]
+        """Each word's share of its sentence's margin; words are given by their letters."""
+        parts = [(i, s) for i, w in enumerate(words) for s in spans(w) if len(s) >= GRAM]
         out = np.zeros(len(words))
         if parts and self.marks:
             got = np.concatenate([alike([s for _, s in parts[k : k + 20_000]], self.marks, self.own) @ self.weights for k in range(0, len(parts), 20_000)])
@@ -201,12 +219,10 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Machine:
     for d, label in zip(docs, y, strict=True):
         seen[label].update({w for s in d for w in map(letters, s) if GRAM < len(w) <= SPAN})
     n = [max(1, int((y == c).sum())) for c in (0, 1)]
-    odds = {w: (k + 0.0) / n[1] * np.log(((k + 0.5) / (n[1] + 1)) / ((seen[0][w] + 0.5) / (n[0] + 1))) for w, k in seen[1].items()}
-    marks = sorted(odds, key=lambda w: (-odds[w], w))[: LANDMARKS // 2]
-    common = [w for w, _ in sorted((seen[0] + seen[1]).items(), key=lambda x: (-x[1], x[0])) if w not in marks]
-    marks += common[: LANDMARKS // 4]
-    rest = common[LANDMARKS // 4 :]
-    marks += [rest[i] for i in sorted(rng.choice(len(rest), min(len(rest), LANDMARKS - len(marks)), replace=False))] if rest else []
+    few = max(2, n[1] // 200)
+    odds = {w: np.log(((k + 0.5) / (n[1] + 1)) / ((seen[0][w] + 0.5) / (n[0] + 1))) * (k / n[1]) for w, k in seen[1].items() if k >= few}
+    marks = sorted((w for w in odds if odds[w] > 0), key=lambda w: (-odds[w], w))[: 4 * LANDMARKS // 5]
+    marks += [w for w, _ in sorted((seen[0] + seen[1]).items(), key=lambda x: (-x[1], x[0])) if w not in marks][: LANDMARKS - len(marks)]
     own = self_kernels(marks)
     gram = alike(marks, marks, own).astype(float)
     value, vector = np.linalg.eigh((gram + gram.T) / 2)
@@ -217,7 +233,13 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Machine:
         return w[: (k := int(rng.integers(1, len(w) - 1)))] + "aeioxrst"[int(rng.integers(8))] + w[k:] if 3 < len(w) < SPAN else w
 
     rows = [(i, s) for i, d in enumerate(docs) for s in d]
-    rows += [(i, [inserted(w) for w in s]) for i, s in rows]
+    first = np.array([sum(max(0.0, odds.get(letters(w), 0.0)) for w in s) for _, s in rows])
+    # of a toxic document the likeliest sentence is there once more, with inserted characters
+    likeliest: dict[int, int] = {}
+    for r, (i, _) in enumerate(rows):
+        if y[i] and first[r] > first[likeliest.setdefault(i, r)]:
+            likeliest[i] = r
+    rows += [(len(docs) + i, [inserted(w) for w in rows[r][1]]) for i, r in likeliest.items()]
     words = sorted({x for _, s in rows for w in s for x in spans(letters(w)) if len(x) >= GRAM})
     number = {w: k for k, w in enumerate(words)}
     features = np.concatenate([alike(words[k : k + 20_000], marks, own) for k in range(0, len(words), 20_000)])
@@ -227,24 +249,27 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Machine:
         if at:
             x[r] = features[at].sum(0)
     x = np.concatenate([x @ root, np.ones((len(x), 1))], 1)
-    doc = np.array([i for i, _ in rows])
-    copy = np.arange(len(rows)) >= len(rows) // 2  # each document is there twice: as it is, and with inserted characters
-    bag = doc + len(docs) * copy
-    label = np.where(y[doc] > 0, 1.0, -1.0)
+    bag = np.array([i for i, _ in rows])
+    toxic_bag = np.concatenate([y, y])[bag] > 0
+    label = np.where(toxic_bag & (bag >= len(docs)), 1.0, -1.0)
+    label[list(likeliest.values())] = 1.0
     worst = np.full(2 * len(docs), -np.inf)
-    for turn in range(6):
+    for _ in range(8):
         weight = np.where(label > 0, 0.5 / max(1, (label > 0).sum()), 0.5 / max(1, (label < 0).sum())) * len(label)
-        w = hinge_machine(x, label, weight)
+        w = hinge_machine(x, label, weight, RIDGE * len(label))
         margin = x @ w
         worst[:] = -np.inf
         np.maximum.at(worst, bag, margin)
-        new = np.where((y[doc] > 0) & ((margin > 0) | (margin >= worst[bag])), 1.0, -1.0)
-        if turn and (new == label).all():
+        new = np.where(toxic_bag & ((margin > 0) | (margin >= worst[bag])), 1.0, -1.0)
+        if (new == label).all():
             break
         label = new
+    there = np.isfinite(worst) | (np.arange(2 * len(docs)) < len(docs))
     worst = np.where(np.isfinite(worst), worst, w[-1])
-    slope, shift = sigmoid_fit(worst, np.tile(np.where(y > 0, 1, -1), 2))
-    return Machine(marks, own, (root @ w[:-1]).astype(np.float32), float(w[-1]), slope, shift)
+    slope, shift = sigmoid_fit(worst[there], np.tile(np.where(y > 0, 1, -1), 2)[there])
+    weights = root @ w[:-1]
+    used = np.flatnonzero(np.abs(weights) > 0.01 * np.abs(weights).max())
+    return Machine([marks[k] for k in used], own[used], weights[used].astype(np.float32), float(w[-1]), slope, shift)
 
 
 def held_out(key: Column) -> Column:
@@ -275,16 +300,22 @@ def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        known: dict[str, float] = {}
+        known: dict[str, float] = {}  # by word as written
+        by_letters: dict[str, float] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
                 docs_here = [sentences(t or "") for t in part.column(text).to_pylist()]
                 new = {w for d in docs_here for s in d for w in s}
                 if len(known) + len(new) > CACHE:
                     known.clear()
                 new = [w for w in new if w not in known]
-                known.update(zip(new, m.shares(new).tolist(), strict=True))
+                plain = list(map(letters, new))
+                if len(by_letters) > 2 * CACHE:
+                    by_letters.clear()
+                unseen = list({w for w in plain if w not in by_letters})
+                by_letters.update(zip(unseen, m.shares(unseen).tolist(), strict=True))
+                known.update(zip(new, map(by_letters.__getitem__, plain), strict=True))
                 get = known.__getitem__
                 margin = np.array([m.bias + max([sum(map(get, s)) for s in d], default=0.0) for d in docs_here])
                 yield pa.record_batch([part.column(key), pa.array(m.probability(margin))], names=[key, "score"])
