@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundline.llm import bpe, neardup, packing, quality, toxicity, urls, warc
+from groundline.llm import bpe, fingerprint, neardup, packing, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
     "op8_packing": packing.op8_packing,
+    "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_neardup": neardup.op10_neardup,
 }
 ORACLE: dict[str, str] = {
