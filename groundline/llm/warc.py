@@ -71,7 +71,7 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     return p.withColumn("block", block).select(F.concat(header, F.col("block")).alias("record"))
 
 
-def write(pages: DataFrame, path: str, compress: bool = False, rows_per_file: int = 20_000, **columns: str) -> None:
+def write(pages: DataFrame, path: str, compress: bool = False, rows_per_file: int = 4_000, **columns: str) -> None:
     """Write an archive folder: part files of at most rows_per_file records, gzipped as a whole if ``compress``."""
     out = records(pages, **columns).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", rows_per_file)
     out.option("compression", "gzip" if compress else "none").text(path)
@@ -183,7 +183,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write(read(spark, sf_dir, "pages"), path)
+    write(read(spark, sf_dir, "pages"), path, compress=True)
     number = lambda c: F.regexp_extract(c, r"^urn:page:(-?\d+)$", 1).try_cast("long")
     got = read_archives(spark, path).filter("kind = 'record'")
     return got.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), number("refers_to").alias("refers_to"))
