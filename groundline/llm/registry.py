@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundline.llm import bpe, fingerprint, neardup, packing, quality, toxicity, urls, warc
+from groundline.llm import bpe, fingerprint, license, neardup, packing, quality, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
+    "op7_license_scan": license.op7_license_scan,
     "op8_packing": packing.op8_packing,
     "op9_fingerprints": fingerprint.op9_fingerprints,
     "op10_neardup": neardup.op10_neardup,
@@ -17,5 +18,6 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op1_url_filters": urls.ORACLE,
     "op4_warc": warc.ORACLE,
+    "op7_license_scan": license.ORACLE,
     "op10_neardup": neardup.ORACLE,
 }
