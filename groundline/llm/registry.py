@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from groundline.llm import bpe, fingerprint, license, neardup, packing, quality, toxicity, urls, warc
+from groundline.llm import bpe, fingerprint, license, neardup, packing, quality, suffix, toxicity, urls, warc
 
 QUERIES = {
     "op1_url_filters": urls.op1_url_filters,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_bpe": bpe.op3_bpe,
     "op4_warc": warc.op4_warc,
     "op5_quality": quality.op5_quality,
+    "op6_suffix_dedup": suffix.op6_suffix_dedup,
     "op7_license_scan": license.op7_license_scan,
     "op8_packing": packing.op8_packing,
     "op9_fingerprints": fingerprint.op9_fingerprints,
