@@ -1,8 +1,60 @@
-"""The corpus pipeline: STAGES over documents."""
+"""The corpus pipeline: documents become training sequences.
 
-STAGES: list = []
+Quality rules reject documents, toxicity rejects documents, near-duplicates (five-word shingles, similarity of 0.8 or more)
+leave one document of each group, byte strings that stand elsewhere go from the texts, and what is left is packed into
+sequences. Every stage works on all that its predecessor kept; all but the last return the columns of documents. Nulls,
+empty texts, ties, repeated rows and empty tables have the results that the stages' operators state.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from groundline.llm import bpe, neardup, packing, quality, suffix, toxicity
+from groundline.llm.tables import cut, read
+from groundline.session import importable
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.quality_filter(docs)
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_filter(docs, read(spark, sf_dir, "labels"))
+
+
+def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.deduplicate(docs)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts without their repeated bytes; n_chars follows the text."""
+    left = suffix.remove_repeats(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(cut(packing.pieces(docs, bpe.tokenizer_path())))
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("toxicity", toxicity_stage),
+    ("neardup", neardup_stage),
+    ("suffix_dedup", suffix_stage),
+    ("packing", packing_stage),
+]
+#: The quality and toxicity models and the packing can't be written in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each one's rows written to the shared folder before the next one reads them."""
+    importable(spark)
+    docs = read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES, 1):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES):
+            docs = cut(docs)
+    return docs

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from groundline.llm.tables import cut, read
+from groundline.llm.tables import read
 
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
 LANDMARKS = 80
@@ -294,31 +294,40 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return [r["t"] for r in rows], [r["y"] for r in rows]
 
 
+class Scorer:
+    """Scores of texts with one machine; keeps the shares of words it has met, CACHE of them at most."""
+
+    def __init__(self, machine: Machine):
+        self.machine = machine
+        self.known: dict[str, float] = {}  # by word as written
+        self.by_letters: dict[str, float] = {}
+
+    def __call__(self, texts: list[str | None]) -> np.ndarray:
+        docs = [sentences(t or "") for t in texts]
+        new = {w for d in docs for s in d for w in s}
+        if len(self.known) + len(new) > CACHE:
+            self.known.clear()
+        new = [w for w in new if w not in self.known]
+        plain = list(map(letters, new))
+        if len(self.by_letters) > 2 * CACHE:
+            self.by_letters.clear()
+        unseen = list({w for w in plain if w not in self.by_letters})
+        self.by_letters.update(zip(unseen, self.machine.shares(unseen).tolist(), strict=True))
+        self.known.update(zip(new, map(self.by_letters.__getitem__, plain), strict=True))
+        get = self.known.__getitem__
+        return self.machine.probability(np.array([self.machine.bias + max([sum(map(get, s)) for s in d], default=0.0) for d in docs]))
+
+
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        known: dict[str, float] = {}  # by word as written
-        by_letters: dict[str, float] = {}
+        scorer = Scorer(shared.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                docs_here = [sentences(t or "") for t in part.column(text).to_pylist()]
-                new = {w for d in docs_here for s in d for w in s}
-                if len(known) + len(new) > CACHE:
-                    known.clear()
-                new = [w for w in new if w not in known]
-                plain = list(map(letters, new))
-                if len(by_letters) > 2 * CACHE:
-                    by_letters.clear()
-                unseen = list({w for w in plain if w not in by_letters})
-                by_letters.update(zip(unseen, m.shares(unseen).tolist(), strict=True))
-                known.update(zip(new, map(by_letters.__getitem__, plain), strict=True))
-                get = known.__getitem__
-                margin = np.array([m.bias + max([sum(map(get, s)) for s in d], default=0.0) for d in docs_here])
-                yield pa.record_batch([part.column(key), pa.array(m.probability(margin))], names=[key, "score"])
+                yield pa.record_batch([part.column(key), pa.array(scorer(part.column(text).to_pylist()))], names=[key, "score"])
 
     return docs.select(key, text).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("score", T.DoubleType())]))
 
@@ -330,9 +339,17 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that are not predicted toxic, with all their columns. Rows of one key go together."""
-    bad = cut(judge(docs, labels, key, text).filter("predicted = 1").select(F.col(key).alias("toxic_key")).distinct())
-    return docs.join(bad, docs[key].eqNullSafe(F.col("toxic_key")), "left_anti")
+    """The rows of docs that are not predicted toxic, with all their columns; nothing is moved."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels, key, text)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                yield part.filter(pa.array(scorer(part.column(text).to_pylist()) < THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
