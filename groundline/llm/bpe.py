@@ -30,7 +30,7 @@ MARK = ""
 #: Code points with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Entries of a worker's caches; a full cache is emptied. Bounds memory, never results.
-CACHE = 250_000
+CACHE = 600_000
 LONGEST_CACHED = 48
 
 
@@ -64,8 +64,9 @@ class PrefixBPE:
         for token, i in self.vocab.items():
             key = token[: -len(WORD_END)] + MARK if token.endswith(WORD_END) else token
             self.symbols[i] = key
-            self.automaton.add_word(key, (i, len(key)))
+            self.automaton.add_word(key, i)
         self.automaton.make_automaton()
+        self.length = [len(self.symbols.get(i, "")) for i in range(max(self.symbols) + 1)]
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.library = Tokenizer.from_file(path)
         # the file's pattern for lower-cased Latin-1, where the classes are short and no normal form changes a text
@@ -78,7 +79,7 @@ class PrefixBPE:
             self.parts[a + b] = (a, b)
         self.spines: tuple[dict, dict] = ({}, {})
         self.whole: dict[int, bool] = {}
-        self.pair: dict[tuple[int, int], bool] = {}
+        self.pair: dict[int, bool] = {}  # by left << 17 | right
         self.piece_ids: dict[str, tuple[int, ...]] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -114,7 +115,7 @@ class PrefixBPE:
                 symbols = list(self.symbols[right])
                 if symbols[-1] == MARK:
                     symbols[-2:] = [symbols[-2] + WORD_END]
-                found = self.whole[right] = self.merged(symbols) == [self.names[right]]
+                found = self.whole[right] = self.pair[left << 17 | right] = self.merged(symbols) == [self.names[right]]
             return found
         found = self.compatible(-1, right)
         if found:
@@ -126,36 +127,33 @@ class PrefixBPE:
                         break
                 if not found:
                     break
-        if len(self.pair) >= 4 * CACHE:
+        if len(self.pair) >= 2 * CACHE:
             self.pair.clear()
-        self.pair[left, right] = found
+        self.pair[left << 17 | right] = found
         return found
 
     def piece(self, piece: str) -> tuple[int, ...]:
         """Ids of one pre-token."""
         if (ids := self.piece_ids.get(piece)) is not None:
             return ids
-        word = (piece if piece.isascii() and piece.isprintable() and " " not in piece else "".join([self.bytes[b] for b in piece.encode()])) + MARK
-        n, pair, compatible = len(word), self.pair, self.compatible
-        last: list[int] = [-1] * (n + 1)  # by prefix: its last token
-        size: list[int] = [0] * (n + 1)
-        found = 0
-        for end, (token, length) in self.automaton.iter(word):
-            end += 1
-            if size[end] or end == n - 1:  # found already, or the word without its end
-                continue
-            before = last[end - length]
-            if (known := pair.get((before, token))) is None:
-                known = compatible(before, token)
-            if known:
-                last[end], size[end] = token, length
+        word = (piece if piece.isascii() and piece.isprintable() else "".join([self.bytes[b] for b in piece.encode()])) + MARK
+        n, known, length = len(word), self.pair, self.length
+        last = [-1] * (n + 1)  # by prefix: its last token
+        last[n - 1] = 0  # the word without its end is no prefix to look at
+        for end, token in self.automaton.iter(word):
+            if last[end + 1] < 0:
+                before = last[end + 1 - length[token]]
+                if (fits := known.get(before << 17 | token)) is None:
+                    fits = self.compatible(before, token)
+                if fits:
+                    last[end + 1] = token
         at = n
         out = []
         while at:
-            out.append(last[at])
-            if not size[at]:
+            if (token := last[at]) < 0:
                 raise ValueError(f"no token ends at prefix {at} of {piece!r}")
-            at -= size[at]
+            out.append(token)
+            at -= length[token]
         ids = tuple(out[::-1])
         if n <= LONGEST_CACHED:
             if len(self.piece_ids) >= CACHE:
@@ -179,7 +177,7 @@ class PrefixBPE:
     def words(self, text: str) -> list[str]:
         """White-space-separated parts of a text: no pre-token reaches over white space."""
         words = text.split()
-        if "\x1c" <= min(text, default="a") <= "\x1f" or any(c in text for c in "\x1c\x1d\x1e\x1f"):
+        if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
             words = [w for w in self.white(text) if w]  # str.split also cuts at these four
         return words
 
