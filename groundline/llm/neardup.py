@@ -6,9 +6,10 @@ of nodes is a candidate if at least ``MATCHES`` of ``COORDINATES`` values agree:
 that with a probability under 1e-6. Prefix merging: with values in order of rising frequency, such a pair shares one of
 its first COORDINATES - MATCHES + 1 values, so only these are posted; values that stand once use up places and are skipped.
 
-Posting lists are never expanded into all pairs at once. First every node is compared with the one leader of its lists
-with which it collides most; links found so far join nodes into components, twice. Then only pairs of nodes of different
-components are left, and all of them are compared. Candidates are confirmed on their full sets, so no false link stays;
+Posting lists are never expanded into all pairs at once. First every node is compared with the most central node of the
+lists it is in, of several the one with which it collides most; links found join nodes into components. In further rounds
+nodes outside a list's largest component are compared with its members, one a list and round. Then only pairs of nodes of
+different components are left, and all of them are compared. Candidates are confirmed on their full sets, so no false link stays;
 links within one component would not change the result.
 
 Null, empty and blank texts have an empty set, link with nothing and are components of their own. Fewer words than a
@@ -130,11 +131,12 @@ def wanted_sets(docs: DataFrame, nodes: DataFrame, text: str, words: int) -> Dat
 
 
 def _alike(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sizes and signatures allow the similarity."""
+    """(a, b, same): the pairs whose sizes and signatures allow the similarity, and how many coordinates agree."""
     side = lambda x: signed.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    return both.filter((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (same >= MATCHES)).select("a", "b")
+    sized = both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+    return sized.select("a", "b", same.alias("same")).filter(F.col("same") >= MATCHES)
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
@@ -159,59 +161,65 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent
 
 
 def postings(signed: DataFrame) -> DataFrame:
-    """(token, node): each node's prefix of rare coordinate values, those that stand once left out."""
-    tokens = signed.select("node", F.explode("signature").alias("token"))
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
-    own = tokens.join(counts, "token").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own"))
-    places = F.lit(COORDINATES - MATCHES + 1 - COORDINATES) + F.size("own")
-    return own.filter(places > 0).select("node", F.explode(F.slice("own", F.lit(1), places)).alias("t")).select("node", "t.token")
-
-
-def _components(links: list[DataFrame]) -> DataFrame | None:
-    found = [x for x in links if x is not None]
-    if not found:
-        return None
-    edges = found[0]
-    for more in found[1:]:
+    """(token, node, fame): each node's prefix of rare coordinate values, those that stand once left out.
+
+    Counts go by a 32-bit hash of the value: that keeps one order for all nodes, and a value that stands once is at worst
+    posted needlessly. fame sums the counts of a node's values: it is greatest in the middle of a group.
+    """
+    tokens = signed.select("node", F.explode("signature").alias("token")).withColumn("h", F.hash("token"))
+    counts = tokens.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+    own = tokens.join(counts, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own"), F.sum("n").alias("fame"))
+    places = F.size("own") - F.lit(MATCHES - 1)
+    return own.filter(places > 0).select("node", "fame", F.explode(F.slice("own", F.lit(1), places)).alias("t")).select("t.token", "node", "fame")
+
+
+def _components(links: list[DataFrame]) -> DataFrame:
+    edges = links[0]
+    for more in links[1:]:
         edges = edges.union(more)
     return components(edges)
 
 
 def _labelled(posted: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Postings with each node's component, without the lists that lie within one component."""
+    """Postings with each node's component and its size, without the lists that lie within one component."""
     if roots is None:
-        p = posted.withColumn("root", F.col("node"))
+        p = posted.withColumn("root", F.col("node")).withColumn("size", F.lit(1).cast("long"))
     else:
-        p = posted.join(roots.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+        sizes = roots.groupBy("component").agg(F.count("*").alias("size"))
+        r = roots.join(sizes, "component").withColumnRenamed("component", "root")
+        p = posted.join(r, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
     ends = p.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
     return p.join(ends.select("token"), "token")
 
 
-def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = 80, star_rounds: int = 2) -> DataFrame:
+def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = 80, star_rounds: int = 5) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of docs."""
     signed_rows = cut(sign(docs, key, text, words))
     signed = cut(signed_rows.filter("node is not null").dropDuplicates(["node"]).select("node", "n_shingles", "signature"))
     posted = cut(postings(signed))
     links: list[DataFrame] = []
     roots = None
-
-    def alike(pairs: DataFrame) -> DataFrame:
-        return _alike(pairs, signed, percent)
-
     for turn in range(star_rounds):
         p = _labelled(posted, roots)
-        rank = F.struct(F.xxhash64("node", F.lit(turn)), "node", "root")
+        # first a list's most central node, then nodes of its largest component in turn
+        rank = F.struct(-F.col("fame"), "node", "root") if not turn else F.struct(-F.col("size"), "root", F.xxhash64("node", "token", F.lit(turn)), "node")
         leaders = p.groupBy("token").agg(F.min(rank).alias("l")).select("token", F.col("l.node").alias("b"), F.col("l.root").alias("leader_root"))
         met = p.join(leaders, "token").filter("root <> leader_root").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
-        best = met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"))
-        found = _confirmed(alike(best), docs, text, words, percent)
+        if turn:  # few nodes are left: of their lists' leaders the two that look most alike
+            near = _alike(met.select("a", "b"), signed, percent).groupBy("a").agg(F.array_sort(F.collect_list(F.struct(-F.col("same"), "b"))).alias("m"))
+            pairs = near.select("a", F.explode(F.slice("m", 1, 2)).alias("m")).select("a", "m.b")
+        else:
+            pairs = _alike(met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")), signed, percent).select("a", "b")
+        found = _confirmed(pairs, docs, text, words, percent)
+        if found.isEmpty():
+            break
         links.append(found)
-        roots = _components(links)
-        roots = cut(roots) if roots is not None else None
+        roots = cut(_components(links))
+    # what star rounds could not join: all pairs of nodes of different components that share a rare value
     p = _labelled(posted, roots)
     q = p.select("token", F.col("node").alias("b"), F.col("root").alias("other"))
     rest = p.withColumnRenamed("node", "a").join(q, "token").filter("a < b and root <> other").select("a", "b").distinct()
-    links.append(_confirmed(alike(rest), docs, text, words, percent))
+    links.append(_confirmed(_alike(rest, signed, percent).select("a", "b"), docs, text, words, percent))
     roots = cut(_components(links))
     placed = signed_rows.select(key, "n_shingles", "node").join(roots, "node", "left").withColumn("class", F.coalesce("component", "node"))
     least = placed.filter("node is not null").groupBy("class").agg(F.min(key).alias("least"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,4 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint in the shared folder: survives lost executors, ends the lineage."""
     shared_dir(df.sparkSession)
+    release(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop shuffle and checkpoint files of tables that nothing refers to any more; it waits for collections."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
