@@ -6,6 +6,7 @@ Contract grids have 128 cells of 0.5 m a file side. Doubles are rounded once, at
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,11 +24,15 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
+#: Added before rounding in both engines, so that decimal ties at the fifth digit fall on the same side.
+NUDGE = 1e-9
+
+
 def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
         if sql:
-            ORACLE[name] = sql
+            ORACLE[name] = re.sub(r", ([234])\)", rf" + {NUDGE}, \1)", sql)
         return f
 
     return register
@@ -35,7 +40,11 @@ def query(name: str, sql: str | None = None):
 
 def r4(c: Column | str, name: str | None = None) -> Column:
     col = F.col(c) if isinstance(c, str) else c
-    return F.round(col, 4).alias(name or c)
+    return rounded(col).alias(name or c)
+
+
+def rounded(c: Column | str, digits: int = 4) -> Column:
+    return F.round((F.col(c) if isinstance(c, str) else c) + NUDGE, digits)
 
 
 P = derived_points
@@ -63,23 +72,22 @@ def dem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 T = "t AS (SELECT CAST(f AS INT) AS tile_id, (f % 2) * 64.0::DOUBLE + 0.25::DOUBLE AS tl_x, (f // 2 + 1) * 64.0::DOUBLE - 0.25::DOUBLE AS tl_y FROM range(4) r(f))"
 Q = "q AS (SELECT p.*, file_id AS tile_id FROM p WHERE NOT is_withheld)"
-B = "b AS (SELECT * FROM (SELECT q.*, tl_x, tl_y, CAST(round((x - tl_x) / 0.5::DOUBLE) AS INT) AS xi, CAST(round((tl_y - y) / 0.5::DOUBLE) AS INT) AS yi FROM q JOIN t USING (tile_id)) WHERE xi BETWEEN 0 AND 127 AND yi BETWEEN 0 AND 127)"
+B = "b AS MATERIALIZED (SELECT * FROM (SELECT q.*, tl_x, tl_y, CAST(round((x - tl_x) / 0.5::DOUBLE) AS INT) AS xi, CAST(round((tl_y - y) / 0.5::DOUBLE) AS INT) AS yi FROM q JOIN t USING (tile_id)) WHERE xi BETWEEN 0 AND 127 AND yi BETWEEN 0 AND 127)"
 GRID = "g AS (SELECT CAST(a.tile_id AS INT) AS tile_id, CAST(y.i AS INT) AS yi, CAST(x.i AS INT) AS xi FROM t a, range(128) y(i), range(128) x(i))"
 DEM = """bz AS (SELECT tile_id, yi // 8 AS bj, xi // 8 AS bi, avg(z) AS block_z FROM b WHERE classification IN (2, 9) GROUP BY ALL),
 tz AS (SELECT tile_id, avg(z) AS tile_z FROM b WHERE classification IN (2, 9) GROUP BY ALL),
-dem AS (SELECT g.tile_id, yi, xi, coalesce(block_z, tile_z) AS dem FROM g LEFT JOIN bz ON g.tile_id = bz.tile_id AND yi // 8 = bj AND xi // 8 = bi LEFT JOIN tz ON g.tile_id = tz.tile_id)"""
+dem AS MATERIALIZED (SELECT g.tile_id, yi, xi, coalesce(block_z, tile_z) AS dem FROM g LEFT JOIN bz ON g.tile_id = bz.tile_id AND yi // 8 = bj AND xi // 8 = bi LEFT JOIN tz ON g.tile_id = tz.tile_id)"""
 BASE = (T, Q, B)
 TERRAIN = (*BASE, GRID, DEM)
 H = "h AS (SELECT b.*, z - dem AS hag FROM b JOIN dem USING (tile_id, yi, xi))"
-CANOPY = "canopy AS (SELECT tile_id, yi, xi, pow(avg(pow(greatest(hag, 0.0::DOUBLE), 8)), 0.125::DOUBLE) AS height FROM h GROUP BY ALL)"
+CANOPY = "canopy AS MATERIALIZED (SELECT tile_id, yi, xi, pow(avg(pow(greatest(hag, 0.0::DOUBLE), 8)), 0.125::DOUBLE) AS height FROM h GROUP BY ALL)"
 
 
 def near_sql(source: str, layer: str) -> str:
     """SQL of a cell and its eight neighbours, clamped at the edges."""
-    join = lambda n, dy, dx: f"JOIN {source} {n} ON {n}.tile_id = a.tile_id AND {n}.yi = greatest(0, least(127, a.yi + {dy})) AND {n}.xi = greatest(0, least(127, a.xi + {dx}))"
-    names = {"nw": (-1, -1), "n": (-1, 0), "ne": (-1, 1), "w": (0, -1), "e": (0, 1), "sw": (1, -1), "s": (1, 0), "se": (1, 1)}
-    cols = ", ".join(f"j{k}.{layer} AS {k}" for k in names)
-    return f"n9 AS (SELECT a.tile_id, a.yi, a.xi, a.{layer} AS c, {cols} FROM {source} a " + " ".join(join(f"j{k}", *d) for k, d in names.items()) + ")"
+    row = f"r9 AS (SELECT tile_id, yi, xi, {layer} AS c, coalesce(lag({layer}) OVER r, {layer}) AS w, coalesce(lead({layer}) OVER r, {layer}) AS e FROM {source} WINDOW r AS (PARTITION BY tile_id, yi ORDER BY xi))"
+    cols = ", ".join(f"coalesce({f}({c}) OVER k, {c}) AS {n}" for n, f, c in (("nw", "lag", "w"), ("n", "lag", "c"), ("ne", "lag", "e"), ("sw", "lead", "w"), ("s", "lead", "c"), ("se", "lead", "e")))
+    return f"{row}, n9 AS (SELECT tile_id, yi, xi, w, c, e, {cols} FROM r9 WINDOW k AS (PARTITION BY tile_id, xi ORDER BY yi))"
 
 
 SOBEL = "sob AS (SELECT tile_id, yi, xi, (nw - ne + 2*w - 2*e + sw - se) / 1.0::DOUBLE AS v, (nw - sw + 2*n - 2*s + ne - se) / 1.0::DOUBLE AS h FROM n9)"
@@ -195,12 +203,12 @@ def hag(s: SparkSession, d: str) -> DataFrame:
 
 query("canopy_height_model", with_p("SELECT tile_id, yi, xi, round(height, 4) AS height FROM canopy", *TERRAIN, H, CANOPY))(lambda s, d: R.canopy_height(hag(s, d)).select(*R.KEY, r4("height")))
 query("height_above_ground", with_p("SELECT l_orderkey, l_linenumber, l_partkey, round(hag, 4) AS hag FROM h", *TERRAIN, H))(lambda s, d: hag(s, d).select("l_orderkey", "l_linenumber", "l_partkey", r4("hag")))
-query("height_band_filter", with_p("SELECT tile_id, count(*) AS n FROM h WHERE round(hag, 4) BETWEEN 0 AND 1.5 GROUP BY ALL", *TERRAIN, H))(lambda s, d: hag(s, d).filter(F.round("hag", 4).between(0, 1.5)).groupBy("tile_id").agg(F.count("*").alias("n")))
+query("height_band_filter", with_p("SELECT tile_id, count(*) AS n FROM h WHERE round(hag, 4) BETWEEN 0 AND 1.5 GROUP BY ALL", *TERRAIN, H))(lambda s, d: hag(s, d).filter(rounded("hag").between(0, 1.5)).groupBy("tile_id").agg(F.count("*").alias("n")))
 
 
 def _shaded(name: str, where: str) -> None:
-    layer = "lay AS (SELECT g.tile_id, g.yi, g.xi, coalesce(height, 0) AS height FROM g LEFT JOIN canopy USING (tile_id, yi, xi))"
-    only = f"canopy AS (SELECT tile_id, yi, xi, pow(avg(pow(greatest(hag, 0.0::DOUBLE), 8)), 0.125::DOUBLE) AS height FROM h WHERE {where} GROUP BY ALL)"
+    layer = "lay AS MATERIALIZED (SELECT g.tile_id, g.yi, g.xi, coalesce(height, 0) AS height FROM g LEFT JOIN canopy USING (tile_id, yi, xi))"
+    only = f"canopy AS MATERIALIZED (SELECT tile_id, yi, xi, pow(avg(pow(greatest(hag, 0.0::DOUBLE), 8)), 0.125::DOUBLE) AS height FROM h WHERE {where} GROUP BY ALL)"
     query(name, with_p(f"SELECT tile_id, yi, xi, {SHADE} FROM sob", *TERRAIN, H, only, layer, near_sql("lay", "height"), SOBEL))(
         lambda s, d: R.hillshade(R.filled(tiles(s, d), R.canopy_height(hag(s, d).filter(where)), "height", PX), "height").select(*R.KEY, r4("hillshade")))
 
@@ -212,7 +220,7 @@ v0 AS (SELECT q.*, tl_x, tl_y, CAST(round((x - tl_x) / 0.5::DOUBLE) AS INT) AS c
 v1 AS (SELECT v0.*, z - dem AS hag FROM v0 JOIN dem ON dem.tile_id = v0.tile_id AND dem.yi = greatest(0, least(127, cy)) AND dem.xi = greatest(0, least(127, cx)) WHERE cx BETWEEN -4 AND 131 AND cy BETWEEN -4 AND 131),
 v2 AS (SELECT v1.*, CAST(cy + a.i AS INT) AS yi, CAST(cx + b.i AS INT) AS xi FROM v1, range(-4, 5) a(i), range(-4, 5) b(i)),
 v3 AS (SELECT tile_id, yi, xi, hag, exp(-((x - (tl_x + 0.5*xi))*(x - (tl_x + 0.5*xi)) + (y - (tl_y - 0.5*yi))*(y - (tl_y - 0.5*yi))) / 2) AS w FROM v2 WHERE yi BETWEEN 0 AND 127 AND xi BETWEEN 0 AND 127 AND (x - (tl_x + 0.5*xi))*(x - (tl_x + 0.5*xi)) + (y - (tl_y - 0.5*yi))*(y - (tl_y - 0.5*yi)) <= 4),
-veg AS (SELECT tile_id, yi, xi, sum(CASE WHEN hag < 0.2 THEN w ELSE 0 END) / sum(w) AS ground, sum(CASE WHEN hag >= 0.2 AND hag < 1.5 THEN w ELSE 0 END) / sum(w) AS low, sum(CASE WHEN hag >= 1.5 AND hag < 3 THEN w ELSE 0 END) / sum(w) AS medium, sum(CASE WHEN hag >= 3 THEN w ELSE 0 END) / sum(w) AS high FROM v3 GROUP BY ALL)"""
+veg AS MATERIALIZED (SELECT tile_id, yi, xi, sum(CASE WHEN hag < 0.2 THEN w ELSE 0 END) / sum(w) AS ground, sum(CASE WHEN hag >= 0.2 AND hag < 1.5 THEN w ELSE 0 END) / sum(w) AS low, sum(CASE WHEN hag >= 1.5 AND hag < 3 THEN w ELSE 0 END) / sum(w) AS medium, sum(CASE WHEN hag >= 3 THEN w ELSE 0 END) / sum(w) AS high FROM v3 GROUP BY ALL)"""
 VEG = VEG[VEG.index("v0 AS") :]
 NDVD = "nd AS (SELECT g.tile_id, g.yi, g.xi, coalesce(CASE WHEN 0.5*low + 0.35*medium + 0.15*high + ground > 1e-12 THEN ((0.5*low + 0.35*medium + 0.15*high - ground) / (0.5*low + 0.35*medium + 0.15*high + ground) + 1) / 2 ELSE 0 END, 0) AS ndvd FROM g LEFT JOIN veg USING (tile_id, yi, xi))"
 
@@ -242,7 +250,7 @@ N9 = near_sql("dem", "dem")
 query("slope", with_p("SELECT tile_id, yi, xi, round(sqrt(v*v + h*h) / sqrt(2.0::DOUBLE), 4) AS slope FROM sob", *TERRAIN, N9, SOBEL))(lambda s, d: R.slope(dem(s, d), "dem").select(*R.KEY, r4("slope")))
 query("hillshade", with_p(f"SELECT tile_id, yi, xi, {SHADE} FROM sob", *TERRAIN, N9, SOBEL))(lambda s, d: R.hillshade(dem(s, d), "dem").select(*R.KEY, r4("hillshade")))
 query("terrain_change", with_p("""SELECT tile_id, yi, xi, round(sqrt(zx*zx + zy*zy + 25 * (xx*xx + 2*xy*xy + yy*yy)), 4) AS terrain_change FROM (SELECT tile_id, yi, xi, (e-w)/1.0::DOUBLE AS zx, (n-s)/1.0::DOUBLE AS zy, (e-2*c+w)/0.25::DOUBLE AS xx, (n-2*c+s)/0.25::DOUBLE AS yy, (ne-nw-se+sw)/1.0::DOUBLE AS xy FROM n9)""", *TERRAIN, N9))(lambda s, d: R.terrain_change(dem(s, d), "dem").select(*R.KEY, r4("terrain_change")))
-query("normal_vectors", with_p("SELECT tile_id, yi, xi, round(-(se - sw + 2*(e-w) + ne - nw) / 4.0::DOUBLE, 4) + 0.0 AS nx, round(-(nw - sw + 2*(n-s) + ne - se) / 4.0::DOUBLE, 4) + 0.0 AS ny FROM n9", *TERRAIN, N9))(lambda s, d: R.normals(dem(s, d), "dem").select(*R.KEY, (F.round("nx", 4) + 0.0).alias("nx"), (F.round("ny", 4) + 0.0).alias("ny")))
+query("normal_vectors", with_p("SELECT tile_id, yi, xi, round(-(se - sw + 2*(e-w) + ne - nw) / 4.0::DOUBLE, 4) + 0.0 AS nx, round(-(nw - sw + 2*(n-s) + ne - se) / 4.0::DOUBLE, 4) + 0.0 AS ny FROM n9", *TERRAIN, N9))(lambda s, d: R.normals(dem(s, d), "dem").select(*R.KEY, (rounded("nx") + 0.0).alias("nx"), (rounded("ny") + 0.0).alias("ny")))
 SUMS = "bs AS (SELECT a.tile_id, a.yi, a.xi, sum(m.d) AS d, count(*) AS n FROM dd a JOIN dd m ON m.tile_id = a.tile_id AND m.yi BETWEEN a.yi - 2 AND a.yi + 2 AND m.xi BETWEEN a.xi - 2 AND a.xi + 2 GROUP BY ALL)"
 PLANE = "pl AS (SELECT tile_id, yi, xi, dem, 40 + 0.05 * xi + 0.02 * yi AS plane FROM dem)"
 
@@ -265,8 +273,8 @@ def moment_sums(s: SparkSession, d: str) -> DataFrame:
 
 
 _pass = lambda source, part, order: "SELECT tile_id, yi, xi, " + ", ".join(f"sum({m}) OVER (PARTITION BY tile_id, {part} ORDER BY {order} ROWS BETWEEN 6 PRECEDING AND 6 FOLLOWING) AS {m}" for m in R.MOMENTS) + f" FROM {source}"
-BOXES = "mg AS (SELECT g.tile_id, g.yi, g.xi, " + ", ".join(f"coalesce({m}, 0) AS {m}" for m in R.MOMENTS) + f" FROM g LEFT JOIN mo USING (tile_id, yi, xi)), m1 AS ({_pass('mg', 'yi', 'xi')}), m2 AS ({_pass('m1', 'xi', 'yi')})"
-query("box_sums", with_p("SELECT tile_id, yi, xi, round(n, 2) AS n, round(s_i, 2) AS s_i, round(s_z, 2) AS s_z FROM m2", *BASE, GRID, MOM, BOXES))(lambda s, d: moment_sums(s, d).select(*R.KEY, *[F.round(c, 2).alias(c) for c in ("n", "s_i", "s_z")]))
+BOXES = "mg AS (SELECT g.tile_id, g.yi, g.xi, " + ", ".join(f"coalesce({m}, 0) AS {m}" for m in R.MOMENTS) + f" FROM g LEFT JOIN mo USING (tile_id, yi, xi)), m1 AS MATERIALIZED ({_pass('mg', 'yi', 'xi')}), m2 AS ({_pass('m1', 'xi', 'yi')})"
+query("box_sums", with_p("SELECT tile_id, yi, xi, round(n, 2) AS n, round(s_i, 2) AS s_i, round(s_z, 2) AS s_z FROM m2", *BASE, GRID, MOM, BOXES))(lambda s, d: moment_sums(s, d).select(*R.KEY, *[rounded(c, 2).alias(c) for c in ("n", "s_i", "s_z")]))
 
 
 def water(s: SparkSession, d: str) -> DataFrame:
@@ -281,13 +289,13 @@ wf AS (SELECT *, greatest(zz - ax*xz - ay*yz, 0)/n AS r2, n / ((least(yi+6, 127)
 wl AS (SELECT tile_id, yi, xi, greatest(0, least(1, pow(exp(-r2/0.01::DOUBLE) * exp(-(ax*ax + ay*ay)/(0.015::DOUBLE*0.015::DOUBLE)), 0.7::DOUBLE) * pow(1/(1 + (dn/(dens*0.25::DOUBLE))*(dn/(dens*0.25::DOUBLE))), 0.15::DOUBLE)
   * pow(1/(1 + exp((s_i/n - (i_mean - 0.5::DOUBLE*greatest(i_std, 1)))/greatest(i_std, 1))), 0.15::DOUBLE) * (1 - exp(-(n-5)/6)))) AS water FROM wf, st),
 wa AS (SELECT g.tile_id, g.yi, g.xi, coalesce(water, 0.0::DOUBLE) AS water FROM g LEFT JOIN wl USING (tile_id, yi, xi))"""
-query("water_probability", with_p("SELECT tile_id, yi, xi, round(water, 3) AS water FROM wa", *BASE, GRID, MOM, BOXES, WATER))(lambda s, d: water(s, d).select(*R.KEY, F.round("water", 3).alias("water")))
+query("water_probability", with_p("SELECT tile_id, yi, xi, round(water, 3) AS water FROM wa", *BASE, GRID, MOM, BOXES, WATER))(lambda s, d: water(s, d).select(*R.KEY, rounded("water", 3).alias("water")))
 
 # ---- masks and contours
 _mask_sql = lambda source, test, name="": f"SELECT tile_id, sum(CASE WHEN {test} THEN 1 ELSE 0 END)::BIGINT AS n_cells, sum(CASE WHEN {test} THEN 1 ELSE 0 END) * 0.25::DOUBLE AS area{name} FROM {source} GROUP BY tile_id"
-query("openness_mask", with_p(_mask_sql("(SELECT tile_id, round((returns - min(returns) OVER (PARTITION BY tile_id)) / max(returns) OVER (PARTITION BY tile_id), 4) AS v FROM cm)", "v < 0.01"), *BASE, MEANS))(lambda s, d: C.mask(R.normalised(cell_means(s, d), "returns").withColumn("returns", F.round("returns", 4)), "returns", high=0.01))
+query("openness_mask", with_p(_mask_sql("(SELECT tile_id, round((returns - min(returns) OVER (PARTITION BY tile_id)) / max(returns) OVER (PARTITION BY tile_id), 4) AS v FROM cm)", "v < 0.01"), *BASE, MEANS))(lambda s, d: C.mask(R.normalised(cell_means(s, d), "returns").withColumn("returns", rounded("returns")), "returns", high=0.01))
 query("green_masks", with_p(" UNION ALL ".join(_mask_sql("nd", f"round(ndvd, 4) >= {t}", f", '{n}' AS symbol") for t, n in ((0.4, "LightGreen"), (0.6, "MediumGreen"), (0.8, "DarkGreen"))), *TERRAIN, VEG, NDVD))(
-    lambda s, d: _greens(index(s, d).withColumn("ndvd", F.round("ndvd", 4))))
+    lambda s, d: _greens(index(s, d).withColumn("ndvd", rounded("ndvd"))))
 
 
 def _greens(cells: DataFrame) -> DataFrame:
@@ -295,9 +303,9 @@ def _greens(cells: DataFrame) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-query("water_mask", with_p(_mask_sql("wa", "round(water, 3) >= 0.65"), *BASE, GRID, MOM, BOXES, WATER))(lambda s, d: C.mask(water(s, d).withColumn("water", F.round("water", 3)), "water", 0.65))
-query("cliff_mask", with_p(_mask_sql("(SELECT tile_id, round(sqrt(v*v + h*h) / sqrt(2.0::DOUBLE), 4) AS slope FROM sob)", "slope >= 2.5"), *TERRAIN, N9, SOBEL))(lambda s, d: C.mask(R.slope(dem(s, d), "dem").withColumn("slope", F.round("slope", 4)), "slope", 2.5))
-query("intensity_mask", with_p(_mask_sql("(SELECT tile_id, round((intensity - min(intensity) OVER (PARTITION BY tile_id)) / max(intensity) OVER (PARTITION BY tile_id), 4) AS v FROM cm)", "v >= 0.2 AND v < 0.4"), *BASE, MEANS))(lambda s, d: C.mask(R.normalised(cell_means(s, d), "intensity").withColumn("intensity", F.round("intensity", 4)), "intensity", 0.2, 0.4))
+query("water_mask", with_p(_mask_sql("wa", "round(water, 3) >= 0.65"), *BASE, GRID, MOM, BOXES, WATER))(lambda s, d: C.mask(water(s, d).withColumn("water", rounded("water", 3)), "water", 0.65))
+query("cliff_mask", with_p(_mask_sql("(SELECT tile_id, round(sqrt(v*v + h*h) / sqrt(2.0::DOUBLE), 4) AS slope FROM sob)", "slope >= 2.5"), *TERRAIN, N9, SOBEL))(lambda s, d: C.mask(R.slope(dem(s, d), "dem").withColumn("slope", rounded("slope")), "slope", 2.5))
+query("intensity_mask", with_p(_mask_sql("(SELECT tile_id, round((intensity - min(intensity) OVER (PARTITION BY tile_id)) / max(intensity) OVER (PARTITION BY tile_id), 4) AS v FROM cm)", "v >= 0.2 AND v < 0.4"), *BASE, MEANS))(lambda s, d: C.mask(R.normalised(cell_means(s, d), "intensity").withColumn("intensity", rounded("intensity")), "intensity", 0.2, 0.4))
 LEVELS = "lv AS (SELECT file_id, floor(min(z) / 2.5::DOUBLE) * 2.5::DOUBLE + k * 2.5::DOUBLE AS level FROM (SELECT file_id, z FROM p WHERE classification IN (2, 9)) a, range(400) r(k) GROUP BY file_id, k HAVING k < ceil((max(z) - min(z)) / 2.5::DOUBLE) + 1)"
 
 
@@ -307,13 +315,13 @@ def level_rows(s: SparkSession, d: str) -> DataFrame:
 
 query("contour_levels", with_p("SELECT file_id, round(level, 4) AS level FROM lv", LEVELS))(lambda s, d: level_rows(s, d).select("file_id", r4("level")))
 query("contour_symbols", with_p("SELECT file_id, round(level, 4) AS level, CASE WHEN abs(level - round(level/25)*25) < 1e-8 THEN 'IndexContour' WHEN abs(level - round(level/5)*5) < 1e-8 THEN 'Contour' ELSE 'FormLine' END AS symbol FROM lv", LEVELS))(lambda s, d: level_rows(s, d).select("file_id", r4("level"), C.level_symbol(F.col("level"), 5.0).alias("symbol")))
-_cases = "(VALUES " + ", ".join(f"({k}, {a}, {b})" for k, v in C.SEGMENTS.items() for a, b in v) + ") lut(k, a, b)"
+_cases = "(VALUES " + ", ".join(f"({k}, {a}, {b}::INT)" for k, v in C.SEGMENTS.items() for a, b in v) + ") lut(k, a, b)"
 _sx = lambda e: f"CASE {e} WHEN 0 THEN xi + (50 - nw)/(ne - nw) WHEN 1 THEN xi + 1 WHEN 2 THEN xi + (50 - sw)/(se - sw) ELSE xi END"
 _sy = lambda e: f"CASE {e} WHEN 0 THEN yi WHEN 1 THEN yi + (50 - ne)/(se - ne) WHEN 2 THEN yi + 1 ELSE yi + (50 - nw)/(sw - nw) END"
 query("marching_segments", with_p(f"""SELECT tile_id, yi, xi, a AS from_edge, b AS to_edge, round({_sx("a")}, 4) AS x1, round({_sy("a")}, 4) AS y1, round({_sx("b")}, 4) AS x2, round({_sy("b")}, 4) AS y2 FROM
 (SELECT a.tile_id, a.yi, a.xi, a.dem AS nw, b.dem AS ne, c.dem AS se, e.dem AS sw FROM rd a JOIN rd b ON b.tile_id = a.tile_id AND b.yi = a.yi AND b.xi = a.xi + 1 JOIN rd c ON c.tile_id = a.tile_id AND c.yi = a.yi + 1 AND c.xi = a.xi + 1 JOIN rd e ON e.tile_id = a.tile_id AND e.yi = a.yi + 1 AND e.xi = a.xi) z
 JOIN {_cases} ON k = (CASE WHEN nw >= 50 THEN 1 ELSE 0 END) + (CASE WHEN ne >= 50 THEN 2 ELSE 0 END) + (CASE WHEN se >= 50 THEN 4 ELSE 0 END) + (CASE WHEN sw >= 50 THEN 8 ELSE 0 END)""", *TERRAIN, "rd AS (SELECT tile_id, yi, xi, round(dem, 4) AS dem FROM dem)"))(
-    lambda s, d: C.segments(dem(s, d).withColumn("dem", F.round("dem", 4)), "dem", 50.0).select(*R.KEY, "from_edge", "to_edge", r4("x1"), r4("y1"), r4("x2"), r4("y2")))
+    lambda s, d: C.segments(dem(s, d).withColumn("dem", rounded("dem")), "dem", 50.0).select(*R.KEY, "from_edge", "to_edge", r4("x1"), r4("y1"), r4("x2"), r4("y2")))
 
 
 # ---- mosaic
@@ -324,7 +332,7 @@ def mosaic(s: SparkSession, d: str) -> DataFrame:
 
 MOSAIC = "ms AS (SELECT CAST(round(-tl_y / 0.5::DOUBLE) AS BIGINT) + yi AS gy, CAST(round(tl_x / 0.5::DOUBLE) AS BIGINT) + xi AS gx, avg(dem) AS v FROM dem JOIN t USING (tile_id) WHERE yi BETWEEN 1 AND 126 AND xi BETWEEN 1 AND 126 GROUP BY ALL)"
 query("mosaic", with_p("SELECT gy, gx, round(v, 4) AS v FROM ms", *TERRAIN, MOSAIC))(lambda s, d: mosaic(s, d).select("gy", "gx", r4("v")))
-query("render_u8", with_p("SELECT gy, gx, CAST(CASE WHEN hi > lo THEN round((v - lo) * 254 / (hi - lo)) + 1 ELSE 255 END AS INT) AS byte FROM (SELECT gy, gx, round(v, 2) AS v, min(round(v, 2)) OVER () AS lo, max(round(v, 2)) OVER () AS hi FROM ms)", *TERRAIN, MOSAIC))(lambda s, d: R.rendered(mosaic(s, d).withColumn("v", F.round("v", 2))))
+query("render_u8", with_p("SELECT gy, gx, CAST(CASE WHEN hi > lo THEN round((v - lo) * 254 / (hi - lo)) + 1 ELSE 255 END AS INT) AS byte FROM (SELECT gy, gx, round(v, 2) AS v, min(round(v, 2)) OVER () AS lo, max(round(v, 2)) OVER () AS hi FROM ms)", *TERRAIN, MOSAIC))(lambda s, d: R.rendered(mosaic(s, d).withColumn("v", rounded("v", 2))))
 query("geotiff_origin", "WITH " + T + " SELECT tile_id, tl_x + 500000 - 0.25 AS origin_x, tl_y + 6600000 + 0.25 AS origin_y FROM t")(lambda s, d: tiles(s, d).select("tile_id", (F.col("tl_x") + 500000 - 0.25).alias("origin_x"), (F.col("tl_y") + 6600000 + 0.25).alias("origin_y")))
 
 # ---- lines: one closed or open line an order, from its rows
@@ -350,7 +358,7 @@ query("basemap_depressions", f"WITH {LINES}, {AREA} SELECT line_id, CASE WHEN ar
 MOMENTS = """mv AS (SELECT line_id, avg(x) AS mid_x, avg(y) AS mid_y FROM vx GROUP BY ALL), mw AS (SELECT line_id, mid_x, mid_y, avg((x-mid_x)*(x-mid_x)) AS xx, avg((y-mid_y)*(y-mid_y)) AS yy, avg((x-mid_x)*(y-mid_y)) AS xy FROM vx JOIN mv USING (line_id) GROUP BY ALL),
 my AS (SELECT *, (xx+yy+sqrt((xx-yy)*(xx-yy)+4*xy*xy))/2 AS l1, (xx+yy-sqrt((xx-yy)*(xx-yy)+4*xy*xy))/2 AS l2 FROM mw)"""
 query("ring_moments", f"WITH {LINES}, {MOMENTS} SELECT line_id, round(mid_x, 4) AS mid_x, round(mid_y, 4) AS mid_y, CASE WHEN l2 < 0.01 THEN -1 ELSE round(l1/l2, 3) END AS aspect FROM my")(
-    lambda s, d: C.ring_moments(lines(s, d)).select("line_id", r4("mid_x"), r4("mid_y"), F.when(_thin(), -1).otherwise(F.round("aspect", 3)).alias("aspect")))
+    lambda s, d: C.ring_moments(lines(s, d)).select("line_id", r4("mid_x"), r4("mid_y"), F.when(_thin(), -1).otherwise(rounded("aspect", 3)).alias("aspect")))
 
 
 def _thin() -> Column:
@@ -397,7 +405,7 @@ SELECT line_id, round(sum(greatest(0, least(a0 + l, 0.75 * whole) - greatest(a0,
 
 def _part_length(m: DataFrame) -> DataFrame:
     legs = F.zip_with(F.slice("part", F.lit(1), F.size("part") - 1), F.slice("part", F.lit(2), F.size("part") - 1), lambda p, q: F.sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)))
-    return m.select("line_id", F.round(F.aggregate(legs, F.lit(0.0), lambda a, v: a + v), 3).alias("length"))
+    return m.select("line_id", F.round(F.aggregate(legs, F.lit(0.0), lambda a, v: a + v) + NUDGE, 3).alias("length"))
 
 
 # ---- symbols
@@ -439,7 +447,7 @@ query("scale_bar", f"SELECT p_partkey, round(160 / ppm / {_base}, 4) AS share, C
 def _scale_bar(part: DataFrame) -> DataFrame:
     most = 160 / ((F.col("p_size") + 3).cast("double") / 7)
     base = F.pow(F.lit(10.0), F.floor(F.log10(most)))
-    share = F.round(most / base, 4)
+    share = rounded(most / base)
     return part.select("p_partkey", share.alias("share"), (F.when(share >= 5, 5).when(share >= 2, 2).otherwise(1) * base).alias("distance"))
 
 
