@@ -32,7 +32,8 @@ def query(name: str, sql: str | None = None):
     def register(f):
         QUERIES[name] = f
         if sql:
-            ORACLE[name] = re.sub(r", ([234])\)", rf" + {NUDGE}, \1)", sql)
+            nudged = re.sub(r", ([34])\)", rf" + {NUDGE}, \1)", sql)
+            ORACLE[name] = re.sub(r"(round\([a-z_]+), 2\)", rf"\1 + {NUDGE}, 2)", nudged)
         return f
 
     return register
@@ -190,7 +191,7 @@ query("z_range", with_p("SELECT file_id, round(min(z), 4) AS min_z, round(max(z)
     lambda s, d: P(s, d).filter("classification in (2, 9) and not is_withheld").groupBy("file_id").agg(r4(F.min("z"), "min_z"), r4(F.max("z"), "max_z")))
 query("corner_ghosts_idw", with_p("""SELECT tile_id, corner, round(sum(z / d2) / sum(1 / d2), 4) AS z FROM (SELECT *, row_number() OVER (PARTITION BY tile_id, corner ORDER BY d2, x, y, z) AS k FROM (
 SELECT q.tile_id, corner, x, y, z, greatest((x-gx)*(x-gx) + (y-gy)*(y-gy), 2.220446049250313e-16::DOUBLE) AS d2 FROM q JOIN gc USING (tile_id) WHERE classification = 2)) WHERE k <= 4 GROUP BY ALL""", Q,
-    "gc AS (SELECT CAST(f AS INT) AS tile_id, CAST(c AS INT) AS corner, (f % 2) * 64.0::DOUBLE + CASE WHEN c IN (1, 2) THEN 64 ELSE 0 END AS gx, (f // 2) * 64.0::DOUBLE + CASE WHEN c IN (2, 3) THEN 64 ELSE 0 END AS gy FROM range(4) a(f), range(4) b(c))"))(
+    "gc AS (SELECT CAST(f AS INT) AS tile_id, CAST(c AS INT) AS corner, (f % 2) * 64.0::DOUBLE + CASE WHEN c IN (1, 2) THEN 64 ELSE 0 END AS gx, (f // 2) * 64.0::DOUBLE + CASE WHEN c >= 2 THEN 64 ELSE 0 END AS gy FROM range(4) a(f), range(4) b(c))"))(
     lambda s, d: G.corner_ghosts(points(s, d).filter("classification = 2"), tiles(s, d).select("tile_id", (F.col("tl_x") - 0.25).alias("min_x"), (F.col("tl_x") + 63.75).alias("max_x"), (F.col("tl_y") - 63.75).alias("min_y"), (F.col("tl_y") + 0.25).alias("max_y"))).select("tile_id", "corner", r4("z")))
 
 # ---- binning
@@ -370,10 +371,10 @@ def _thin() -> Column:
     return (xx + yy - F.sqrt((xx - yy) * (xx - yy) + 4 * xy * xy)) / 2 < 0.01
 
 
-query("bending_energy", f"""WITH {LINES}, tu AS (SELECT line_id, k, x2-x AS ax, y2-y AS ay, coalesce(x3, CASE WHEN cl THEN fx END) - x2 AS bx, coalesce(y3, CASE WHEN cl THEN fy END) - y2 AS by FROM
+query("bending_energy", f"""WITH {LINES}, tu AS (SELECT line_id, k, x2-x AS ax, y2-y AS ay, coalesce(x3, CASE WHEN cl THEN fx END) - x2 AS bx, coalesce(y3, CASE WHEN cl THEN fy END) - y2 AS b2 FROM
 (SELECT *, nth_value(x, 2) OVER o AS fx, nth_value(y, 2) OVER o AS fy, first_value(x) OVER o = last_value(x) OVER o AND first_value(y) OVER o = last_value(y) OVER o AS cl FROM lg WINDOW o AS (PARTITION BY line_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE x2 IS NOT NULL),
 ok AS (SELECT line_id FROM tu GROUP BY ALL HAVING min(ax*ax + ay*ay) > 0)
-SELECT line_id, round(sum(CASE WHEN bx IS NULL THEN 0 ELSE pow(acos(greatest(-1, least(1, (ax*bx + ay*by) / (sqrt(ax*ax+ay*ay) * sqrt(bx*bx+by*by))))), 2) / ((sqrt(ax*ax+ay*ay) + sqrt(bx*bx+by*by)) / 2) END) / sum(sqrt(ax*ax+ay*ay)), 4) AS energy FROM tu JOIN ok USING (line_id) GROUP BY line_id""")(
+SELECT line_id, round(sum(CASE WHEN bx IS NULL THEN 0 ELSE pow(acos(greatest(-1, least(1, (ax*bx + ay*b2) / (sqrt(ax*ax+ay*ay) * sqrt(bx*bx+b2*b2))))), 2) / ((sqrt(ax*ax+ay*ay) + sqrt(bx*bx+b2*b2)) / 2) END) / sum(sqrt(ax*ax+ay*ay)), 4) AS energy FROM tu JOIN ok USING (line_id) GROUP BY line_id""")(
     lambda s, d: C.bending_energy(lines(s, d).filter(~F.exists(F.zip_with("line", F.slice("line", F.lit(2), F.size("line")), lambda a, b: a.eqNullSafe(b)), lambda e: e))).select("line_id", r4("energy")))
 query("dot_knolls", f"""WITH {LINES}, {AREA}, {MOMENTS}, cl AS (SELECT line_id, (line_id % 3 <> 0) OR bool_or(c) AS c FROM (SELECT line_id, first_value(x) OVER o = last_value(x) OVER o AND first_value(y) OVER o = last_value(y) OVER o AS c FROM vx WINDOW o AS (PARTITION BY line_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY line_id)
 SELECT line_id, CASE WHEN NOT c OR abs(area) > 160 THEN 'kept' WHEN abs(area) < 10 THEN 'dropped' WHEN area < 0 THEN 'UDepression' WHEN (l2 > 0 AND l1/l2 < 1.5) OR area < 95 THEN 'DotKnoll' ELSE 'ElongatedDotKnoll' END AS fate FROM ar JOIN my USING (line_id) JOIN cl USING (line_id)""")(lambda s, d: C.dot_knolls(lines(s, d)).select("line_id", "fate"))
