@@ -14,8 +14,9 @@ links within one component would not change the result.
 
 Null, empty and blank texts have an empty set, link with nothing and are components of their own. Fewer words than a
 shingle has are one shingle. Repeated rows are linked and get a row each; of equal keys with different texts each row is
-judged by its text. A row with a null key is in a component like others, whose id is the least key that is not null; it is
-not kept unless its text is empty. An empty table gives an empty result. Only key and text are read.
+judged by its text. A row with a null key is in a component like others, whose id is the least key that is not null;
+``link_classes`` marks it as kept only if its text is empty. ``deduplicate`` goes by rows: it leaves one row of each class,
+a row with a null key where there is no other. An empty table gives an empty result. Only key and text are read.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from groundline.llm import kernels as K
 from groundline.llm.graph import components
-from groundline.llm.tables import cut, read
+from groundline.llm.tables import cut, read, row_hash
 
 COORDINATES = 64
 MATCHES = 34
@@ -192,8 +193,8 @@ def _labelled(posted: DataFrame, roots: DataFrame | None) -> DataFrame:
     return p.join(ends.select("token"), "token")
 
 
-def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = 80, star_rounds: int = 5) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for every row of docs."""
+def _placed(docs: DataFrame, key: str, text: str, words: int, percent: int, star_rounds: int = 5) -> DataFrame:
+    """(key, n_shingles, node, component, class) of every row of docs; class is null for an empty set."""
     signed_rows = cut(sign(docs, key, text, words))
     signed = cut(signed_rows.filter("node is not null").dropDuplicates(["node"]).select("node", "n_shingles", "signature"))
     posted = cut(postings(signed))
@@ -221,7 +222,12 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
     rest = p.withColumnRenamed("node", "a").join(q, "token").filter("a < b and root <> other").select("a", "b").distinct()
     links.append(_confirmed(_alike(rest, signed, percent).select("a", "b"), docs, text, words, percent))
     roots = cut(_components(links))
-    placed = signed_rows.select(key, "n_shingles", "node").join(roots, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    return signed_rows.select(key, "n_shingles", "node").join(roots, "node", "left").withColumn("class", F.coalesce("component", "node"))
+
+
+def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = 80, star_rounds: int = 5) -> DataFrame:
+    """(key, n_shingles, component_id, kept) for every row of docs."""
+    placed = _placed(docs, key, text, words, percent, star_rounds)
     least = placed.filter("node is not null").groupBy("class").agg(F.min(key).alias("least"))
     out = placed.join(least, "class", "left")
     component = F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("least"))
@@ -229,12 +235,18 @@ def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = 80) -> DataFrame:
-    """The rows of docs that are kept, with all their columns: one document of each class, and one row of each key."""
-    classes = cut(link_classes(docs, key, text, words, percent))
-    kept = classes.filter("kept").groupBy(F.col(key).alias("kept_key")).agg(F.count("*").alias("rows"))
-    out = docs.join(kept, docs[key].eqNullSafe(F.col("kept_key")), "left_semi")
-    repeated = not classes.groupBy(key).count().filter("count > 1").isEmpty()
-    return out.dropDuplicates([key]) if repeated else out
+    """The rows of docs that are kept, with all their columns: one row of each class, that of its least key, nulls last.
+
+    Rows go by key and text. Rows with an empty set are all kept, but for repetitions of key and text.
+    """
+    named = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), row_hash(key, text).alias("row")).alias("who"), F.col(text).alias("text"))
+    placed = _placed(named, "who", "text", words, percent)
+    first = placed.filter("class is not null").groupBy("class").agg(F.min("who").alias("who")).select("who")
+    chosen = cut(first.union(placed.filter("class is null").select("who").distinct()).select(F.col("who.row").alias("kept_row")))
+    row = row_hash(docs[key], docs[text])
+    out = docs.join(chosen, row == F.col("kept_row"), "left_semi")
+    repeated = not placed.groupBy("who").count().filter("count > 1").isEmpty()
+    return out.dropDuplicates([key, text]) if repeated else out
 
 
 def op10_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

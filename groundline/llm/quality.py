@@ -20,12 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundline.llm import kernels as K
-from groundline.llm.tables import cut, read
+from groundline.llm.tables import cut, read, row_hash
 
 ORDER = 4
 LEAST_WORDS = 20
@@ -198,8 +198,13 @@ def model_of(docs: DataFrame, text: str = "text") -> KneserNey:
     return KneserNey(counted.column("code").to_numpy(), counted.column("n").to_numpy())
 
 
-def scores(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, the base counts, bits): bits is the mean surprisal of a symbol, 0 for an empty text."""
+def scores(docs: DataFrame, model: KneserNey, key: str | Column = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """(key, lang, the base counts, bits): bits is the mean surprisal of a symbol, 0 for an empty text.
+
+    A key that is a column expression is named row_hash.
+    """
+    read_from = docs.select(key if isinstance(key, str) else key.alias("row_hash"), text, F.col(lang).cast("string").alias(lang))
+    key = read_from.columns[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,8 +225,8 @@ def scores(docs: DataFrame, model: KneserNey, key: str = "doc_id", text: str = "
                 counts = base_counts(data, offsets)
                 yield pa.record_batch([part.column(key), part.column(lang), *[pa.array(counts[c]) for c in BASE], pa.array(mean)], names=[key, "lang", *BASE, "bits"])
 
-    schema = T.StructType([docs.schema[key], T.StructField("lang", T.StringType()), *[T.StructField(c, T.LongType()) for c in BASE], T.StructField("bits", T.DoubleType())])
-    return docs.select(key, text, F.col(lang).cast("string").alias(lang)).mapInArrow(run, schema)
+    schema = T.StructType([read_from.schema[key], T.StructField("lang", T.StringType()), *[T.StructField(c, T.LongType()) for c in BASE], T.StructField("bits", T.DoubleType())])
+    return read_from.mapInArrow(run, schema)
 
 
 def bands(scored: DataFrame, reach: float = REACH) -> DataFrame:
@@ -232,7 +237,7 @@ def bands(scored: DataFrame, reach: float = REACH) -> DataFrame:
     return found.select("lang", (F.col("q")[0] - reach * spread).alias("low"), (F.col("q")[2] + reach * spread).alias("high"))
 
 
-def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", reach: float = REACH) -> DataFrame:
+def judge(docs: DataFrame, key: str | Column = "doc_id", text: str = "text", lang: str = "lang", reach: float = REACH) -> DataFrame:
     """(key, the base counts, base_failed, bits, kept) for every row of docs."""
     scored = scores(docs, model_of(docs, text), key, text, lang)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -240,13 +245,13 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
     b = bands(scored, reach).withColumnRenamed("lang", "band_lang")
     out = scored.join(b, scored["lang"].eqNullSafe(b.band_lang), "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select(key, *BASE, "base_failed", "bits", kept.alias("kept"))
+    return out.select(scored.columns[0], *BASE, "base_failed", "bits", kept.alias("kept"))
 
 
 def quality_filter(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Rows of one key share one verdict: all must be kept."""
-    verdict = judge(docs, key, text, lang).groupBy(F.col(key).alias("judged_key")).agg(F.min("kept").alias("all_kept"))
-    return docs.join(verdict.filter("all_kept"), docs[key].eqNullSafe(F.col("judged_key")), "left_semi")
+    """The rows of docs that are kept, with all their columns. Each row is judged by itself, whatever its key."""
+    verdict = judge(docs, row_hash(key, text, lang), text, lang).filter("kept").select(F.col("row_hash").alias("judged_row"))
+    return docs.join(verdict, row_hash(*[docs[c] for c in (key, text, lang)]) == F.col("judged_row"), "left_semi")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,13 +5,20 @@ from __future__ import annotations
 import gc
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_hash(*columns: str | Column) -> Column:
+    """A 64-bit name of a row by some columns, never null; a null is not like any value, in whichever column it stands."""
+    cols = [F.col(c) if isinstance(c, str) else c for c in columns]
+    return F.xxhash64(*cols, *[c.isNull() for c in cols])
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a folder of its own only where that is unset, as in tests."""
     set_dir = spark.conf.get("spark.checkpoint.dir", "")

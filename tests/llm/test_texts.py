@@ -387,3 +387,17 @@ def test_word_spans_stop_at_texts():
     data, offsets = kernels.utf8(__import__("pyarrow").array(["ab", "cd e", None, ""]))
     starts, ends, ptr = kernels.word_spans(data, offsets)
     assert (starts.tolist(), ends.tolist(), ptr.tolist()) == ([0, 2, 5], [2, 4, 6], [0, 1, 3, 3, 3])
+
+
+def test_filters_go_by_row(spark):
+    rng = random.Random(12)
+    words = ["the", "and", "there", "hand", "tree", "reed", "here", "then", "near", "hat"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(60))
+    clean = [(k, text(), "en", "s", 0) for k in range(30)] + [(None, text(), "en", "s", 0) for _ in range(20)] + [(5, text(), "en", "s", 0), (5, text(), "de", "s", 0)]
+    bad = [(None, None, "en", "s", 0), (None, "short", "en", "s", 0), (5, "short", "en", "s", 0), (7, None, None, "s", 0)]
+    df = spark.createDataFrame(clean + bad, SCHEMA)
+    assert sorted(map(repr, map(tuple, quality.quality_filter(df).collect()))) == sorted(map(repr, clean))
+    copies = [(None, clean[3][1], "en", "s", 0), (None, clean[35][1], "en", "s", 0), (5, clean[35][1], "en", "s", 0), (9, clean[9][1], "en", "s", 0)]
+    left = neardup.deduplicate(spark.createDataFrame(clean + copies, SCHEMA).withColumn("who", F.lit(1))).drop("who")
+    want = [r for r in clean if r != clean[35]] + [(5, clean[35][1], "en", "s", 0)]
+    assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, want))
