@@ -1,10 +1,12 @@
 """WARC archives: a distributed writer with revisit records, and a salvage reader.
 
 Writing: records are built and written by Spark's own text writer, whose separator is the CRLF CRLF that ends a record,
-so each part file is an archive and Spark's committer keeps it whole when executors are lost. Reading: each file's bytes
-are parsed in a worker. A record (or gzip member) that fails a check - version line, header, length, closing CRLF CRLF,
-block digest - is given up; the reader searches on from the next byte for a gzip member or version line that passes all
-checks, and logs the bytes between as a quarantined gap.
+so each part file is an archive and Spark's committer keeps it whole when executors are lost. Compressed archives have one
+gzip member a record, so damage costs the records it stands in and no others. Reading: each file's bytes are parsed in a
+worker. A record (or gzip member) that fails a check - version line, header, length, closing CRLF CRLF, block digest - is
+given up; the reader searches on from the next byte for a gzip member or version line that passes all checks, and logs the
+bytes between as a quarantined gap. Of a member that is damaged or does not end, the records that could still be inflated
+and have a block digest that fits are kept; the gap is logged all the same.
 
 Null payloads are empty payloads, null urls the empty url. Repeated rows are written as often as they stand. An empty
 table gives no records. Page ids may repeat: each such row equals the least id of its payload's group or revisits it.
@@ -14,6 +16,7 @@ A null page id is written as ``null`` and read back as null.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -30,6 +33,10 @@ from groundline.llm.tables import read, shared_dir
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 VERSION = re.compile(rb"WARC/\d\.\d\r\n")
 GZIP = b"\x1f\x8b\x08"
+LEVEL = 6
+#: Bytes that are inflated at a time; an empty gzip member.
+PIECE = 1 << 16
+NOTHING = gzip.compress(b"", mtime=0)
 RECORD = "file string, kind string, offset long, length long, type string, record_id string, url string, refers_to string, payload_bytes long, payload_digest string, payload binary, reason string"
 
 
@@ -71,14 +78,35 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", payload: s
     return p.withColumn("block", block).select(F.concat(header, F.col("block")).alias("record"))
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each record as a gzip member without its last byte, which is zero.
+
+    That byte is the highest of the content's length: for a record of 16 MB or more an empty member follows, which ends so.
+    """
+    for batch in batches:
+        out, held = [], 0
+        for record in batch.column("record"):
+            member = gzip.compress(bytes(record.as_buffer()) + b"\r\n\r\n", LEVEL, mtime=0)
+            member = member[:-1] if not member[-1] else member + NOTHING[:-1]
+            out.append(member)
+            held += len(member)
+            if held > 4 << 20:
+                yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+                out, held = [], 0
+        yield pa.record_batch([pa.array(out, pa.binary())], names=["value"])
+
+
 def write(pages: DataFrame, path: str, compress: bool = False, rows_per_file: int = 4_000, **columns: str) -> None:
-    """Write an archive folder: part files of at most rows_per_file records, gzipped as a whole if ``compress``."""
-    out = records(pages, **columns).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", rows_per_file)
-    out.option("compression", "gzip" if compress else "none").text(path)
+    """Write an archive folder: part files of at most rows_per_file records, one gzip member a record if ``compress``."""
+    out, end = records(pages, **columns), "\r\n\r\n"
+    if compress:  # the text writer puts bytes as they are, and the byte that ends every member after each
+        out, end = out.select(F.col("record").cast("binary").alias("record")).mapInArrow(_members, "value binary").select(F.col("value").cast("string")), "\0"
+    name = {"lineSep": end, "maxRecordsPerFile": rows_per_file, "compression": "none"}
+    out.write.mode("overwrite").options(**name).text(path)
 
 
-def _record_at(data: bytes, at: int) -> tuple[int, dict] | str:
-    """The record that begins here as (end, fields), or why there is none."""
+def _record_at(data: bytes, at: int, proved: bool = False) -> tuple[int, dict] | str:
+    """The record that begins here as (end, fields), or why there is none; ``proved``: only with a block digest."""
     if not VERSION.match(data, at):
         return "no version line"
     head = data.find(b"\r\n\r\n", at)
@@ -99,6 +127,8 @@ def _record_at(data: bytes, at: int) -> tuple[int, dict] | str:
     kind, _, digest = fields.get("warc-block-digest", "").partition(":")
     if kind == "sha1" and digest != base64.b32encode(hashlib.sha1(block).digest()).decode():
         return "block digest does not fit"
+    if proved and kind != "sha1":
+        return "no block digest in a damaged member"
     payload, size = block, len(block)
     if fields.get("content-type", "").startswith("application/http"):
         http, _, payload = block.partition(b"\r\n\r\n")
@@ -118,27 +148,52 @@ def _record_at(data: bytes, at: int) -> tuple[int, dict] | str:
     }
 
 
-def _member_at(data: bytes, at: int) -> tuple[int, bytes] | str:
-    """The gzip member that begins here as (end, content), or why there is none."""
-    unzip = zlib.decompressobj(31)
-    try:
-        content = unzip.decompress(data[at:])
-    except zlib.error as error:
-        return f"gzip: {error}"
-    if not unzip.eof:
-        return "gzip member does not end"
-    return len(data) - len(unzip.unused_data), content
-
-
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
+def _member_at(data: bytes, at: int) -> tuple[int, bytes, str]:
+    """The gzip member that begins here as (end, content, ""), or as far as it can be inflated and why not to its end."""
+    unzip, view, content = zlib.decompressobj(31), memoryview(data), []
+    while at < len(data):
+        before = unzip.copy()
+        try:
+            content.append(unzip.decompress(view[at : at + PIECE]))
+        except zlib.error as error:
+            for k in range(at, min(at + PIECE, len(data))):  # up to the byte that shows the damage
+                try:
+                    content.append(before.decompress(view[k : k + 1]))
+                except zlib.error:
+                    break
+            return at, b"".join(content), f"gzip: {error}"
+        at = min(at + PIECE, len(data))
+        if unzip.eof:
+            return at - len(unzip.unused_data), b"".join(content), ""
+    return at, b"".join(content), "gzip member does not end"
+
+
+def salvage(data: bytes, proved: bool = False) -> Iterator[tuple[str, int, int, dict | str]]:
     """('record', offset, length, fields) and ('gap', offset, length, reason), in order of offset.
 
     Records of a gzip member have the member's offset and length; a gap inside a member is told with the member's place.
+    Records of a damaged member have its offset and the length of the gap that follows them.
     """
-    at, lost, why = 0, None, ""
+    at, lost, why, held = 0, None, "", []
     starts = re.compile(rb"WARC/\d\.\d\r\n|\x1f\x8b\x08")
+
+    def gap(end: int) -> Iterator[tuple[str, int, int, dict | str]]:
+        for inner in held:
+            yield "record", lost, end - lost, inner
+        held.clear()
+        yield "gap", lost, end - lost, why
+
     while at < len(data):
-        got = _member_at(data, at) if data.startswith(GZIP, at) else _record_at(data, at)
+        if data.startswith(GZIP, at):
+            end, what, failed = _member_at(data, at)
+            inside = [inner for kind, _, _, inner in salvage(what, True) if kind == "record"] if failed else []
+            if inside and lost is not None:
+                yield from gap(at)
+                lost = None
+            held += inside
+            got = failed or (end, what)
+        else:
+            got = _record_at(data, at, proved)
         if isinstance(got, str):
             if lost is None:
                 lost, why = at, got
@@ -146,17 +201,17 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict | str]]:
             at = found.start() if found else len(data)
             continue
         if lost is not None:
-            yield "gap", lost, at - lost, why
+            yield from gap(at)
             lost = None
         end, what = got
         if isinstance(what, dict):
             yield "record", at, end - at, what
         else:
-            for kind, offset, _, inner in salvage(what):
+            for kind, offset, _, inner in salvage(what, proved):
                 yield kind, at, end - at, inner if kind == "record" else f"{inner}, at {offset} of the member"
         at = end
     if lost is not None:
-        yield "gap", lost, len(data) - lost, why
+        yield from gap(len(data))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

@@ -401,3 +401,28 @@ def test_filters_go_by_row(spark):
     left = neardup.deduplicate(spark.createDataFrame(clean + copies, SCHEMA).withColumn("who", F.lit(1))).drop("who")
     want = [r for r in clean if r != clean[35]] + [(5, clean[35][1], "en", "s", 0)]
     assert sorted(map(repr, map(tuple, left.collect()))) == sorted(map(repr, want))
+
+
+def test_salvage_of_written_archives(spark, tmp_path):
+    import gzip
+    import pathlib
+
+    rng = random.Random(13)
+    rows = [(k, f"http://h/{k}", "".join(rng.choice("abcdefgh é") for _ in range(3000))) for k in range(30)] + [(30, "http://h/30", "long " * 3_500_000)]
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), str(tmp_path / "w"), compress=True)
+    files = [f.read_bytes() for f in pathlib.Path(tmp_path / "w").glob("part-*")]
+    ids = lambda data: [int(w["record_id"].rsplit(":", 1)[1]) for k, _, _, w in warc.salvage(data) if k == "record"]
+    assert sorted(k for f in files for k in ids(f)) == list(range(31))
+    assert sum(gzip.decompress(f).count(b"WARC/1.1\r\n") for f in files) == 31
+    data = max(files, key=lambda f: len(ids(f)))
+    whole, at = ids(data), len(data) // 2
+    damaged = ids(data[:at] + bytes([data[at] ^ 255]) + data[at + 1 :])
+    assert len(whole) > 2 and set(damaged) < set(whole) and len(damaged) == len(whole) - 1
+    cut_off = ids(data[: at + 1])
+    assert cut_off == whole[: len(cut_off)] and len(cut_off) > 0
+    # an archive of another writer, all in one member: what stands before the damage is read
+    noise = [record(k, rng.randbytes(20_000)) for k in range(9)]
+    one = gzip.compress(b"".join(noise), mtime=0)
+    got = [(k, w["record_id"] if k == "record" else None) for k, _, _, w in warc.salvage(one[: len(one) // 2])]
+    assert [w for _, w in got[:-1]] == ["r0", "r1", "r2", "r3"] and got[-1][0] == "gap"
+    assert [w["record_id"] for k, _, _, w in warc.salvage(one[:-6] + b"\0" + one[-5:]) if k == "record"] == [f"r{k}" for k in range(9)]
