@@ -426,3 +426,25 @@ def test_salvage_of_written_archives(spark, tmp_path):
     got = [(k, w["record_id"] if k == "record" else None) for k, _, _, w in warc.salvage(one[: len(one) // 2])]
     assert [w for _, w in got[:-1]] == ["r0", "r1", "r2", "r3"] and got[-1][0] == "gap"
     assert [w["record_id"] for k, _, _, w in warc.salvage(one[:-6] + b"\0" + one[-5:]) if k == "record"] == [f"r{k}" for k in range(9)]
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    known = license.SENTENCES | license.MORE_SENTENCES
+    wrap = lambda prefix, *ids: f"\n{prefix.rstrip()}\n".join(textwrap.fill(known[i], 70, initial_indent=prefix, subsequent_indent=prefix) for i in ids)
+    rows = [
+        ("MIT", "/*\n" + wrap(" * ", "mit_grant", "mit_condition") + "\n */\nint x;"),
+        ("GPL-3.0-or-later", wrap("# ", "gpl_grant", "gpl_warranty")),
+        ("Apache-2.0", "\n".join(wrap("// ", i) for i in ("apache_header", "apache_compliance", "apache_copy")) + "\n//\n//     http://x.org/LICENSE-2.0\n//\n" + wrap("// ", "apache_basis")),
+        ("BSD-3-Clause", wrap("", "bsd_grant") + "\n\n1. " + wrap("   ", "bsd_source").strip() + "\n2) " + wrap("   ", "bsd_binary").strip() + "\n\n3. " + wrap("   ", "bsd_endorse").strip()),
+        ("MIT", known["mit_grant"] + " " + known["mit_condition"]),
+        ("MIT", wrap("", "mit_grant", "mit_condition").replace("\n", "\r\n")),
+        ("ISC", wrap("-- ", "isc_grant")), ("LGPL-2.1-or-later", wrap("; ", "lgpl21_grant")),
+        ("", "Released under\n\nthe MIT License."), ("", "All rights. Reserved."), ("", "Never released under the MIT License."), ("", "Released under the MIT License and others"),
+    ]
+    df = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in license.scan(df).collect()}
+    assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]
+    every = spark.createDataFrame([(i, wrap("# ", i)) for i in known], "doc_id string, text string")
+    assert {r["doc_id"]: r["sentence_ids"] for r in license.scan(every).collect()} == {i: f"<{i}>" for i in known}
