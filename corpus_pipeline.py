@@ -8,11 +8,13 @@ empty texts, ties, repeated rows and empty tables have the results that the stag
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.llm import bpe, neardup, packing, quality, suffix, toxicity
-from groundline.llm.tables import cut, read
+from groundline.llm.tables import cut, read, remove, shared_dir
 from groundline.session import importable
 
 
@@ -50,11 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each one's rows written to the shared folder before the next one reads them."""
+    """The stages over documents, each one's rows written as Parquet to the shared folder before the next one reads them."""
     importable(spark)
-    docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES, 1):
+    docs, before = read(spark, sf_dir, "documents"), None
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES, 1):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES):
-            docs = cut(docs)
+            docs.write.parquet(path := f"{folder}/{k}-{name}")
+            docs = spark.read.parquet(path)
+            if before:  # all that was read from it is written
+                remove(spark, before)
+            before = path
     return docs

@@ -39,3 +39,17 @@ def test_stages(spark, tmp_path):
         r = kept["suffix_dedup"][k]
         assert passage not in r["text"] and r["n_chars"] == len(r["text"])
     assert {r for r in kept["packing"]} == set(kept["suffix_dedup"])
+
+
+def test_stages_hand_over_parquet(spark, tmp_path, monkeypatch):
+    spark.createDataFrame([(k, "t", "en", "s", 1) for k in range(6)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    read_from = []
+
+    def stage(spark, docs, sf_dir):
+        read_from.append(docs.inputFiles())
+        return docs.filter(f"doc_id <> {len(read_from)}")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"s{k}", stage) for k in range(4)])
+    assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 5]
+    assert all(files and all(f.endswith(".parquet") for f in files) for files in read_from)
+    assert all(f"/{k}-s{k - 1}/" in f for k, files in enumerate(read_from) if k for f in files)
