@@ -13,14 +13,18 @@ refused by ``encode`` with a clear error.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from groundline.llm import kernels as K
 from groundline.llm.tables import read
 
 #: Fixed value: the vocabulary's name for the end of a word.
@@ -30,7 +34,9 @@ MARK = ""
 #: Code points with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Entries of a worker's caches; a full cache is emptied. Bounds memory, never results.
-CACHE = 600_000
+CACHE = 2_000_000
+#: Bytes of text that are encoded at a time: larger blocks have fewer distinct pre-tokens a byte.
+TEXT_BLOCK = 2 << 20
 LONGEST_CACHED = 48
 
 
@@ -198,31 +204,189 @@ def load(path: str) -> PrefixBPE:
     return _loaded[path]
 
 
-class WordCache(dict):
-    """What ``make`` gives for each word; holds at most CACHE short words."""
+WHITE_SPACE, LETTER, DIGIT, OTHER = range(4)
 
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
 
-    def __missing__(self, word: str):
-        out = self.make(word)
-        if len(word) <= LONGEST_CACHED:
-            if len(self) >= CACHE:
-                self.clear()
-            self[word] = out
-        return out
+def _kinds() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kind of each ASCII byte, and of each byte that follows 0xC2 and 0xC3 in UTF-8."""
+    ascii_, c2, c3 = (np.full(256, OTHER, np.uint8) for _ in range(3))
+    ascii_[[*range(9, 14), 32]] = WHITE_SPACE
+    ascii_[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
+    ascii_[0x30:0x3A] = DIGIT
+    c2[[0x85, 0xA0]] = WHITE_SPACE
+    c2[[0xAA, 0xB5, 0xBA]] = LETTER
+    c2[[0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = DIGIT
+    c3[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = LETTER
+    return ascii_, c2, c3
 
 
-_caches: dict[tuple[str, str], WordCache] = {}
+_ASCII, _C2, _C3 = _kinds()
 
 
-def word_cache(path: str, kind: str, make) -> WordCache:
-    """A worker's cache of ``make(ids of a word)``, kept over its tasks."""
-    if (path, kind) not in _caches:
-        bpe = load(path)
-        _caches[path, kind] = WordCache(lambda w: make(bpe, bpe.word(w)))
-    return _caches[path, kind]
+def split_pieces(data: np.ndarray, offsets: np.ndarray, special: bytes = b"<|") -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, cuts): a block's texts, lower-cased, cut into pre-tokens and runs of white space, without a gap.
+
+    Works on bytes, for Latin-1 text. A word with other letters, an apostrophe or the start of a special token stays whole
+    and as written: ``PrefixBPE.word`` cuts it.
+    """
+    n = len(data)
+    low, kind = K.LOWER[data], _ASCII[data]
+    hard = data == 0x27
+    if special:
+        here = data == special[0]
+        for k, b in enumerate(special[1:], 1):
+            here[:-k] &= data[k:] == b
+            here[-k:] = False
+        hard |= here
+    if (data >= 0x80).any():
+        hard |= data >= 0xC4
+        for lead, table in ((0xC2, _C2), (0xC3, _C3)):
+            at = np.flatnonzero(data == lead)
+            after = data[at + 1]
+            kind[at] = kind[at + 1] = table[after]
+            if lead == 0xC3:
+                up = at[(after < 0x9F) & (after != 0x97)]
+                low[up + 1] = data[up + 1] + 0x20
+    begin = np.ones(n, bool)
+    begin[1:] = kind[1:] != kind[:-1]
+    begin |= (kind == DIGIT) & K.code_point_starts(data)
+    edge = offsets[offsets < n]
+    begin[edge] = True
+    if hard.any():
+        word = kind != WHITE_SPACE
+        first = word.copy()
+        first[1:] &= ~word[:-1]
+        first[edge] |= word[edge]
+        starts = np.flatnonzero(first)
+        stop = np.append(~word[1:], True)
+        stop[edge[edge > 0] - 1] = True
+        ends = np.flatnonzero(word & stop) + 1
+        which = np.unique(np.searchsorted(starts, np.flatnonzero(hard), "right") - 1)
+        step = np.zeros(n + 1, np.int8)
+        step[starts[which]] += 1
+        step[ends[which]] -= 1
+        inside = np.cumsum(step[:-1], dtype=np.int8).astype(bool)
+        low = np.where(inside, data, low)
+        begin &= ~inside
+        begin[starts[which]] = True
+    return low, np.append(np.flatnonzero(begin), n)
+
+
+class PieceTable:
+    """Ids of pre-tokens in flat arrays, found by a sorted array of hashes; what is found is compared byte by byte.
+
+    Holds at most CACHE short pre-tokens; a full table is emptied. Bounds memory, never results.
+    """
+
+    def __init__(self, make: Callable[[str], list[int]]):
+        self.make = make
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.slots = np.zeros(0, K.U), np.zeros(0, np.int64)
+        self.body, self.body_at = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+        self.ids, self.ids_at = np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _find(self, hashes: np.ndarray, body: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The slot of each piece, -1 if it is not there."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        place = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        slot = np.where(self.hashes[place] == hashes, self.slots[place], -1)
+        size = np.diff(at)
+        slot[(slot >= 0) & (np.diff(self.body_at)[slot] != size)] = -1
+        rows = np.flatnonzero(slot >= 0)
+        mine, theirs = gather(at[rows], size[rows]), gather(self.body_at[slot[rows]], size[rows])
+        wrong = np.flatnonzero(body[mine] != self.body[theirs])
+        if len(wrong):
+            slot[rows[np.searchsorted(np.cumsum(size[rows]), wrong, "right")]] = -1
+        return slot
+
+    def __call__(self, body: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the pieces body[at[k]:at[k + 1]], where each one's begin and the end)."""
+        hashes = K.span_hash(K.prefix_hash(body), at[:-1], at[1:])
+        slot = self._find(hashes, body, at)
+        known = slot >= 0
+        size = np.zeros(len(slot), np.int64)
+        size[known] = np.diff(self.ids_at)[slot[known]]
+        new = np.flatnonzero(~known)
+        if not len(new):
+            return self.ids[gather(self.ids_at[slot], size)], np.append(0, np.cumsum(size))
+        made = [self.make(body[a:b].tobytes().decode()) for a, b in zip(at[new].tolist(), at[new + 1].tolist(), strict=True)]
+        size[new] = list(map(len, made))
+        fresh = np.fromiter(itertools.chain.from_iterable(made), np.int32, int(size[new].sum()))
+        starts = np.append(0, np.cumsum(size))
+        out = np.empty(starts[-1], np.int32)
+        out[gather(starts[:-1][known], size[known])] = self.ids[gather(self.ids_at[slot[known]], size[known])]
+        out[gather(starts[new], size[new])] = fresh
+        self._keep(hashes, body, at, out, starts, new[np.diff(at)[new] <= LONGEST_CACHED])
+        return out, starts
+
+    def _keep(self, hashes: np.ndarray, body: np.ndarray, at: np.ndarray, ids: np.ndarray, starts: np.ndarray, new: np.ndarray) -> None:
+        if len(self.hashes) + len(new) > CACHE:
+            self.clear()
+        n = len(self.body_at) - 1
+        length, size = np.diff(at)[new], np.diff(starts)[new]
+        self.body = np.concatenate([self.body, body[gather(at[new], length)]])
+        self.body_at = np.concatenate([self.body_at, self.body_at[-1] + np.cumsum(length)])
+        self.ids = np.concatenate([self.ids, ids[gather(starts[new], size)]])
+        self.ids_at = np.concatenate([self.ids_at, self.ids_at[-1] + np.cumsum(size)])
+        slots = np.concatenate([self.slots, n + np.arange(len(new))])
+        both = np.concatenate([self.hashes, hashes[new]])
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.slots = both[order], slots[order]
+
+
+def gather(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indices of the runs [start, start + size), one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
+class BlockEncoder:
+    """Encodes blocks of texts: each distinct pre-token of a block is looked up once, its ids are gathered by index."""
+
+    def __init__(self, path: str):
+        self.bpe = load(path)
+        common = os.path.commonprefix(list(self.bpe.added)).encode() if self.bpe.added else b""
+        self.whole = bool(self.bpe.added) and not common  # special tokens without a common start: texts go one by one
+        self.special = common[:2]
+        self.table = PieceTable(self.bpe.word)
+        size = max(self.bpe.names) + 1
+        self.id_words = pa.array([f"{i} " for i in range(size)], pa.large_string())
+        self.name_words = pa.array([f"{self.bpe.names.get(i, '')} " for i in range(size)], pa.large_string())
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin and the end)."""
+        if not len(data):
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
+        if self.whole:
+            texts = [self.bpe.encode(data[a:b].tobytes().decode()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            return np.array([i for t in texts for i in t], np.int32), np.cumsum([0, *map(len, texts)])
+        low, cuts = split_pieces(data, offsets, self.special)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(low)]).dictionary_encode()
+        flat, starts = self.table(*K.utf8(pieces.dictionary))
+        which = pieces.indices.to_numpy()
+        count = np.diff(starts)[which]
+        return flat[gather(starts[which], count)], np.append(0, np.cumsum(count))[np.searchsorted(cuts, offsets)]
+
+    def joined(self, ids: np.ndarray, starts: np.ndarray, words: pa.Array) -> list[memoryview]:
+        """For each text its ids' words, joined by one space."""
+        taken = words.take(pa.array(ids))
+        where = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(ids) + 1]
+        body = memoryview(taken.buffers()[2] or b"")
+        at = where[starts]
+        return [body[a : max(a, b - 1)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+
+_encoders: dict[str, BlockEncoder] = {}
+
+
+def encoder(path: str) -> BlockEncoder:
+    """A worker's encoder, kept over its tasks."""
+    if path not in _encoders:
+        _encoders[path] = BlockEncoder(path)
+    return _encoders[path]
 
 
 def _with(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
@@ -235,11 +399,11 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
     """All columns of df and the ids of each text, as an array of int."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        cache = word_cache(path, "ids", lambda _, ids: ids)
+        encode_block = encoder(path)
         for batch in batches:
-            ids = [[i for w in bpe.words(x or "") for i in cache[w]] for x in batch.column(text).to_pylist()]
-            yield batch.append_column(out, pa.array(ids, pa.list_(pa.int32())))
+            for part, data, offsets in K.blocks(batch, text, TEXT_BLOCK):
+                ids, starts = encode_block(data, offsets)
+                yield part.append_column(out, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids)))
 
     return df.mapInArrow(run, _with(df, [T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
@@ -258,28 +422,17 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 def round_trip_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, ids_sha256, decoded_sha256) of each text, encoded and decoded in one pass.
 
-    A document's ids never leave the worker. The cache holds, for each word, its ids as written and its decoded text.
+    A document's ids never leave the worker. What ``decode`` gives is the tokens' names joined by a space.
     """
     fields = T.StructType([df.schema[key], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
-    def made(bpe: PrefixBPE, ids: list[int]) -> tuple[str, str, int]:
-        return " ".join(map(str, ids)), bpe.decode(ids), len(ids)
-
-    def sha(parts: list[str]) -> str:
-        return hashlib.sha256(" ".join(parts).encode()).hexdigest()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
-        cache = word_cache(path, "digests", made)
+        encode_block = encoder(path)
         for batch in batches:
-            n, ids, decoded = [], [], []
-            for x in batch.column(text):
-                got = [cache[w] for w in bpe.words(x.as_py() or "")]
-                n.append(sum([g[2] for g in got]))
-                got = [g for g in got if g[2]]
-                ids.append(sha([g[0] for g in got]))
-                decoded.append(sha([g[1] for g in got]))
-            yield pa.record_batch([batch.column(key), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
+            for part, data, offsets in K.blocks(batch, text, TEXT_BLOCK):
+                ids, starts = encode_block(data, offsets)
+                digests = [pa.array([hashlib.sha256(x).hexdigest() for x in encode_block.joined(ids, starts, words)], pa.string()) for words in (encode_block.id_words, encode_block.name_words)]
+                yield pa.record_batch([part.column(key), pa.array(np.diff(starts)), *digests], names=[key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(key, text).mapInArrow(run, fields)
 

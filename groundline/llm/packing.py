@@ -15,12 +15,14 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundline.llm import bpe
+from groundline.llm import kernels as K
 from groundline.llm.tables import cut, read
 
 CAPACITY = 2048
@@ -39,24 +41,22 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc
     schema = T.StructType([docs.schema[key], *[T.StructField(n, k) for n, k in zip(names[1:], kinds, strict=False)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = bpe.load(path)
-        cache = bpe.word_cache(path, "bytes", lambda _, ids: b"".join([i.to_bytes(4, "little") for i in ids]))
-        step = 4 * capacity
+        encode_block = bpe.encoder(path)
         for batch in batches:
-            row, piece, start, length, crc, kept = [], [], [], [], [], []
-            for i, x in enumerate(batch.column(text)):
-                ids = b"".join([cache[w] for w in tokens.words(x.as_py() or "")]) + b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), step)):
-                    part = ids[at : at + step]
-                    row.append(i)
-                    piece.append(k)
-                    start.append(at // 4)
-                    length.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-                    if keep_ids:
-                        kept.append(part)
-            columns = [batch.column(key).take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64()), *([pa.array(kept, pa.binary())] if keep_ids else [])]
-            yield pa.record_batch(columns, names=names)
+            for part, data, offsets in K.blocks(batch, text, bpe.TEXT_BLOCK):
+                ids, starts = encode_block(data, offsets)
+                body = memoryview(np.insert(ids, starts[1:], 0).astype("<i4").tobytes())
+                sizes = np.diff(starts) + 1
+                count = -(-sizes // capacity)
+                row = np.repeat(np.arange(len(sizes)), count)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = piece * capacity
+                length = np.minimum(sizes[row] - start, capacity)
+                first = (np.cumsum(sizes) - sizes)[row] + start
+                parts = [body[4 * a : 4 * b] for a, b in zip(first.tolist(), (first + length).tolist(), strict=True)]
+                crc = pa.array([zlib.crc32(x) for x in parts], pa.int64())
+                kept = [pa.array([bytes(x) for x in parts], pa.binary())] if keep_ids else []
+                yield pa.record_batch([part.column(key).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), crc, *kept], names=names)
 
     return docs.select(key, text).mapInArrow(run, schema)
 
