@@ -6,17 +6,21 @@ of nodes is a candidate if at least ``MATCHES`` of ``COORDINATES`` values agree:
 that with a probability under 1e-6. Prefix merging: with values in order of rising frequency, such a pair shares one of
 its first COORDINATES - MATCHES + 1 values, so only these are posted; values that stand once use up places and are skipped.
 
-Posting lists are never expanded into all pairs at once. First every node is compared with the most central node of the
-lists it is in, of several the one with which it collides most; links found join nodes into components. In further rounds
-nodes outside a list's largest component are compared with its members, one a list and round. Then only pairs of nodes of
-different components are left, and all of them are compared. Candidates are confirmed on their full sets, so no false link stays;
-links within one component would not change the result.
+Posting lists are never expanded into pairs of rows. Each list has a leader, its node of the most frequent values; a cell
+is a leader with all nodes of its lists, so every pair that shares a posted value meets in a cell. First every node is
+compared with its leaders, and links join nodes into components. In cells that then hold several components, nodes of
+different components are compared with each other: a cell is dealt to tasks as pairs of bounded chunks, members of its
+largest component are never compared among themselves, signatures are compared first, and only nodes with a candidate are
+compared on their full sets, all of a chunk's at once. A task returns a spanning forest of the links it finds, so rows
+grow with the nodes, not with the pairs. Chunk pairs of a cell still grow with its nodes outside the largest component
+times its size. No link between candidates is lost; links within one component would not change the result.
 
 Null, empty and blank texts have an empty set, link with nothing and are components of their own. Fewer words than a
 shingle has are one shingle. Repeated rows are linked and get a row each; of equal keys with different texts each row is
 judged by its text. A row with a null key is in a component like others, whose id is the least key that is not null;
 ``link_classes`` marks it as kept only if its text is empty. ``deduplicate`` goes by rows: it leaves one row of each class,
-a row with a null key where there is no other. An empty table gives an empty result. Only key and text are read.
+a row with a null key where there is no other. An empty table gives an empty result. Only key and text are read; other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -31,13 +35,19 @@ from pyspark.sql import types as T
 
 from groundline.llm import kernels as K
 from groundline.llm.graph import components
-from groundline.llm.tables import cut, read, row_hash
+from groundline.llm.tables import cut, free_name, read, row_hash, shards_for
 
 COORDINATES = 64
 MATCHES = 34
 #: Slots of the filter that tells which sets are needed: a fixed 2 MB, whatever the input. Other sets pass at times and cost only time.
 SLOTS = 1 << 24
 SHINGLE = 5
+#: Nodes whose values are counted together, and nodes and shingles of a chunk of a cell.
+BLOCK_NODES = 16_384
+CHUNK, CHUNK_SHINGLES = 500, 1 << 21
+#: A signature that is kept in memory by this many rows a task is not sent again.
+SEEN = 1_000_000
+
 _seeds = K.mix(np.arange(1, 2 * COORDINATES + 1, dtype=K.U) * K.U(0x9E3779B97F4A7C15))
 
 
@@ -74,35 +84,38 @@ def node_ids(sets: np.ndarray, ptr: np.ndarray) -> np.ndarray:
 
 
 def signatures(sets: np.ndarray, ptr: np.ndarray) -> np.ndarray:
-    """(texts, COORDINATES): the least value of each coordinate's hash; the low six bits name the coordinate."""
-    out = np.zeros((len(ptr) - 1, COORDINATES), K.U)
+    """(texts, COORDINATES) of 32 bits each: a hash of the least value of each coordinate's hash; 0 for an empty set."""
+    out = np.zeros((len(ptr) - 1, COORDINATES), np.uint32)
     full = np.flatnonzero(np.diff(ptr))
     if len(full):
         for j in range(COORDINATES):
             x = (sets + _seeds[2 * j]) * (_seeds[2 * j + 1] | K.U(1))
             x ^= x >> K.U(32)
             x *= K.U(0x9FB21C651E98DF25)
-            out[full, j] = np.minimum.reduceat(x, ptr[full])
-    return (out & ~K.U(63)) | np.arange(COORDINATES, dtype=K.U)
+            out[full, j] = K.mix(np.minimum.reduceat(x, ptr[full])) >> K.U(32)
+    return out
 
 
 def sign(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """(key, n_shingles, node, signature) of every row; node and signature are null for an empty set."""
+    """(key, n_shingles, node, signature) of every row; node and signature are null for an empty set.
+
+    A task sends a node's signature with the first row that has it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            for part, data, offsets in K.blocks(batch, text):
+            for part, data, offsets in K.blocks(batch, "_text"):
                 sets, ptr = shingle_sets(data, offsets, words)
-                sig = signatures(sets, ptr).view(np.int64)
-                empty = np.diff(ptr) == 0
-                lists = pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), COORDINATES).cast(pa.list_(pa.int64()))
-                none = pa.array(empty)
-                lists = pa.compute.if_else(none, pa.scalar(None, lists.type), lists)
-                node = pa.array(node_ids(sets, ptr).view(np.int64), mask=empty)
-                yield pa.record_batch([part.column(key), pa.array(np.diff(ptr)), node, lists], names=[key, "n_shingles", "node", "signature"])
+                node, empty = node_ids(sets, ptr).view(np.int64), np.diff(ptr) == 0
+                known = np.array([e or n in seen or seen.add(n) is not None for n, e in zip(node.tolist(), empty.tolist(), strict=True)], bool)
+                if len(seen) > SEEN:
+                    seen.clear()
+                rows = pa.array([x.tobytes() for x in signatures(sets, ptr)], pa.binary())
+                yield pa.record_batch([part.column("_key"), pa.array(np.diff(ptr)), pa.array(node, mask=empty), pa.compute.if_else(pa.array(known), pa.scalar(None, pa.binary()), rows)], names=["_key", "n_shingles", "node", "signature"])
 
-    schema = T.StructType([docs.schema[key], T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("signature", T.ArrayType(T.LongType()))])
-    return docs.select(key, text).mapInArrow(run, schema)
+    schema = T.StructType([T.StructField("_key", docs.schema[key].dataType), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.LongType()), T.StructField("signature", T.BinaryType())])
+    return docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
 
 def wanted_sets(docs: DataFrame, nodes: DataFrame, text: str, words: int) -> DataFrame:
@@ -131,20 +144,118 @@ def wanted_sets(docs: DataFrame, nodes: DataFrame, text: str, words: int) -> Dat
     return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
+def _pack(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(x: bytes, kind: type, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd"), kind)
+
+
+def _sorted_tokens(signature: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of a block in order of (shard, token), how often each stands there, and each place's token."""
+    token = signature.astype(K.U) | (np.arange(COORDINATES, dtype=K.U) << K.U(32))
+    distinct, back, count = np.unique(token.ravel(), return_inverse=True, return_counts=True)
+    shard = K.mix(distinct) % K.U(shards)
+    order = np.argsort(shard, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return distinct[order], count[order], place[back.reshape(signature.shape)]
+
+
+def postings(signed: DataFrame, shards: int) -> DataFrame:
+    """(token, node, fame): each node's prefix of rare coordinate values, those that stand once left out.
+
+    Blocks of nodes send their distinct values, sorted and packed, to shards by hash; a shard adds up how often each
+    value stands and answers every block with its values' totals. fame sums the totals of a node's values that stand
+    more than once: it is greatest in the middle of a group.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+
+        def made(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            nonlocal block
+            block += 1
+            node = part.column("node").to_numpy()
+            signature = np.frombuffer(b"".join(part.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+            token, count, _ = _sorted_tokens(signature, shards)
+            shard = (K.mix(token) % K.U(shards)).astype(np.int64)
+            ends = np.searchsorted(shard, np.arange(shards + 1))
+            used = np.flatnonzero(np.diff(ends))
+            cuts = [(int(ends[k]), int(ends[k + 1])) for k in used]
+            yield pa.record_batch([pa.array(np.full(len(used) + 1, block)), pa.array([-1, *used.tolist()], pa.int64()), pa.array([len(node), *[b - a for a, b in cuts]], pa.int64()), pa.array([node.tobytes(), *[_pack(token[a:b]) for a, b in cuts]], pa.binary()), pa.array([signature.tobytes(), *[_pack(count[a:b].astype(np.uint32)) for a, b in cuts]], pa.binary())], names=["block", "shard", "n", "x", "y"])
+
+        held, n = [], 0
+        for batch in batches:
+            while n + batch.num_rows >= BLOCK_NODES:
+                held.append(batch.slice(0, BLOCK_NODES - n))
+                batch, n = batch.slice(BLOCK_NODES - n), 0
+                yield from made(pa.Table.from_batches(held))
+                held = []
+            held.append(batch)
+            n += batch.num_rows
+        if n:
+            yield from made(pa.Table.from_batches(held))
+
+    def totals(table: pa.Table) -> pa.Table:
+        n, own = table.column("n").to_pylist(), table.column("x").to_pylist()
+        token = np.concatenate([_unpack(x, K.U, k) for x, k in zip(own, n, strict=True)])
+        count = np.concatenate([_unpack(x, np.uint32, k) for x, k in zip(table.column("y").to_pylist(), n, strict=True)])
+        _, back = np.unique(token, return_inverse=True)
+        total = np.bincount(back, count).astype(np.int64)[back]
+        ends = np.cumsum(n)
+        return pa.table({"block": table.column("block"), "shard": table.column("shard"), "n": table.column("n"), "x": pa.array([_pack(total[e - k : e]) for e, k in zip(ends, n, strict=True)], pa.binary())})
+
+    def posted(nodes: pa.Table, answers: pa.Table) -> pa.Table:
+        node = np.frombuffer(nodes.column("x")[0].as_py(), np.int64)
+        signature = np.frombuffer(nodes.column("y")[0].as_py(), np.uint32).reshape(-1, COORDINATES)
+        token, _, place = _sorted_tokens(signature, shards)
+        answers = answers.sort_by("shard")
+        total = np.concatenate([_unpack(x, np.int64, k) for x, k in zip(answers.column("x").to_pylist(), answers.column("n").to_pylist(), strict=True)])
+        n = total[place]
+        often = n > 1
+        places = np.maximum(often.sum(1) - (MATCHES - 1), 0)
+        fame = np.where(often, n, 0).sum(1)
+        # one order of values for all nodes: by total, then by value; those that stand once come first and are skipped
+        rank = np.empty(len(token), np.int64)
+        rank[np.lexsort((token, total))] = np.arange(len(token))
+        order = np.argsort(rank[place], axis=1)
+        at = np.arange(COORDINATES) - (COORDINATES - often.sum(1))[:, None]
+        chosen = (at >= 0) & (at < places[:, None])
+        row = np.nonzero(chosen)[0]
+        return pa.table({"token": token[np.take_along_axis(place, order, 1)[chosen]].view(np.int64), "node": node[row], "fame": fame[row]})
+
+    made = cut(signed.select("node", "signature").mapInArrow(blocks, "block long, shard long, n long, x binary, y binary"))
+    answers = made.filter("shard >= 0").groupBy("shard").applyInArrow(totals, "block long, shard long, n long, x binary")
+    return made.filter("shard < 0").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(posted, "token long, node long, fame long")
+
+
+def _matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return (x == y).sum(-1)
+
+
+def _low_bytes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
+
+
 def _alike(pairs: DataFrame, signed: DataFrame, percent: int) -> DataFrame:
-    """(a, b, same): the pairs whose sizes and signatures allow the similarity, and how many coordinates agree."""
-    side = lambda x: signed.select(F.col("node").alias(x), F.col("signature").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    same = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda n, x: n + x)
-    sized = both.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    return sized.select("a", "b", same.alias("same")).filter(F.col("same") >= MATCHES)
+    """(a, b): the pairs whose sizes and signatures allow the similarity. Signatures are compared by a byte a value."""
+    side = lambda x: signed.select(F.col("node").alias(x), F.col("bytes").alias(f"s{x}"), F.col("n_shingles").alias(f"n{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.select(["a", "b"]).filter(pa.array(_matches(_low_bytes(batch.column("sa")), _low_bytes(batch.column("sb"))) >= MATCHES))
+
+    return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets are alike enough."""
     pairs = cut(pairs)
-    if pairs.isEmpty():
-        return pairs
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     sets = cut(wanted_sets(docs, nodes, text, words))
     both = pairs.join(sets.withColumnsRenamed({"node": "a", "shingles": "x"}), "a").join(sets.withColumnsRenamed({"node": "b", "shingles": "y"}), "b")
@@ -161,77 +272,133 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, text: str, words: int, percent
     return cut(both.mapInArrow(run, "a long, b long"))
 
 
-def postings(signed: DataFrame) -> DataFrame:
-    """(token, node, fame): each node's prefix of rare coordinate values, those that stand once left out.
+def _dealt(met: DataFrame, roots: DataFrame, signed: DataFrame) -> DataFrame:
+    """(leader, i, j, node, root, n_shingles, bytes): the cells that hold several components, as pairs of chunks.
 
-    Counts go by a 32-bit hash of the value: that keeps one order for all nodes, and a value that stands once is at worst
-    posted needlessly. fame sums the counts of a node's values: it is greatest in the middle of a group.
+    A small cell is one group. Of a larger one the members of its largest component are dealt to chunks, and so are the
+    other nodes; each chunk of the others meets every chunk.
     """
-    tokens = signed.select("node", F.explode("signature").alias("token")).withColumn("h", F.hash("token"))
-    counts = tokens.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
-    own = tokens.join(counts, "h").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own"), F.sum("n").alias("fame"))
-    places = F.size("own") - F.lit(MATCHES - 1)
-    return own.filter(places > 0).select("node", "fame", F.explode(F.slice("own", F.lit(1), places)).alias("t")).select("t.token", "node", "fame")
-
-
-def _components(links: list[DataFrame]) -> DataFrame:
-    edges = links[0]
-    for more in links[1:]:
-        edges = edges.union(more)
-    return components(edges)
-
-
-def _labelled(posted: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Postings with each node's component and its size, without the lists that lie within one component."""
-    if roots is None:
-        p = posted.withColumn("root", F.col("node")).withColumn("size", F.lit(1).cast("long"))
-    else:
-        sizes = roots.groupBy("component").agg(F.count("*").alias("size"))
-        r = roots.join(sizes, "component").withColumnRenamed("component", "root")
-        p = posted.join(r, "node", "left").withColumn("root", F.coalesce("root", "node")).withColumn("size", F.coalesce("size", F.lit(1).cast("long")))
-    ends = p.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-    return p.join(ends.select("token"), "token")
-
-
-def _placed(docs: DataFrame, key: str, text: str, words: int, percent: int, star_rounds: int = 5) -> DataFrame:
-    """(key, n_shingles, node, component, class) of every row of docs; class is null for an empty set."""
-    signed_rows = cut(sign(docs, key, text, words))
-    signed = cut(signed_rows.filter("node is not null").dropDuplicates(["node"]).select("node", "n_shingles", "signature"))
-    posted = cut(postings(signed))
-    links: list[DataFrame] = []
-    roots = None
-    for turn in range(star_rounds):
-        p = _labelled(posted, roots)
-        # first a list's most central node, then nodes of its largest component in turn
-        rank = F.struct(-F.col("fame"), "node", "root") if not turn else F.struct(-F.col("size"), "root", F.xxhash64("node", "token", F.lit(turn)), "node")
-        leaders = p.groupBy("token").agg(F.min(rank).alias("l")).select("token", F.col("l.node").alias("b"), F.col("l.root").alias("leader_root"))
-        met = p.join(leaders, "token").filter("root <> leader_root").groupBy(F.col("node").alias("a"), "b").agg(F.count("*").alias("n"))
-        if turn:  # few nodes are left: of their lists' leaders the two that look most alike
-            near = _alike(met.select("a", "b"), signed, percent).groupBy("a").agg(F.array_sort(F.collect_list(F.struct(-F.col("same"), "b"))).alias("m"))
-            pairs = near.select("a", F.explode(F.slice("m", 1, 2)).alias("m")).select("a", "m.b")
-        else:
-            pairs = _alike(met.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b")), signed, percent).select("a", "b")
-        found = _confirmed(pairs, docs, text, words, percent)
-        if found.isEmpty():
-            break
-        links.append(found)
-        roots = cut(_components(links))
-    # what star rounds could not join: all pairs of nodes of different components that share a rare value
-    p = _labelled(posted, roots)
-    q = p.select("token", F.col("node").alias("b"), F.col("root").alias("other"))
-    rest = p.withColumnRenamed("node", "a").join(q, "token").filter("a < b and root <> other").select("a", "b").distinct()
-    links.append(_confirmed(_alike(rest, signed, percent).select("a", "b"), docs, text, words, percent))
-    roots = cut(_components(links))
-    return signed_rows.select(key, "n_shingles", "node").join(roots, "node", "left").withColumn("class", F.coalesce("component", "node"))
-
-
-def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = 80, star_rounds: int = 5) -> DataFrame:
+    placed = met.join(roots.withColumnRenamed("component", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    info = placed.join(signed.select("node", "n_shingles", "bytes"), "node")
+    by_root = info.groupBy("leader", "root").agg(F.count("*").alias("k"), F.sum("n_shingles").alias("size"))
+    cells = by_root.groupBy("leader").agg(F.count("*").alias("kinds"), F.max(F.struct("k", "size", "root")).alias("main"), F.sum("k").alias("k"), F.sum("size").alias("size")).filter("kinds > 1")
+    chunks = lambda k, size: F.greatest(F.ceil(k / CHUNK), F.ceil(size / CHUNK_SHINGLES), F.lit(1)).cast("int")
+    cells = cells.select("leader", F.col("main.root").alias("main"), chunks(F.col("k"), F.col("size")).alias("all"), chunks(F.col("main.k"), F.col("main.size")).alias("inner"), chunks(F.col("k") - F.col("main.k"), F.col("size") - F.col("main.size")).alias("outer"))
+    own = info.join(cells, "leader")
+    inside, hashed = F.col("root") == F.col("main"), F.xxhash64("node")
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    at_in, at_out = F.pmod(hashed, F.col("inner")).cast("int"), F.pmod(hashed, F.col("outer")).cast("int")
+    inner, outer = F.sequence(F.lit(0), F.col("inner") - 1), F.sequence(F.lit(0), F.col("outer") - 1)
+    # chunks of others are numbered from 0, chunks of the largest component from -1 downwards
+    of_inside = F.transform(outer, lambda j: pair(j, -1 - at_in))
+    of_outside = F.concat(F.transform(inner, lambda i: pair(at_out, -1 - i)), F.transform(outer, lambda j: pair(F.least(j, at_out), F.greatest(j, at_out))))
+    groups = F.when(F.col("all") == 1, F.array(pair(F.lit(0), F.lit(0)))).when(inside, of_inside).otherwise(of_outside)
+    return own.select("leader", "node", "root", "n_shingles", "bytes", F.explode(groups).alias("g")).select("leader", "g.i", "g.j", "node", "root", "n_shingles", "bytes")
+
+
+def _candidates(root: np.ndarray, n: np.ndarray, values: np.ndarray, percent: int) -> np.ndarray:
+    """(nodes, nodes): may the pair be a link that joins two components? By sizes and signatures, in strips."""
+    out = np.zeros((len(n), len(n)), bool)
+    for a in range(0, len(n), 64):
+        b = min(a + 64, len(n))
+        fits = (root[a:b, None] != root) & (100 * np.minimum(n[a:b, None], n) >= percent * np.maximum(n[a:b, None], n))
+        i, j = np.nonzero(fits)
+        out[a + i, j] = _matches(values[a + i], values[j]) >= MATCHES
+    return out
+
+
+def common_sizes(sets: list[np.ndarray], strip: int = 8192) -> np.ndarray:
+    """(sets, sets): how many elements each two have in common, by products of membership matrices, a strip at a time."""
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    element, back, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(count > 1)
+    number = np.full(len(element), -1, np.int64)
+    number[shared] = np.arange(len(shared))
+    row, column = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), number[back]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for a in range(0, len(shared), strip):
+        lo, hi = np.searchsorted(column, [a, a + strip])
+        inside = np.zeros((len(sets), min(strip, len(shared) - a)), np.float32)
+        inside[row[lo:hi], column[lo:hi] - a] = 1
+        out += inside @ inside.T
+    return out
+
+
+def spanning_forest(links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of the edges of a spanning forest of a symmetric adjacency matrix."""
+    left, child, parent = links.any(1), [], []
+    while left.any():
+        front = [int(np.argmax(left))]
+        left[front[0]] = False
+        while front:
+            at = front.pop()
+            new = np.flatnonzero(links[at] & left)
+            left[new] = False
+            child += new.tolist()
+            parent += [at] * len(new)
+            front += new.tolist()
+    return np.array(child, np.int64), np.array(parent, np.int64)
+
+
+def _across(met: DataFrame, roots: DataFrame, signed: DataFrame, docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
+    """(a, b): links that join different components of a cell, a spanning forest for each pair of chunks."""
+    dealt = cut(_dealt(met, roots, signed))
+
+    def near(table: pa.Table) -> pa.Table:
+        root, n = table.column("root").to_numpy(), table.column("n_shingles").to_numpy()
+        return table.filter(pa.array(_candidates(root, n, _low_bytes(table.column("bytes")), percent).any(1)))
+
+    groups = ["leader", "i", "j"]
+    wanted = cut(dealt.groupBy(*groups).applyInArrow(near, dealt.schema))
+    sets = wanted_sets(docs, wanted.select("node").distinct(), text, words)
+    full = wanted.join(sets, "node")
+
+    def linked(table: pa.Table) -> pa.Table:
+        root, n, node = (table.column(c).to_numpy() for c in ("root", "n_shingles", "node"))
+        able = _candidates(root, n, _low_bytes(table.column("bytes")), percent)
+        common = common_sizes([np.frombuffer(x.as_buffer(), K.U) for x in table.column("shingles")])
+        a, b = spanning_forest(able & (100 * common >= percent * (n[:, None] + n - common)))
+        return pa.table({"a": node[a], "b": node[b]})
+
+    return full.groupBy(*groups).applyInArrow(linked, "a long, b long").distinct()
+
+
+def _placed(docs: DataFrame, key: str, text: str, words: int, percent: int) -> DataFrame:
+    """(_key, n_shingles, node, class) of every row of docs; class is null for an empty set."""
+    rows = cut(sign(docs, key, text, words))
+    signed = rows.filter("signature is not null").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
+    shards = shards_for(docs.sparkSession, rows.count() * COORDINATES * 9)
+    signed = cut(_with_bytes(signed))
+    posted = cut(postings(signed, shards))
+    leaders = posted.groupBy("token").agg(F.max(F.struct("fame", "node")).alias("l"), F.count("*").alias("k")).filter("k > 1").select("token", F.col("l.node").alias("leader"))
+    met = cut(posted.select("token", "node").join(leaders, "token").select("leader", "node").distinct())
+    star = met.filter("leader <> node").select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    first = _confirmed(_alike(star, signed, percent), docs, text, words, percent)
+    roots = cut(components(first))
+    more = cut(_across(met, roots, signed, docs, text, words, percent))
+    roots = cut(components(first.union(more)))
+    return rows.select("_key", "n_shingles", "node").join(roots, "node", "left").withColumn("class", F.coalesce("component", "node"))
+
+
+def _with_bytes(signed: DataFrame) -> DataFrame:
+    """signed with the lowest byte of each value of the signature; two different values agree in it by chance once in 256."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES).astype(np.uint8)
+            yield batch.append_column("bytes", pa.array([x.tobytes() for x in low], pa.binary()))
+
+    return signed.mapInArrow(run, T.StructType([*signed.schema.fields, T.StructField("bytes", T.BinaryType())]))
+
+
+def link_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row of docs."""
-    placed = _placed(docs, key, text, words, percent, star_rounds)
-    least = placed.filter("node is not null").groupBy("class").agg(F.min(key).alias("least"))
+    placed = _placed(docs, key, text, words, percent)
+    least = placed.filter("node is not null").groupBy("class").agg(F.min("_key").alias("least"))
     out = placed.join(least, "class", "left")
-    component = F.when(F.col("node").isNull(), F.col(key)).otherwise(F.col("least"))
-    return out.select(key, "n_shingles", component.alias("component_id"), F.coalesce(F.col(key) == component, F.col("node").isNull()).alias("kept"))
+    component = F.when(F.col("node").isNull(), F.col("_key")).otherwise(F.col("least"))
+    return out.select(F.col("_key").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(F.col("_key") == component, F.col("node").isNull()).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = SHINGLE, percent: int = 80) -> DataFrame:
@@ -241,11 +408,12 @@ def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     """
     named = docs.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), row_hash(key, text).alias("row")).alias("who"), F.col(text).alias("text"))
     placed = _placed(named, "who", "text", words, percent)
-    first = placed.filter("class is not null").groupBy("class").agg(F.min("who").alias("who")).select("who")
-    chosen = cut(first.union(placed.filter("class is null").select("who").distinct()).select(F.col("who.row").alias("kept_row")))
+    first = placed.filter("class is not null").groupBy("class").agg(F.min("_key").alias("_key")).select("_key")
+    chosen = cut(first.union(placed.filter("class is null").select("_key").distinct()).select(F.col("_key.row").alias("row")))
+    name = free_name(docs, "kept_row")
     row = row_hash(docs[key], docs[text])
-    out = docs.join(chosen, row == F.col("kept_row"), "left_semi")
-    repeated = not placed.groupBy("who").count().filter("count > 1").isEmpty()
+    out = docs.join(chosen.withColumnRenamed("row", name), row == F.col(name), "left_semi")
+    repeated = not placed.groupBy("_key").count().filter("count > 1").isEmpty()
     return out.dropDuplicates([key, text]) if repeated else out
 
 

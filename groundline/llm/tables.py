@@ -45,3 +45,16 @@ def release(spark: SparkSession) -> None:
     """Let Spark drop shuffle and checkpoint files of tables that nothing refers to any more; it waits for collections."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+def shards_for(spark: SparkSession, size: int, each: int = 16 << 20) -> int:
+    """How many shards hold ``size`` bytes, ``each`` bytes apiece: as many as shuffle partitions at least."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
