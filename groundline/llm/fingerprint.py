@@ -24,54 +24,66 @@ from groundline.llm.tables import read
 GRAM = 2
 BUCKET_BITS = 5
 LEAST = 2
+#: Bits of a long that hold a k-mer's place; the others are of its hash.
+PLACE_BITS = 28
 TOKEN = r"[^\x20\x09-\x0D]{1,16}"
 #: Ranges of ids that are dealt out for the successor; a bound on what the driver gets.
-RANGES = 512
+RANGES = 2048
+
+
+def _shifted(a: Column, by: int, size: Column, none: Column) -> Column:
+    """The element ``by`` places before each one; none at the start."""
+    return F.concat(F.array_repeat(none, by), F.slice(a, F.lit(1), F.greatest(size - by, F.lit(0))))
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
     """All columns of df and the array of a text's tuple hashes, each written with its class.
 
-    Temporary columns begin with ``_omh_``. Every array that a step reads twice is a column of its own, so no step is
-    evaluated again for each element.
+    Arrays hold plain longs, a hash in the high bits and the place in the text in the low PLACE_BITS, so they are sorted as
+    numbers. Temporary columns begin with ``_omh_``. Every array that a step reads twice is a column of its own, so no step
+    is evaluated again for each element.
     """
     t = lambda name: f"_omh_{name}"
     c = lambda name: F.col(t(name))
-    n = F.size
+    n, none = F.size, F.lit(None).cast("long")
+    place = (1 << PLACE_BITS) - 1
+    packed = lambda h, at: h.bitwiseAND(F.lit(~place)).bitwiseOR(at)
+    high = lambda x: F.shiftright(x, PLACE_BITS)
+    at = lambda x: x.bitwiseAND(F.lit(place))
     df = df.withColumn(t("h"), F.transform(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), lambda w: F.xxhash64(w)))
-    follow = lambda a, k: F.slice(a, F.lit(1 + k), n(a))
     grams = c("h")
     for k in range(1, GRAM):
-        grams = F.zip_with(F.slice(grams, F.lit(1), n(c("h")) - k), follow(c("h"), k), lambda a, b: F.xxhash64(a, b))
+        grams = F.zip_with(F.slice(grams, F.lit(1), n(c("h")) - k), F.slice(c("h"), F.lit(1 + k), n(c("h"))), lambda a, b: F.xxhash64(a, b))
     whole = F.when(n(c("h")) > 0, F.array(F.xxhash64(c("h")))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn(t("x"), F.when(n(c("h")) >= GRAM, grams).otherwise(whole))
-    df = df.withColumn(t("s"), F.array_sort(F.transform(c("x"), lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
-    # runs of equal k-mers: where they begin, and where the next one does
-    none = F.array(F.lit(None).cast("struct<x:bigint,i:int>"))
-    fresh = F.zip_with(c("s"), F.concat(none, F.slice(c("s"), F.lit(1), F.greatest(n(c("s")) - 1, F.lit(0)))), lambda a, b: ~a.x.eqNullSafe(b.x))
-    starts = F.filter(F.transform(fresh, lambda f, j: F.when(f, j)), lambda j: j.isNotNull())
-    df = df.withColumn(t("r"), starts)
-    runs = F.zip_with(c("r"), F.concat(follow(c("r"), 1), F.array(n(c("s")))), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
-    df = df.withColumn(t("r"), F.when(n(c("s")) > 0, runs).otherwise(F.array().cast("array<struct<a:int,n:int>>")))
-    numbered = lambda r: F.transform(F.slice(c("s"), r.a + 1, r.n), lambda v, o: F.struct(F.xxhash64(v.x, o).alias("e"), v.i.alias("i")))
-    # s is also read by the next column, so it stays a column and is not evaluated inside the function
-    df = df.withColumn(t("u"), F.flatten(F.transform(c("r"), numbered))).withColumn(t("n"), n(c("s")))
-    df = df.withColumn(t("u"), F.array_sort(c("u")))
+    # equal k-mers stand together, in text order
+    df = df.withColumn(t("s"), F.sort_array(F.transform(c("x"), lambda x, i: packed(x, i.cast("long")))))
+    df = df.withColumn(t("b"), _shifted(c("s"), 1, n(c("s")), none))
+    number = lambda x, o: packed(F.xxhash64(high(x), o), at(x))
+    again = lambda a, b: b.isNotNull() & (high(a) == high(b))
+    first = F.filter(F.zip_with(c("s"), c("b"), lambda a, b: F.when(~again(a, b), number(a, F.lit(0)))), lambda x: x.isNotNull())
+    later = F.filter(F.zip_with(c("s"), c("b"), lambda a, b: F.when(again(a, b), a)), lambda x: x.isNotNull())
+    df = df.withColumn(t("f"), first).withColumn(t("d"), later)
+    # the k-mers that stood before: runs of equal ones, numbered on from 1
+    begins = F.filter(F.zip_with(F.sequence(F.lit(0), n(c("d"))), F.zip_with(c("d"), _shifted(c("d"), 1, n(c("d")), none), lambda a, b: ~again(a, b)), lambda i, f: F.when(f, i)), lambda i: i.isNotNull())
+    df = df.withColumn(t("r"), F.when(n(c("d")) > 0, begins).otherwise(F.array().cast("array<int>")))
+    runs = F.zip_with(c("r"), F.concat(F.slice(c("r"), F.lit(2), F.greatest(n(c("r")) - 1, F.lit(0))), F.array(n(c("d")))), lambda a, b: F.struct(a.alias("a"), (b - a).alias("n")))
+    counted = F.flatten(F.transform(runs, lambda r: F.transform(F.slice(c("d"), r.a + 1, r.n), lambda v, o: number(v, o + 1))))
+    df = df.withColumn(t("u"), F.sort_array(F.when(n(c("d")) > 0, F.concat(c("f"), counted)).otherwise(c("f"))))
+    # of each class the LEAST minimal ones: those that have fewer than LEAST of their class before them
     bucket = lambda e: F.shiftrightunsigned(e, 64 - BUCKET_BITS)
-    gap = F.array_repeat(F.lit(None).cast("struct<e:bigint,i:int>"), LEAST)
-    least = F.zip_with(c("u"), F.concat(gap, F.slice(c("u"), F.lit(1), F.greatest(c("n") - LEAST, F.lit(0)))), lambda a, b: F.when(a.isNotNull() & (b.isNull() | (bucket(a.e) != bucket(b.e))), F.struct(bucket(a.e).alias("b"), a.i.alias("i"), a.e.alias("e"))))
-    df = df.withColumn(t("v"), F.array_sort(F.filter(least, lambda v: v.isNotNull())))
-    # tuples in text order: each element hashes on from the one before it in its class; the class's last one is the tuple
-    entry = F.lit(None).cast("struct<b:bigint,i:int,e:bigint>")
-    before = F.concat(F.array(entry), F.slice(c("v"), F.lit(1), F.greatest(n(c("v")) - 1, F.lit(0))))
-    chained = F.zip_with(c("v"), before, lambda a, p: F.struct(a.b.alias("b"), F.when(p.b == a.b, F.xxhash64(p.e, a.e)).otherwise(F.xxhash64(a.e)).alias("h")))
+    least = F.zip_with(c("u"), _shifted(c("u"), LEAST, n(c("u")), none), lambda a, b: F.when(b.isNull() | (bucket(a) != bucket(b)), a))
+    df = df.withColumn(t("v"), F.filter(least, lambda v: v.isNotNull()))
+    # tuples in text order, hashed; an element that begins a class stands for it
     if LEAST != 2:
         raise ValueError("tuples of two are written out here")
-    df = df.withColumn(t("w"), chained)
-    after = F.concat(F.slice(c("w"), F.lit(2), F.greatest(n(c("w")) - 1, F.lit(0))), F.array(F.lit(None).cast("struct<b:bigint,h:bigint>")))
-    last = F.zip_with(c("w"), after, lambda a, b: F.when(a.isNotNull() & ~a.b.eqNullSafe(b.b), F.concat(F.lpad(F.hex(a.b), 2, "0"), F.lpad(F.hex(a.h), 16, "0"))))
-    df = df.withColumn(out, F.filter(last, lambda x: x.isNotNull()))
-    return df.drop(*[t(k) for k in ("h", "x", "s", "r", "u", "n", "v", "w")])
+    before, after = lambda i: F.get(c("v"), i - 1), lambda i: F.get(c("v"), i + 1)
+    begins_class = lambda a, i: (i == 0) | (bucket(before(i)) != bucket(a))
+    pair = lambda a, b: F.when(at(a) < at(b), F.xxhash64(high(a), high(b))).otherwise(F.xxhash64(high(b), high(a)))
+    tuple_of = lambda a, i: F.when(after(i).isNotNull() & (bucket(after(i)) == bucket(a)), pair(a, after(i))).otherwise(F.xxhash64(high(a)))
+    written = F.transform(c("v"), lambda a, i: F.when(begins_class(a, i), F.concat(F.lpad(F.hex(bucket(a)), 2, "0"), F.lpad(F.hex(tuple_of(a, i)), 16, "0"))))
+    df = df.withColumn(out, F.array_sort(F.filter(written, lambda x: x.isNotNull())))
+    return df.drop(*[t(k) for k in ("h", "x", "s", "b", "f", "d", "r", "u", "v")])
 
 
 def likeness(a: Column, b: Column) -> Column:
