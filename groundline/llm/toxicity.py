@@ -11,8 +11,8 @@ score high too. A document's score is its worst sentence's margin, as a probabil
 The machine is fitted on a bounded sample: at most SAMPLE labelled documents of each class, of at most SAMPLE_CHARS
 characters each, dealt by a hash of the id. Everything else covers all documents and whole texts.
 
-Null and empty texts have no sentence and score as an empty sentence does. Sentences end at . ! ? and line ends and after
-LONGEST words; words longer than SPAN letters are read in overlapping spans. Documents without labels are scored like all
+Null and empty texts have no sentence and score as an empty sentence does. Words are runs without ASCII white
+space; sentences end after words that end with . ! ?, at line ends and after LONGEST words; words longer than SPAN letters are read in overlapping spans. Documents without labels are scored like all
 others; labels that are null or of unknown ids are not used; of several labels of an id the highest counts. Without
 labels of both classes every score is the share of toxic labels, or 0. Repeated rows get equal rows.
 """
@@ -20,16 +20,19 @@ labels of both classes every score is the share of toxic labels, or 0. Repeated
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from groundline.llm import kernels as K
 from groundline.llm.tables import read
 
 SAMPLE, SAMPLE_CHARS = 1000, 20_000
@@ -39,10 +42,12 @@ GRAM, DECAY, POWER = 3, 0.9, 3
 LEAST = 0.25
 LONGEST, SPAN = 40, 24
 THRESHOLD = 0.7
-CACHE = 300_000
+#: Words that a worker remembers the share of; a full table is emptied. Bounds memory, never results.
+CACHE = 2_000_000
 RIDGE = 0.0005
-CUT = re.compile(r"[.!?\n\r]+(?=\s|$)|[\n\r]+")
-SPACED = re.compile(r"(?<!\S)\w(?:\s\w){2,}(?!\S)")
+#: Words are runs without ASCII white space.
+WORD, WHITE, LINES = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\n\r]+")
+SPACED = re.compile(r"(?<![^\x20\x09-\x0D])\w(?:[\x20\x09-\x0D]\w){2,}(?![^\x20\x09-\x0D])")
 NOT_LETTERS = re.compile(r"[\W_]+")
 
 
@@ -51,13 +56,18 @@ def letters(word: str) -> str:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The distinct words of each sentence; single letters in a row are one word."""
-    text = SPACED.sub(lambda m: re.sub(r"\s", "", m[0]), text)
-    out = []
-    for s in CUT.split(text):
-        words = s.split()
-        out += [sorted(set(words[i : i + LONGEST])) for i in range(0, len(words), LONGEST)]
-    return out
+    """The distinct words of each sentence by their letters; single letters in a row are one word."""
+    text = SPACED.sub(lambda m: WHITE.sub("", m[0]), text)
+    out, words = [], []
+    for line in LINES.split(text):
+        for w in WORD.findall(line):
+            words.append(letters(w))
+            if w[-1] in ".!?":
+                out.append(words)
+                words = []
+        out.append(words)
+        words = []
+    return [sorted(set(s[i : i + LONGEST]) - {""}) for s in out for i in range(0, len(s), LONGEST)]
 
 
 def spans(word: str) -> list[str]:
@@ -296,42 +306,139 @@ def sample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return [r["t"] for r in rows], [r["y"] for r in rows]
 
 
+class Table:
+    """Columns of numbers by the hash of a word, in sorted arrays."""
+
+    def __init__(self, *kinds: type):
+        self.kinds = kinds
+        self.clear()
+
+    def clear(self) -> None:
+        self.hashes, self.columns = np.zeros(0, K.U), [np.zeros(0, k) for k in self.kinds]
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(which hashes are known, each column's values); values of unknown ones are any."""
+        if not len(self.hashes):
+            return np.zeros(len(hashes), bool), *[np.zeros(len(hashes), k) for k in self.kinds]
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return self.hashes[at] == hashes, *[c[at] for c in self.columns]
+
+    def add(self, hashes: np.ndarray, *columns: np.ndarray) -> None:
+        if len(self.hashes) + len(hashes) > CACHE:
+            self.clear()
+        both = np.concatenate([self.hashes, hashes])
+        order = np.argsort(both, kind="stable")
+        self.hashes, self.columns = both[order], [np.concatenate([old, new])[order] for old, new in zip(self.columns, columns, strict=True)]
+
+
+def hash_words(words: list[str]) -> np.ndarray:
+    body, at = K.utf8(pa.array(words, pa.string()))
+    return K.span_hash(K.prefix_hash(body), at[:-1], at[1:])
+
+
 class Scorer:
-    """Scores of texts with one machine; keeps the shares of words it has met, CACHE of them at most."""
+    """Scores of texts with one machine; the shares of words it has met are kept over a worker's tasks.
+
+    A word as written has a share, the hash of its letters and whether it is a single letter; a second table has the
+    shares by letters.
+    """
 
     def __init__(self, machine: Machine):
         self.machine = machine
-        self.known: dict[str, float] = {}  # by word as written
-        self.by_letters: dict[str, float] = {}
-
-    def __call__(self, texts: list[str | None]) -> np.ndarray:
-        docs = [sentences(t or "") for t in texts]
-        new = {w for d in docs for s in d for w in s}
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-        new = [w for w in new if w not in self.known]
-        plain = list(map(letters, new))
-        if len(self.by_letters) > 2 * CACHE:
-            self.by_letters.clear()
-        unseen = list({w for w in plain if w not in self.by_letters})
-        self.by_letters.update(zip(unseen, self.machine.shares(unseen).tolist(), strict=True))
-        self.known.update(zip(new, map(self.by_letters.__getitem__, plain), strict=True))
-        get = self.known.__getitem__
-        return self.machine.probability(np.array([self.machine.bias + max([sum(map(get, s)) for s in d], default=0.0) for d in docs]))
+        self.written, self.by_letters = Table(float, K.U, bool), Table(float)
+
+    def shares(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(shares, hashes) of words given by their letters."""
+        hashes = hash_words(words)
+        known, values = self.by_letters.find(hashes)
+        new, first = np.unique(hashes[~known], return_index=True)
+        if len(new):
+            at = np.flatnonzero(~known)[first]
+            found = self.machine.shares([words[i] for i in at])
+            self.by_letters.add(new, found)
+            values[~known] = found[np.searchsorted(new, hashes[~known])]
+        return values, hashes
+
+    def margins(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The margin of each text's worst sentence."""
+        out = np.full(len(offsets) - 1, self.machine.bias)
+        start, end, ptr = K.word_spans(data, offsets)
+        if not len(start):
+            return out
+        text = np.repeat(np.arange(len(out)), np.diff(ptr))
+        distinct, first, back = np.unique(K.span_hash(K.prefix_hash(data), start, end), return_index=True, return_inverse=True)
+        known, share, name, single = self.written.find(distinct)
+        new = np.flatnonzero(~known)
+        if len(new):
+            words = [data[a:b].tobytes().decode() for a, b in zip(start[first[new]].tolist(), end[first[new]].tolist(), strict=True)]
+            share[new], name[new] = self.shares([letters(w) for w in words])
+            single[new] = [len(w) == 1 and (w.isalnum() or w == "_") for w in words]
+            self.written.add(distinct[new], share[new], name[new], single[new])
+        share, name, text, start, end = self._joined(data, single[back], share[back], name[back], text, start, end)
+        # sentences: a new one at a text's first word, after . ! ? and after a line end, and after LONGEST words
+        lines = np.append(0, np.cumsum((data == 0x0A) | (data == 0x0D)))
+        fresh = np.ones(len(start), bool)
+        stop = np.isin(data[end - 1], np.frombuffer(b".!?", np.uint8))
+        fresh[1:] = (text[1:] != text[:-1]) | stop[:-1] | (lines[start[1:]] > lines[end[:-1]])
+        begin = np.flatnonzero(fresh)
+        place = np.arange(len(start)) - np.repeat(begin, np.diff(np.append(begin, len(start))))
+        sentence = np.cumsum(fresh | (place % LONGEST == 0)) - 1
+        names, name = np.unique(name, return_inverse=True)
+        _, once = np.unique(sentence * len(names) + name, return_index=True)
+        total = np.bincount(sentence[once], share[once])
+        worst = np.full(len(out), -np.inf)
+        np.maximum.at(worst, text[np.unique(sentence, return_index=True)[1]], total)
+        return out + np.where(np.isfinite(worst), worst, 0.0)
+
+    def _joined(self, data: np.ndarray, single: np.ndarray, share: np.ndarray, name: np.ndarray, text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Three or more single letters with one blank between them become one word."""
+        follows = np.zeros(len(start), bool)
+        follows[1:] = single[1:] & single[:-1] & (text[1:] == text[:-1]) & (start[1:] - end[:-1] == 1)
+        if not (follows[1:] & follows[:-1]).any():
+            return share, name, text, start, end
+        begin = np.flatnonzero(~follows & np.append(follows[1:], False))
+        stop = np.flatnonzero(follows & ~np.append(follows[1:], False)) + 1
+        runs = [(a, b) for a, b in zip(begin.tolist(), stop.tolist(), strict=True) if b - a >= 3]
+        words = [letters("".join(data[x:y].tobytes().decode() for x, y in zip(start[a:b], end[a:b], strict=True))) for a, b in runs]
+        values, hashes = self.shares(words)
+        keep, share, name, end = np.ones(len(start), bool), share.copy(), name.copy(), end.copy()
+        for (a, b), v, h in zip(runs, values, hashes, strict=True):
+            share[a], name[a], end[a] = v, h, end[b - 1]
+            keep[a + 1 : b] = False
+        return share[keep], name[keep], text[keep], start[keep], end[keep]
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return self.machine.probability(self.margins(data, offsets))
+
+
+_kept: dict[str, Scorer] = {}
+
+
+def scorer_of(shared: Broadcast) -> Scorer:
+    """A worker's scorer for a broadcast (name, machine), kept over its tasks; one machine at a time."""
+    name, machine = shared.value
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = Scorer(machine)
+    return _kept[name]
+
+
+def shared_machine(spark: SparkSession, machine: Machine) -> Broadcast:
+    return spark.sparkContext.broadcast((uuid.uuid4().hex, machine))
 
 
 def score(docs: DataFrame, machine: Machine, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, score) of every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    shared = shared_machine(docs.sparkSession, machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.record_batch([part.column(key), pa.array(scorer(part.column(text).to_pylist()))], names=[key, "score"])
+            for part, data, offsets in K.blocks(batch, "text"):
+                yield pa.record_batch([part.column("key"), pa.array(scorer(data, offsets))], names=["key", "score"])
 
-    return docs.select(key, text).mapInArrow(run, T.StructType([docs.schema[key], T.StructField("score", T.DoubleType())]))
+    schema = T.StructType([T.StructField("key", docs.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, schema).withColumnRenamed("key", key)
 
 
 def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -342,14 +449,13 @@ def judge(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def toxicity_filter(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that are not predicted toxic, with all their columns; nothing is moved."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(*sample(docs, labels, key, text)))
+    shared = shared_machine(docs.sparkSession, train(*sample(docs, labels, key, text)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = scorer_of(shared)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield part.filter(pa.array(scorer(part.column(text).to_pylist()) < THRESHOLD))
+            for part, data, offsets in K.blocks(batch, text):
+                yield part.filter(pa.array(scorer(data, offsets) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
