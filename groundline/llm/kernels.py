@@ -34,6 +34,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 TABLE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+#: For a second hash of the same bytes.
+OTHER_TABLE = mix(np.arange(1, 257, dtype=U) * U(0xA0761D6478BD642F))
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -47,12 +49,12 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"], _powers["down"]
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
+def prefix_hash(data: np.ndarray, table: np.ndarray = TABLE) -> np.ndarray:
     """P with P[e] - P[s], times the inverse power s, the hash of data[s:e]."""
     up, _ = powers(len(data) + 1)
     out = np.empty(len(data) + 1, U)
     out[0] = 0
-    np.cumsum(TABLE[data] * up[: len(data)], out=out[1:])
+    np.cumsum(table[data] * up[: len(data)], out=out[1:])
     return out
 
 

@@ -8,7 +8,8 @@ regions are one region with a count from the start, so copies cost one row each
 several different regions need sorting. Their regions are dealt to shards by anchor, of bounded size each. A shard's
 suffixes are ranked by Larsson-Sadakane refinement (prefix doubling, only groups that are not yet single), common prefixes
 follow by Kasai's bound, and a window whose neighbour in the suffix array shares LENGTH bytes is repeated. An anchor with
-more regions than a shard takes is dealt to several; their sorted distinct windows are then merged by binary search.
+more bytes than a shard takes is dealt to several; the sorted lists of their distinct windows, by two hashes of 64 bits,
+are then merged by binary search. A region's repeated windows are one row, however many runs they form.
 
 Null texts are empty; texts below LENGTH bytes are kept whole. Very long texts are read in bounded regions. Repeated rows
 repeat each other, so texts of LENGTH bytes or more go from all of them. Rows with equal keys and different texts are told
@@ -27,14 +28,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundline.llm import kernels as K
-from groundline.llm.tables import cut, read
+from groundline.llm.tables import cut, free_name, read
 
 LENGTH = 400
 GRAM = 64
 #: Windows of a region at most; longer runs are several regions.
 RUN = 2048
-#: Bytes and regions that a shard holds, as a rule and at most for one anchor.
-SHARD_BYTES, SHARD_REGIONS = 4 << 20, 4000
+#: Bytes of regions that a shard holds, as a rule; an anchor with more is dealt to several.
+SHARD_BYTES = 2 << 20
+#: Windows that a merge across shards holds, as a rule.
+MERGED = 1 << 20
 #: Slots of the filter that tells which regions are needed: a fixed 2 MB, whatever the input.
 SLOTS = 1 << 24
 
@@ -261,79 +264,114 @@ def _wanted(docs: DataFrame, wanted: DataFrame, key: str, text: str, length: int
     return _keyed(docs, key, text).mapInArrow(run, "anchor long, content long, body binary")
 
 
-def _sorted_spans(bodies: DataFrame, length: int, shard_regions: int) -> DataFrame:
-    """(anchor, content, a, b): runs [a, b) of repeated windows of the regions, found in shards' suffix arrays.
+SPANS = "array<struct<a:bigint,b:bigint>>"
 
-    bodies has anchor, content, windows, n (the region's count), kinds (its anchor's different regions) and body.
+
+def _listed(region: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The regions that have runs, each with its runs as one list; runs are given in order of their regions."""
+    first = np.flatnonzero(np.append(True, region[1:] != region[:-1])) if len(region) else np.zeros(0, np.int64)
+    runs = pa.StructArray.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    return region[first], pa.ListArray.from_arrays(pa.array(np.append(first, len(region)), pa.int32()), runs)
+
+
+def _sorted_spans(bodies: DataFrame, length: int, shard_bytes: int) -> DataFrame:
+    """(anchor, content, spans): the runs [a, b) of a region's repeated windows, found in shards' suffix arrays.
+
+    bodies has anchor, content, windows, n (the region's count), bytes and places (of all regions and windows of its
+    anchor) and body. An anchor of more than shard_bytes is dealt to several shards; each sends the hashes of its sorted
+    distinct windows, packed, to merges of bounded size, a range of hashes each.
     """
     total = bodies.agg(F.sum(F.length("body"))).first()[0] or 0
-    shards = max(1, int(total // SHARD_BYTES) + 1)
-    salts = F.ceil(F.col("kinds") / shard_regions).cast("int")
+    shards = max(1, int(total // shard_bytes) + 1)
+    salts = F.ceil(F.col("bytes") / shard_bytes).cast("int")
     salt = F.pmod(F.xxhash64("content"), salts).cast("int")
     dealt = bodies.withColumn("salt", salt).withColumn("shard", F.when(salts > 1, F.xxhash64("anchor", "salt")).otherwise(F.pmod(F.xxhash64("anchor"), F.lit(shards))))
-    schema = "anchor long, content long, a long, b long, window long"
+    dealt = dealt.withColumn("parts", F.when(salts > 1, F.ceil(F.col("places") / MERGED)).otherwise(F.lit(0)).cast("long"))
+    schema = f"anchor long, content long, spans {SPANS}, shard long, part long, listed binary"
+    arrow = pa.schema([("anchor", pa.int64()), ("content", pa.int64()), ("spans", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("shard", pa.int64()), ("part", pa.int64()), ("listed", pa.binary())])
+    packed = np.dtype([("window", K.U), ("check", K.U), ("content", np.int64), ("place", np.int64)])
+
+    def rows(**columns) -> pa.Table:
+        n = len(next(iter(columns.values())))
+        return pa.table({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in arrow}).cast(arrow)
 
     def ranked(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         texts = table.column("body").to_pylist()
-        windows, counts = table.column("windows").to_numpy(), table.column("n").to_numpy()
+        windows, counts, parts = (table.column(c).to_numpy() for c in ("windows", "n", "parts"))
         flags, region, place, position, distinct = repeated_windows(texts, windows, counts, length)
         at, start, end = _spans(flags, region, len(texts))
         base = (np.cumsum(windows) - windows)[at]
         anchor, content = table.column("anchor").to_numpy(), table.column("content").to_numpy()
-        out = [pa.table({"anchor": anchor[at], "content": content[at], "a": start - base, "b": end - base, "window": pa.nulls(len(at), pa.int64())})]
-        if (split := table.column("kinds").to_numpy() > shard_regions).any():
-            # distinct windows of an anchor that other shards hold, too: their hashes go to the merge
+        one, spans = _listed(at, start - base, end - base)
+        out = [rows(anchor=pa.array(anchor[one]), content=pa.array(content[one]), spans=spans)]
+        if parts.any():
+            # distinct windows of an anchor that other shards hold, too
             data = np.frombuffer(b"".join(texts), np.uint8)
             number = np.full(len(data), -1, np.int64)
             number[position] = np.arange(len(position))
             w = number[distinct]
             w = w[w >= 0]
-            w = w[split[region[w]]]
-            named = K.span_hash(K.prefix_hash(data), position[w], position[w] + length)
+            w = w[parts[region[w]] > 0]
             r = region[w]
-            out.append(pa.table({"anchor": anchor[r], "content": content[r], "a": place[w], "b": place[w] + 1, "window": named.view(np.int64)}))
-        return pa.concat_tables(out).cast(pa.schema([(c, pa.int64()) for c in ("anchor", "content", "a", "b", "window")]))
-
-    found = cut(dealt.select("shard", "anchor", "content", "windows", "n", "kinds", "body").groupBy("shard").applyInArrow(ranked, schema))
-    runs = found.filter("window is not null")
+            listed = np.empty(len(w), packed)
+            for name, letters in (("window", K.TABLE), ("check", K.OTHER_TABLE)):
+                listed[name] = K.span_hash(K.prefix_hash(data, letters), position[w], position[w] + length)
+            listed["content"], listed["place"] = content[r], place[w]
+            part = (listed["window"] % parts[r].astype(K.U)).astype(np.int64)
+            order = np.lexsort((listed["window"], part, anchor[r]))
+            listed, part, of = listed[order], part[order], anchor[r][order]
+            first = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (of[1:] != of[:-1]))) if len(w) else np.zeros(0, np.int64)
+            cuts = np.append(first, len(w)).tolist()
+            lists = pa.array([listed[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())
+            out.append(rows(anchor=pa.array(of[first]), shard=pa.array(np.full(len(first), table.column("shard")[0].as_py())), part=pa.array(part[first]), listed=lists))
+        return pa.concat_tables(out)
+
+    found = cut(dealt.select("shard", "anchor", "content", "windows", "n", "parts", "body").groupBy("shard").applyInArrow(ranked, schema))
 
     def merged(table: pa.Table) -> pa.Table:
         """Windows that stand in several sorted lists: each list is searched for the others' windows."""
-        window, shard = table.column("window").to_numpy(), table.column("salt").to_numpy()
-        order = np.lexsort((window, shard))
-        window, shard = window[order], shard[order]
-        starts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else np.zeros(1, int)
-        hit = np.zeros(len(window), bool)
-        lists = [(s, e) for s, e in zip(starts[:-1], starts[1:], strict=True)]
-        whole = np.sort(window)
-        for s, e in lists:
-            own = window[s:e]
-            inside = np.searchsorted(own, own, "right") - np.searchsorted(own, own, "left")
-            everywhere = np.searchsorted(whole, own, "right") - np.searchsorted(whole, own, "left")
-            hit[s:e] = everywhere > inside
-        return table.select(["anchor", "content", "a", "b"]).take(pa.array(order[hit]))
-
-    parts = F.pmod(F.col("window"), F.lit(64)).cast("int")  # one anchor's windows are dealt to as many tasks
-    lists = runs.withColumn("salt", F.xxhash64("content")).withColumn("part", parts)
-    across = lists.groupBy("anchor", "part").applyInArrow(merged, "anchor long, content long, a long, b long")
-    return found.filter("window is null").select("anchor", "content", "a", "b").unionByName(across)
-
-
-def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard_regions: int = SHARD_REGIONS) -> DataFrame:
+        lists = [np.frombuffer(x, packed) for x in table.column("listed").to_pylist()]
+        hits = [np.zeros(len(x), bool) for x in lists]
+        for i, x in enumerate(lists):
+            for j, y in enumerate(lists):
+                if i != j and len(y):
+                    lo, hi = (np.searchsorted(y["window"], x["window"], side) for side in ("left", "right"))
+                    # lists hold distinct windows: equal hashes are one window, unless the second hash tells them apart
+                    hits[i] |= (lo < hi) & (y["check"][np.minimum(lo, len(y) - 1)] == x["check"])
+                    for k in np.flatnonzero(hi - lo > 1):
+                        hits[i][k] = hits[i][k] or (y["check"][lo[k] : hi[k]] == x["check"][k]).any()
+        hit = np.concatenate([x[h] for x, h in zip(lists, hits, strict=True)])
+        hit = hit[np.lexsort((hit["place"], hit["content"]))]
+        new = np.ones(len(hit), bool)
+        new[1:] = (hit["content"][1:] != hit["content"][:-1]) | (hit["place"][1:] != hit["place"][:-1] + 1)
+        start = np.flatnonzero(new)
+        last = np.append(start[1:], len(hit)) - 1 if len(hit) else start
+        one, spans = _listed(hit["content"][start], hit["place"][start], hit["place"][last] + 1)
+        return rows(anchor=pa.array(np.full(len(one), table.column("anchor")[0].as_py())), content=pa.array(one), spans=spans).select(["anchor", "content", "spans"])
+
+    across = found.filter("listed is not null").groupBy("anchor", "part").applyInArrow(merged, f"anchor long, content long, spans {SPANS}")
+    return found.filter("listed is null").select("anchor", "content", "spans").unionByName(across)
+
+
+def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(row_key, spans): for each text with repeats the windows' runs, as an array of (a, b) of first bytes."""
     found = cut(_scan(docs, key, text, length))
     kinds = found.groupBy("anchor", "content", "windows").agg(F.count("*").alias("n"), F.max("inner").alias("inner"))
-    anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("inner").alias("any_inner")).filter("total > 1 or any_inner")
-    kinds = cut(kinds.join(anchors, "anchor").select("anchor", "content", "windows", "n", "kinds", "least", "any_inner"))
-    copied = kinds.filter("n > 1").select("anchor", "content", F.lit(0).cast("long").alias("a"), F.col("windows").alias("b"))
+    sizes = [F.sum(F.col("windows") + length - 1).alias("bytes"), F.sum("windows").alias("places")]
+    anchors = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.min("n").alias("least"), F.max("inner").alias("any_inner"), *sizes).filter("total > 1 or any_inner")
+    kinds = cut(kinds.join(anchors, "anchor").select("anchor", "content", "windows", "n", "kinds", "least", "any_inner", "bytes", "places"))
+    whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), F.col("windows").alias("b")))
+    copied = kinds.filter("n > 1").select("anchor", "content", whole.alias("spans"))
     mixed = kinds.filter("(kinds > 1 or any_inner) and least = 1")
     if not mixed.isEmpty():
         bodies = _wanted(docs, mixed.select("anchor").distinct(), key, text, length)
-        bodies = bodies.join(mixed, ["anchor", "content"]).groupBy("anchor", "content", "windows", "n", "kinds").agg(F.first("body").alias("body"))
-        copied = copied.unionByName(_sorted_spans(cut(bodies), length, shard_regions))
-    placed = found.join(copied, ["anchor", "content"]).select("row_key", F.struct((F.col("start") + F.col("a")).alias("a"), (F.col("start") + F.col("b")).alias("b")).alias("s"))
-    return placed.groupBy("row_key").agg(F.array_sort(F.collect_set("s")).alias("spans"))
+        bodies = bodies.join(mixed, ["anchor", "content"]).groupBy("anchor", "content", "windows", "n", "bytes", "places").agg(F.first("body").alias("body"))
+        copied = copied.unionByName(_sorted_spans(cut(bodies), length, shard_bytes))
+    copied = copied.groupBy("anchor", "content").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    placed = found.select("row_key", "start", "anchor", "content").distinct().join(copied, ["anchor", "content"])
+    moved = F.transform("spans", lambda s: F.struct((s.a + F.col("start")).alias("a"), (s.b + F.col("start")).alias("b")))
+    return placed.groupBy("row_key").agg(F.array_sort(F.flatten(F.collect_list(moved))).alias("spans"))
 
 
 def _kept(data: bytes, spans: list | None, length: int) -> tuple[list[bytes], int, int]:
@@ -353,22 +391,23 @@ def _kept(data: bytes, spans: list | None, length: int) -> tuple[list[bytes], in
     return out, removed, runs
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False, shard_regions: int = SHARD_REGIONS) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, digest: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """All rows and columns of docs with the repeated bytes gone from the text; bytes of a cut code point go, too.
 
     ``digest``: instead (key, n_bytes, n_removed, n_spans, kept_sha256), the hash being of the bytes as they remain.
     """
-    spans = cut(repeated_spans(docs, key, text, length, shard_regions)).withColumnsRenamed({"row_key": "_row_key", "spans": "_spans"})
+    row_key, of, at = (free_name(docs, c) for c in ("row_key", "of_row", "spans"))
+    spans = cut(repeated_spans(docs, key, text, length, shard_bytes)).withColumnsRenamed({"row_key": row_key, "spans": at})
     columns = [key, text] if digest else list(docs.columns)
-    both = docs.select(*columns, F.xxhash64(F.col(key), F.col(text)).alias("_of"))
-    both = both.join(spans, F.col("_of") == F.col("_row_key"), "left").select(*columns, "_spans")
+    both = docs.select(*columns, F.xxhash64(F.col(key), F.col(text)).alias(of))
+    both = both.join(spans, F.col(of) == F.col(row_key), "left").select(*columns, at)
     numbers = ["n_bytes", "n_removed", "n_spans"]
     schema = T.StructType([docs.schema[key], *[T.StructField(c, T.LongType()) for c in numbers], T.StructField("kept_sha256", T.StringType())]) if digest else docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, sizes, removed, runs, digests = [], [], [], [], []
-            for x, s in zip(batch.column(text), batch.column("_spans"), strict=True):
+            for x, s in zip(batch.column(text), batch.column(at), strict=True):
                 if not digest and not s.is_valid:
                     texts.append(x.as_py())
                     continue
@@ -384,8 +423,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
             if digest:
                 yield pa.record_batch([batch.column(key), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(digests, pa.string())], names=[key, *numbers, "kept_sha256"])
             else:
-                at = batch.schema.get_field_index(text)
-                yield batch.set_column(at, text, pa.array(texts, pa.string())).select(columns)
+                place = batch.schema.get_field_index(text)
+                yield batch.set_column(place, text, pa.array(texts, pa.string())).select(columns)
 
     return both.mapInArrow(run, schema)
 
