@@ -31,9 +31,9 @@ def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The texts without their repeated bytes; n_chars follows the text."""
+    """The texts without their repeated bytes; n_chars, if there is one, follows the text."""
     left = suffix.remove_repeats(docs)
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
