@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from groundline.params import CELL, MIN_MARGIN, TILE_SIZE
+from groundline.session import checkpointed
 
 
 def side_of(x: Column, y: Column) -> Column:
@@ -50,13 +51,15 @@ def components(files: DataFrame, edges: DataFrame, rounds: int = 64) -> DataFram
 
     Each round takes the least label of all neighbours and the label's own label, so long chains need few rounds.
     """
-    pairs = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().persist()
+    pairs = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    pairs = checkpointed(pairs)
     labels = files.select("file_id", F.col("file_id").alias("component"))
     for _ in range(rounds):
         seen = pairs.join(labels, pairs.dst == labels.file_id).groupBy(F.col("src").alias("file_id")).agg(F.min("component").alias("near"))
         step = labels.join(seen, "file_id", "left").select("file_id", F.least("component", F.coalesce("near", "component")).alias("component"), F.col("component").alias("was"))
         jump = step.select(F.col("file_id").alias("component"), F.col("component").alias("further"))
-        step = step.join(jump, "component", "left").select("file_id", F.least("component", F.coalesce("further", "component")).alias("component"), "was").persist()
+        step = step.join(jump, "component", "left").select("file_id", F.least("component", F.coalesce("further", "component")).alias("component"), "was")
+        step = checkpointed(step)
         moved = not step.filter("component <> was").isEmpty()
         labels = step.select("file_id", "component")
         if not moved:

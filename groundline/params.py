@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 #: Tile side and neighbour margin in metres, samples per metre.
 TILE_SIZE, MIN_MARGIN, CELLS_PER_METRE = 256.0, 14.0, 2
@@ -115,28 +115,25 @@ POINTS = [("SlopeLineFormLine", "103.1"), ("SlopeLineContour", "101.1"), ("DotKn
 
 
 def changed_steps(old: MapParams | None, new: MapParams, forced: str | None = None) -> set[str]:
-    """The steps of a map that a change of parameters makes necessary; without old ones, all of them.
+    """The steps of a map that a change of parameters makes necessary, and the forced section.
 
-    A change of scale alone makes contours again, and the forced section.
+    Without old parameters and after a change of scale contours are made; without old ones the basemap too, if it is wanted.
     """
-    steps = {"basemap", "contours", "openness", "greens", "water", "cliffs", "intensity"}
+    out = {forced} if forced else set()
     if old is None:
-        return steps
-    out = {forced} & steps if forced else set()
-    if old.scale != new.scale or old.bezier != new.bezier or old.contour != new.contour:
+        return out | {"contours"} | ({"basemap"} if new.contour.basemap else set())
+    if old.scale != new.scale:
+        return out | {"contours"}
+    basemap = lambda p: (p.contour.basemap, p.contour.basemap_interval)
+    rest = lambda p: replace(p.contour, basemap=False, basemap_interval=0.5)
+    shape = (old.buffers, old.min_size) != (new.buffers, new.min_size)
+    if rest(old) != rest(new):
         out.add("contours")
-    if (old.contour.basemap, old.contour.basemap_interval) != (new.contour.basemap, new.contour.basemap_interval):
+    if basemap(old) != basemap(new):
         out.add("basemap")
-    if old.vegetation.openness != new.vegetation.openness:
-        out.add("openness")
-    if (old.vegetation.green, old.vegetation.weights) != (new.vegetation.green, new.vegetation.weights):
-        out.add("greens")
-    if old.cliff != new.cliff:
-        out.add("cliffs")
-    if old.water != new.water:
-        out.add("water")
-    if old.intensity != new.intensity:
-        out.add("intensity")
-    if old.buffers != new.buffers or old.min_size != new.min_size:
-        out |= {"openness", "greens", "water", "cliffs", "intensity"}
-    return out
+    changed = {
+        "openness": old.vegetation.openness != new.vegetation.openness,
+        "greens": (old.vegetation.green, old.vegetation.weights) != (new.vegetation.green, new.vegetation.weights),
+        "cliffs": old.cliff != new.cliff, "water": old.water != new.water, "intensity": old.intensity != new.intensity,
+    }
+    return out | {step for step, differs in changed.items() if differs or shape}

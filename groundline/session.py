@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -15,3 +16,12 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))
     return spark
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows from the folder of spark.checkpoint.dir, with a lineage that ends there; a folder of its own only where
+    that is unset, as in tests."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="groundline-"))
+    return df.checkpoint(eager=True)
