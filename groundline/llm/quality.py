@@ -1,13 +1,17 @@
-"""Quality rules: repetition rules, and perplexity bands of a modified Kneser-Ney n-gram model.
+"""Quality rules: repetition rules, and perplexity bands of modified Kneser-Ney n-gram models by language.
 
-The model's symbols are classes of UTF-8 bytes (letters, a digit class, marks, line ends, the bytes of other letters), so
-an n-gram is a number below SYMBOLS ** ORDER: the tables that are broadcast have that proven bound, whatever the input.
-Spark counts the n-grams of all documents: every task adds up its own block's counts, then sums them by n-gram. Lower
-orders use continuation counts, each order three discounts from its counts of counts. Model and scores use whole texts.
+The models' symbols are the bytes of UTF-8 as they are, ORDER of them an n-gram, so the tables grow with the corpus. Spark
+counts the n-grams of all documents: blocks of texts send their distinct n-grams, sorted and packed, to shards; a shard
+owns all n-grams whose context ends with the same two bytes, so all orders above two follow from what it holds. Orders one
+and two and the discounts are small (LANGUAGES models of 256 x 256 numbers at most) and are broadcast. A shard keeps
+sorted arrays of n-gram numbers and probabilities, and answers each block with the surprisals of its n-grams. Lower orders
+use continuation counts, each order three discounts from its counts of counts. Models and scores use whole texts.
 
-Bands are by language: a document's mean surprisal is compared with the quartiles of its language, over all documents
-with ``least_words`` words. It is rejected outside [q1 - reach * spread, q3 + reach * spread], where spread is the
-quartiles' distance but no less than LEAST_SPREAD bits. A document that fails the base rules is rejected in any case.
+Languages with at least one of LANGUAGES documents have a model of their own, the others share one; bands are by language
+in any case. A document's surprisal, in bits a letter of its words (marks count as surprise, not as letters), is compared
+with the quartiles of its language, over all documents that pass the base rules. It is rejected outside
+[q1 - reach * spread, q3 + reach * spread], where spread is the quartiles' distance but no less than LEAST_SPREAD bits.
+A document that fails the base rules is rejected in any case.
 
 Null texts are empty: no words, surprisal 0, base_failed. Null languages are one language of their own. Repeated rows are
 judged alike, each with a row of its own. An empty table gives an empty result. Only key, text and lang are read; other
@@ -16,48 +20,35 @@ columns may have any name and pass through ``quality_filter``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from groundline.llm import kernels as K
-from groundline.llm.tables import cut, read, row_hash
+from groundline.llm.tables import cut, read, settled
 
-ORDER = 4
+ORDER = 5
+SYMBOLS = 256
+LANGUAGES = 100
 LEAST_WORDS = 20
 WINDOW = 8
-REACH = 4.0
+REACH = 5.0
 LEAST_SPREAD = 0.02
+#: Bytes of text that a block holds, as a rule.
+BLOCK_BYTES = 16 << 20
+#: Surprisals are ranked in steps of a part of a bit, up to MOST bits.
+STEPS, MOST = 1024, 64
 #: Fixed value: the symbols that n_symbols counts.
 MARKS = b"#*$%&|<>"
 
 
-def symbol_classes() -> tuple[np.ndarray, int]:
-    """Class of each byte; class 0 pads the start of a text."""
-    classes = np.zeros(256, np.int64)
-    groups: list[list[int]] = [[c, c - 32] for c in range(0x61, 0x7B)]
-    groups += [[*range(0x30, 0x3A)], [0x20, 0x09, 0x0B, 0x0C], [0x0A, 0x0D], [*b".!?"], [*b",;:"], [*b"'\"()-"], [*MARKS]]
-    known = {b for g in groups for b in g}
-    groups.append([b for b in range(0x80) if b not in known])  # other ASCII
-    groups += [[*range(b, b + 8)] for b in range(0x80, 0xC0, 8)]  # continuation bytes
-    groups += [[0xC2], [0xC3], [*range(0xC0, 0xE0)], [*range(0xE0, 0x100)]]
-    for k, group in enumerate(groups, 1):
-        for b in group:
-            if not classes[b]:
-                classes[b] = k
-    return classes, len(groups) + 1
-
-
-CLASSES, SYMBOLS = symbol_classes()
-
-
 def codes(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
     """For each byte the number of the n-gram that ends there; n-grams never reach over the start of their text."""
-    symbols = CLASSES[data]
+    symbols = data.astype(np.int64)
     out = symbols.copy()
     place = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets))
     for k in range(1, order):
@@ -68,54 +59,53 @@ def codes(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarr
     return out
 
 
-def count_ngrams(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(code, n): how often each n-gram of the highest order stands in all texts.
+def discounts_of(counts_of_counts: np.ndarray) -> np.ndarray:
+    """Discounts of n-grams seen 0, 1, 2 and more times, from how many were seen 1, 2, 3 and 4 times."""
+    n1, n2, n3, n4 = np.maximum(counts_of_counts, 1.0)
+    y = n1 / (n1 + 2 * n2)
+    return np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [1, 1, 2, 3])
 
-    A task keeps one table of at most SYMBOLS ** ORDER counters and sends its non-zero entries.
-    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**ORDER, np.int64)
-        for batch in batches:
-            for _, data, offsets in K.blocks(batch, text):
-                found = codes(data, offsets)
-                found, n = np.unique(found, return_counts=True) if len(found) < 50_000 else (slice(None), np.bincount(found, minlength=len(total)))
-                total[found] += n
-        used = np.flatnonzero(total)
-        for at in range(0, len(used), 100_000):
-            part = used[at : at + 100_000]
-            yield pa.record_batch([pa.array(part), pa.array(total[part])], names=["code", "n"])
+def continuations(grams: np.ndarray, symbols: int, lengths: range) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length the n-grams that are tails of the given distinct ones, and of how many symbols each is a continuation."""
+    tables = []
+    for k in lengths:
+        grams, n = np.unique(grams % symbols**k, return_counts=True)
+        tables.append((grams, n.astype(np.float64)))
+    return tables
 
-    return docs.select(text).mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+def counts_of_counts(n: np.ndarray) -> np.ndarray:
+    return np.array([float((n == j).sum()) for j in (1, 2, 3, 4)])
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney over n-gram numbers, as sorted arrays of numbers and log2 probabilities."""
+    """Interpolated modified Kneser-Ney over n-gram numbers, as sorted arrays of numbers and probabilities.
+
+    ``base``: probabilities of the n-grams of length ``below`` by number; what is shorter than that is not looked up.
+    ``discounts``: by length; those that are missing follow from the given n-grams.
+    """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, symbols: int = SYMBOLS, order: int = ORDER):
-        self.symbols, self.order = symbols, order
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, symbols: int = SYMBOLS, order: int = ORDER, base: np.ndarray | None = None, below: int = 0, discounts: dict[int, np.ndarray] | None = None):
+        self.symbols, self.order, self.base, self.below = symbols, order, base, below
         order_by = np.argsort(grams)
         tables = [(grams[order_by], counts[order_by].astype(np.float64))]
-        for k in range(order - 1, 0, -1):  # continuation counts: of how many symbols is the shorter n-gram a continuation
-            shorter, n = np.unique(tables[0][0] % symbols**k, return_counts=True)
-            tables.insert(0, (shorter, n.astype(np.float64)))
-        self.hashes: list[np.ndarray] = []
-        self.probabilities: list[np.ndarray] = []
-        self.context_hashes: list[np.ndarray] = []
-        self.back_off: list[np.ndarray] = []
-        for k, (gram, n) in enumerate(tables, 1):
-            n1, n2, n3, n4 = (max(1.0, float((n == j).sum())) for j in (1, 2, 3, 4))
-            y = n1 / (n1 + 2 * n2)
-            d = np.clip([0.0, 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3], 0.05, [1, 1, 2, 3])
+        tables = [*continuations(tables[0][0], symbols, range(order - 1, below, -1))[::-1], *tables]
+        self.hashes: dict[int, np.ndarray] = {}
+        self.probabilities: dict[int, np.ndarray] = {}
+        self.context_hashes: dict[int, np.ndarray] = {}
+        self.back_off: dict[int, np.ndarray] = {}
+        for k, (gram, n) in enumerate(tables, below + 1):
+            d = discounts[k] if discounts else discounts_of(counts_of_counts(n))
             discount = d[np.minimum(n, 3).astype(np.int64)]
             contexts, at = np.unique(gram // symbols, return_inverse=True)
             total = np.bincount(at, n)
             gamma = np.bincount(at, discount) / total
-            lower = 1.0 / symbols if k == 1 else self.lookup(k - 1, gram % symbols ** (k - 1))
-            self.hashes.append(gram)
-            self.probabilities.append((n - discount) / total[at] + gamma[at] * lower)
-            self.context_hashes.append(contexts)
-            self.back_off.append(gamma)
+            lower = self.lookup(k - 1, gram % symbols ** (k - 1))
+            self.hashes[k] = gram
+            self.probabilities[k] = (n - discount) / total[at] + gamma[at] * lower
+            self.context_hashes[k] = contexts
+            self.back_off[k] = gamma
 
     @staticmethod
     def _find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,15 +114,15 @@ class KneserNey:
 
     def lookup(self, k: int, grams: np.ndarray) -> np.ndarray:
         """Probabilities of n-grams of length k; an unseen one backs off by its context's weight."""
-        if k == 0:
-            return np.full(len(grams), 1.0 / self.symbols)
-        at, known = self._find(self.hashes[k - 1], grams)
+        if k == self.below:
+            return self.base[grams] if k else np.full(len(grams), 1.0 / self.symbols)
+        at, known = self._find(self.hashes[k], grams)
         out = np.empty(len(grams))
-        out[known] = self.probabilities[k - 1][at[known]]
+        out[known] = self.probabilities[k][at[known]]
         if not known.all():
             rest = grams[~known]
-            at, seen = self._find(self.context_hashes[k - 1], rest // self.symbols)
-            gamma = np.where(seen, self.back_off[k - 1][at] if len(self.back_off[k - 1]) else 1.0, 1.0)
+            at, seen = self._find(self.context_hashes[k], rest // self.symbols)
+            gamma = np.where(seen, self.back_off[k][at] if len(self.back_off[k]) else 1.0, 1.0)
             out[~known] = gamma * self.lookup(k - 1, rest % self.symbols ** (k - 1))
         return out
 
@@ -192,66 +182,278 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
-def model_of(docs: DataFrame, text: str = "text") -> KneserNey:
-    """The model of all texts. The driver gets at most SYMBOLS ** ORDER counts, a bound that does not grow."""
-    counted = count_ngrams(docs, text).toArrow()
-    return KneserNey(counted.column("code").to_numpy(), counted.column("n").to_numpy())
+MODEL = SYMBOLS**ORDER
+PAIR = SYMBOLS**2
+
+
+def _zip(x: np.ndarray) -> bytes:
+    """Numbers with their differences, packed."""
+    return pa.compress(np.diff(x, prepend=x.dtype.type(0)).tobytes(), codec="zstd", asbytes=True)
+
 
+def _unzip(x: bytes, kind: type, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd"), kind), dtype=kind)
 
-def scores(docs: DataFrame, model: KneserNey, key: str | Column = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """(key, lang, the base counts, bits): bits is the mean surprisal of a symbol, 0 for an empty text.
 
-    A key that is a column expression is named row_hash.
+def _shard(grams: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of an n-gram: that of its model and of the last two bytes of its context."""
+    return (K.mix((grams // MODEL * PAIR + grams // SYMBOLS % PAIR).astype(K.U)) % K.U(shards)).astype(np.int64)
+
+
+def _block_grams(batch: pa.RecordBatch, text: str, model: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a block, each with its model in front, and how often they stand there."""
+    grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for part, data, offsets, rows in _slices(batch, text):
+        del part
+        found, n = np.unique(codes(data, offsets) + np.repeat(model[rows] * MODEL, np.diff(offsets)), return_counts=True)
+        both = np.concatenate([grams, found])
+        grams, back = np.unique(both, return_inverse=True)
+        counts = np.bincount(back, np.concatenate([counts, n]), len(grams)).astype(np.int64)
+    return grams, counts
+
+
+def _slices(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, slice]]:
+    at = 0
+    for part, data, offsets in K.blocks(batch, text):
+        yield part, data, offsets, slice(at, at + part.num_rows)
+        at += part.num_rows
+
+
+def _models(batch: pa.RecordBatch, lang: str, known: list) -> np.ndarray:
+    """The model's number of each row: 1 for the first known language and so on, 0 for all others."""
+    number = {x: k for k, x in enumerate(known, 1)}
+    column = batch.column(lang).dictionary_encode() if not isinstance(batch.column(lang), pa.DictionaryArray) else batch.column(lang)
+    by = np.array([*(number.get(x, 0) for x in column.dictionary.to_pylist()), number.get(None, 0)], np.int64)
+    return by[column.indices.fill_null(len(by) - 1).to_numpy(zero_copy_only=False)]
+
+
+def _blocks(docs: DataFrame, text: str, made: Callable[[int, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``made`` gives for each block of about BLOCK_BYTES of text, by the block's number.
+
+    Blocks follow from the order of rows, so two passes over a table that ``settled`` has given have the same blocks.
     """
-    read_from = docs.select(key if isinstance(key, str) else key.alias("row_hash"), text, F.col(lang).cast("string").alias(lang))
-    key = read_from.columns[0]
-    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # surprisals by n-gram number; each is looked up in the sorted arrays once, when first met
-        known = np.full(SYMBOLS**ORDER, np.nan, np.float32)
+        from pyspark import TaskContext
+
+        block = TaskContext.get().partitionId() << 32
+        held, size = [], 0
         for batch in batches:
-            for part, data, offsets in K.blocks(batch, text):
-                grams = codes(data, offsets)
-                bits = known[grams]
-                new = np.isnan(bits)
-                if new.any():
-                    missing = np.unique(grams[new])
-                    known[missing] = shared.value.surprisal(missing)
-                    bits = known[grams]
-                total = np.concatenate([[0.0], np.cumsum(bits, dtype=np.float64)])
-                n = np.diff(offsets)
-                mean = (total[offsets[1:]] - total[offsets[:-1]]) / np.maximum(n, 1)
-                counts = base_counts(data, offsets)
-                yield pa.record_batch([part.column(key), part.column(lang), *[pa.array(counts[c]) for c in BASE], pa.array(mean)], names=[key, "lang", *BASE, "bits"])
-
-    schema = T.StructType([read_from.schema[key], T.StructField("lang", T.StringType()), *[T.StructField(c, T.LongType()) for c in BASE], T.StructField("bits", T.DoubleType())])
-    return read_from.mapInArrow(run, schema)
+            offsets = K.utf8(batch.column(batch.schema.get_field_index(text)))[1]
+            at = 0
+            while at < batch.num_rows:
+                to = int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES - size, "right"))
+                to = min(max(at + 1, to), batch.num_rows)
+                held.append(batch.slice(at, to - at))
+                size += int(offsets[to] - offsets[at])
+                at = to
+                if size >= BLOCK_BYTES:
+                    yield made(block, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+                    block, held, size = block + 1, [], 0
+        if held:
+            yield made(block, pa.Table.from_batches(held).combine_chunks().to_batches()[0])
 
+    return docs.mapInArrow(run, schema)
 
-def bands(scored: DataFrame, reach: float = REACH) -> DataFrame:
-    """(lang, low, high): the surprisal that each language admits, from all its documents that pass the base rules."""
-    q = F.percentile_approx("bits", [0.25, 0.5, 0.75], 10_000)
-    found = scored.filter("not base_failed").groupBy("lang").agg(q.alias("q"))
-    spread = F.greatest(F.col("q")[2] - F.col("q")[0], F.lit(LEAST_SPREAD))
-    return found.select("lang", (F.col("q")[0] - reach * spread).alias("low"), (F.col("q")[2] + reach * spread).alias("high"))
 
+def _packed_rows(docs: DataFrame, text: str) -> DataFrame:
+    """(block, x): the rows of each block, packed."""
 
-def judge(docs: DataFrame, key: str | Column = "doc_id", text: str = "text", lang: str = "lang", reach: float = REACH) -> DataFrame:
-    """(key, the base counts, base_failed, bits, kept) for every row of docs."""
-    scored = scores(docs, model_of(docs, text), key, text, lang)
+    def made(block: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+            out.write_batch(batch)
+        return pa.record_batch([pa.array([block]), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "x"])
+
+    return _blocks(docs, text, made, "block long, x binary")
+
+
+def _requests(docs: DataFrame, text: str, lang: str, known: list, shards: int) -> DataFrame:
+    """(block, shard, n, x, y): the distinct n-grams of each block and how often they stand there, by shard."""
+
+    def made(block: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        grams, counts = _block_grams(batch, text, _models(batch, lang, known))
+        shard = _shard(grams, shards)
+        order = np.argsort(shard, kind="stable")
+        grams, counts, shard = grams[order], counts[order], shard[order]
+        ends = np.searchsorted(shard, np.arange(shards + 1))
+        used = np.flatnonzero(np.diff(ends))
+        cuts = [(int(ends[k]), int(ends[k + 1])) for k in used]
+        return pa.record_batch([pa.array(np.full(len(used), block)), pa.array(used), pa.array([b - a for a, b in cuts], pa.int64()), pa.array([_zip(grams[a:b]) for a, b in cuts], pa.binary()), pa.array([_zip(counts[a:b]) for a, b in cuts], pa.binary())], names=["block", "shard", "n", "x", "y"])
+
+    return _blocks(docs, text, made, "block long, shard long, n long, x binary, y binary")
+
+
+def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """A shard's n-grams, how often they stand in all blocks, and for each block the places of its own."""
+    n = table.column("n").to_pylist()
+    own = [_unzip(x, np.int64, k) for x, k in zip(table.column("x").to_pylist(), n, strict=True)]
+    counts = np.concatenate([_unzip(y, np.int64, k) for y, k in zip(table.column("y").to_pylist(), n, strict=True)])
+    grams, back = np.unique(np.concatenate(own), return_inverse=True)
+    ends = np.cumsum(n)
+    return grams, np.bincount(back, counts), [back[e - k : e] for e, k in zip(ends, n, strict=True)]
+
+
+def _by_model(grams: np.ndarray) -> Iterator[tuple[int, slice]]:
+    model = grams // MODEL
+    for m in np.unique(model).tolist():
+        yield m, slice(*np.searchsorted(model, [m, m + 1]))
+
+
+def _low_orders(made: DataFrame) -> tuple[dict[int, np.ndarray], dict[int, dict[int, np.ndarray]]]:
+    """By model: the probabilities of two symbols, and the discounts of the longer n-grams.
+
+    The driver gets sums only: for at most LANGUAGES + 1 models 256 x 256 continuation counts and a few counts of counts.
+    """
+
+    def stats(table: pa.Table) -> pa.Table:
+        grams, counts, _ = _merged(table)
+        rows: list[tuple[int, int, int, float]] = []
+        for m, at in _by_model(grams):
+            tables = [(grams[at], counts[at]), *continuations(grams[at] % MODEL, SYMBOLS, range(ORDER - 1, 1, -1))]
+            for k, (_, n) in zip(range(ORDER, 2, -1), tables, strict=False):
+                rows += [(m, k, j, c) for j, c in enumerate(counts_of_counts(n).tolist())]
+            rows += [(m, 2, g, c) for g, c in zip(tables[-1][0].tolist(), tables[-1][1].tolist(), strict=True)]
+        return pa.table({c: pa.array([r[i] for r in rows], t) for i, (c, t) in enumerate([("model", pa.int64()), ("k", pa.int64()), ("g", pa.int64()), ("c", pa.float64())])})
+
+    shards = made.groupBy("shard").applyInArrow(stats, "model long, k long, g long, c double")
+    found = shards.groupBy("model", "k", "g").agg(F.sum("c").alias("c")).toArrow()
+    model, k, g, c = (found.column(x).to_numpy() for x in ("model", "k", "g", "c"))
+    base, discounts = {}, {}
+    for m in np.unique(model).tolist():
+        discounts[m] = {}
+        for length in range(3, ORDER + 1):
+            at = (model == m) & (k == length)
+            n = np.zeros(4)
+            n[g[at]] = c[at]
+            discounts[m][length] = discounts_of(n)
+        at = (model == m) & (k == 2)
+        two = KneserNey(g[at], c[at], SYMBOLS, 2)
+        base[m] = two.lookup(2, np.arange(PAIR)).astype(np.float32)
+    return base, discounts
+
+
+def _answers(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, list]:
+    """(the surprisals of each block's n-grams, in one shard's order; the languages with models)."""
+    spark = docs.sparkSession
+    by_lang = docs.groupBy(F.col(lang).alias("lang")).agg(F.count("*").alias("n"))
+    total = by_lang.agg(F.sum("n")).first()[0] or 0
+    known = sorted((r["lang"] for r in by_lang.filter(F.col("n") * LANGUAGES >= total).collect()), key=lambda x: (x is None, x))  # LANGUAGES at most
+    made = cut(_requests(docs.select(text, lang), text, lang, known, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    models = spark.sparkContext.broadcast(_low_orders(made))
+
+    def answer(table: pa.Table) -> pa.Table:
+        grams, counts, places = _merged(table)
+        bits = np.empty(len(grams), np.float32)
+        base, discounts = models.value
+        for m, at in _by_model(grams):
+            model = KneserNey(grams[at] % MODEL, counts[at], SYMBOLS, ORDER, base[m], 2, discounts[m])
+            bits[at] = model.surprisal(grams[at] % MODEL)
+        return pa.table({"block": table.column("block"), "n": table.column("n"), "grams": table.column("x"), "bits": pa.array([pa.compress(bits[p].tobytes(), codec="zstd", asbytes=True) for p in places], pa.binary())})
+
+    return made.groupBy("shard").applyInArrow(answer, "block long, n long, grams binary, bits binary"), known
+
+
+class _Surprisals:
+    """Surprisals of a block's n-grams; a table of one n-gram a place spares nearly all searches."""
+
+    PLACES = 21
+
+    def __init__(self, grams: np.ndarray, bits: np.ndarray):
+        if not len(grams):
+            grams, bits = np.array([-1]), np.zeros(1, np.float32)
+        order = np.argsort(grams)
+        self.grams, self.bits = grams[order], bits[order]
+        self.table = np.zeros(1 << self.PLACES, np.int32)
+        self.table[self._place(self.grams)] = np.arange(len(grams))
+
+    def _place(self, grams: np.ndarray) -> np.ndarray:
+        return ((grams.astype(K.U) * K.U(0x9E3779B97F4A7C15)) >> K.U(64 - self.PLACES)).astype(np.int64)
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        at = self.table[self._place(grams)]
+        other = np.flatnonzero(self.grams[at] != grams)
+        if len(other):
+            at[other] = np.minimum(np.searchsorted(self.grams, grams[other]), len(self.grams) - 1)
+            if (self.grams[at[other]] != grams[other]).any():
+                raise RuntimeError("the table has other rows than when its n-grams were counted")
+        return self.bits[at]
+
+
+def _opened(x: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(x).read_all().combine_chunks().to_batches()[0]
+
+
+def _scored(blocks: DataFrame, answers: DataFrame, docs: DataFrame, key: str, text: str, lang: str, known: list) -> DataFrame:
+    """(block, row, key, lang, the base counts, bits) of every row; row is its place in the block."""
+
+    def run(block: pa.Table, table: pa.Table) -> pa.Table:
+        batch = _opened(block.column("x")[0].as_py())
+        n = table.column("n").to_pylist()
+        grams = [_unzip(x, np.int64, k) for x, k in zip(table.column("grams").to_pylist(), n, strict=True)]
+        bits = [np.frombuffer(pa.decompress(x, 4 * k, codec="zstd"), np.float32) for x, k in zip(table.column("bits").to_pylist(), n, strict=True)]
+        bits_of = _Surprisals(np.concatenate([*grams, np.zeros(0, np.int64)]), np.concatenate([*bits, np.zeros(0, np.float32)]))
+        model, parts = _models(batch, lang, known), []
+        for part, data, offsets, rows in _slices(batch, text):
+            counts = base_counts(data, offsets)
+            each = bits_of(codes(data, offsets) + np.repeat(model[rows] * MODEL, np.diff(offsets))) if len(data) else np.zeros(0)
+            total = np.concatenate([[0.0], np.cumsum(each, dtype=np.float64)])
+            letters = np.maximum(counts["word_chars"] - counts["n_symbols"], 1)
+            mean = (total[offsets[1:]] - total[offsets[:-1]]) / letters
+            parts.append(pa.table([pa.array(np.full(part.num_rows, block.column("block")[0].as_py())), pa.array(np.arange(rows.start, rows.stop)), part.column(key), part.column(lang).cast(pa.string()), *[pa.array(counts[c]) for c in BASE], pa.array(mean)], names=names))
+        return pa.concat_tables(parts)
+
+    names = ["block", "row", "key", "lang", *BASE, "bits"]
+    long = [T.StructField(c, T.LongType()) for c in BASE]
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("row", T.LongType()), T.StructField("key", docs.schema[key].dataType), T.StructField("lang", T.StringType()), *long, T.StructField("bits", T.DoubleType())])
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, schema)
+
+
+def bands(scored: DataFrame, reach: float = REACH) -> DataFrame:
+    """(band_lang, low, high): the surprisal that each language admits, from all its documents that pass the base rules.
+
+    Quartiles are exact in steps of 1 / STEPS bit, whatever the partitioning; a language has MOST * STEPS steps at most.
+    """
+    steps = scored.filter("not base_failed").groupBy("lang", F.least(F.floor(F.col("bits") * STEPS), F.lit(MOST * STEPS)).alias("step")).agg(F.count("*").alias("n"))
+    by_lang = Window.partitionBy("lang")
+    ranked = steps.withColumn("below", F.sum("n").over(by_lang.orderBy("step"))).withColumn("all", F.sum("n").over(by_lang))
+    quartile = lambda k: F.min(F.when(4 * F.col("below") >= k * F.col("all"), F.col("step"))) / STEPS
+    found = ranked.groupBy("lang").agg(quartile(1).alias("q1"), quartile(3).alias("q3"))
+    spread = F.greatest(F.col("q3") - F.col("q1"), F.lit(LEAST_SPREAD))
+    return found.select(F.col("lang").alias("band_lang"), (F.col("q1") - reach * spread).alias("low"), (F.col("q3") + 1 / STEPS + reach * spread).alias("high"))
+
+
+def _judged(docs: DataFrame, key: str, text: str, lang: str, reach: float) -> DataFrame:
+    """(block, row, key, the base counts, base_failed, bits, kept) for every row of docs, which are settled."""
+    answers, known = _answers(docs, text, lang)
+    blocks = _packed_rows(docs.select(key, text, lang), text)
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    scored = cut(scored.withColumn("base_failed", failed))
-    b = bands(scored, reach).withColumnRenamed("lang", "band_lang")
-    out = scored.join(b, scored["lang"].eqNullSafe(b.band_lang), "left")
+    scored = cut(_scored(blocks, answers, docs, key, text, lang, known).withColumn("base_failed", failed))
+    out = scored.join(bands(scored, reach), F.col("lang").eqNullSafe(F.col("band_lang")), "left")
     kept = ~F.col("base_failed") & F.coalesce(F.col("bits").between(F.col("low"), F.col("high")), F.lit(True))
-    return out.select(scored.columns[0], *BASE, "base_failed", "bits", kept.alias("kept"))
+    return out.select("block", "row", "key", *BASE, "base_failed", "bits", kept.alias("kept"))
+
+
+def judge(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", reach: float = REACH) -> DataFrame:
+    """(key, the base counts, base_failed, bits, kept) for every row of docs."""
+    verdict = _judged(settled(docs.select(key, text, lang)), key, text, lang, reach)
+    return verdict.select(F.col("key").alias(key), *BASE, "base_failed", "bits", "kept")
+
+
+def quality_filter(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", reach: float = REACH) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Each row is judged by itself, whatever its key.
+
+    A verdict is a place in a block, and blocks are packed again with all columns, so no text is joined by its content.
+    """
+    docs = settled(docs)
+    verdict = _judged(docs, key, text, lang, reach)
 
+    def keep(block: pa.Table, rows: pa.Table) -> pa.Table:
+        batch = _opened(block.column("x")[0].as_py())
+        return pa.Table.from_batches([batch.take(pa.array(np.sort(rows.column("row").to_numpy())))])
 
-def quality_filter(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Each row is judged by itself, whatever its key."""
-    verdict = judge(docs, row_hash(key, text, lang), text, lang).filter("kept").select(F.col("row_hash").alias("judged_row"))
-    return docs.join(verdict, row_hash(*[docs[c] for c in (key, text, lang)]) == F.col("judged_row"), "left_semi")
+    kept = verdict.filter("kept").select("block", "row")
+    return _packed_rows(docs, text).groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(keep, docs.schema)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

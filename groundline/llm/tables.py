@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,3 +59,10 @@ def free_name(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df if every read of it gives the same rows in the same partitions, as files and checkpoints do; else a checkpoint of it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {m[1] for line in plan.splitlines() if (m := re.match(r"[\s:+\-]*(\w+)", line))}
+    return df if nodes <= {"Project", "Filter", "Relation", "LogicalRDD", "LocalRelation"} else cut(df)

@@ -255,8 +255,9 @@ def test_suffix_arrays():
             assert shared[b] == k
 
 
-@pytest.mark.parametrize("shard_regions", [4000, 2])
-def test_repeats_by_brute_force(spark, none, shard_regions):
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 500])
+def test_repeats_by_brute_force(spark, none, shard_bytes, monkeypatch):
+    monkeypatch.setattr(suffix, "MERGED", 64)
     rng = random.Random(8)
     base = "".join(rng.choice("abcdefgh ") for _ in range(1500))
     rows = []
@@ -272,8 +273,8 @@ def test_repeats_by_brute_force(spark, none, shard_regions):
         rows.append((k, {17: "xy" * 300, 19: None, 20: rows[3][1] if k > 3 else "", 21: ""}.get(k, t)))
     length, raw = 40, [(t or "").encode() for _, t in rows]
     counts = collections.Counter(t[i : i + length] for t in raw for i in range(len(t) - length + 1))
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("spans", F.lit(1)).withColumn("row_key", F.lit(1))
-    got = {r["doc_id"]: r for r in suffix.remove_repeats(df, length=length, digest=True, shard_regions=shard_regions).collect()}
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("spans", "row_key", "of_row", "_spans", "_row_key", "_of")})
+    got = {r["doc_id"]: r for r in suffix.remove_repeats(df, length=length, digest=True, shard_bytes=shard_bytes).collect()}
     for (k, _), t in zip(rows, raw, strict=True):
         covered = np.zeros(len(t) + 1, int)
         for i in range(len(t) - length + 1):
@@ -282,7 +283,7 @@ def test_repeats_by_brute_force(spark, none, shard_regions):
         kept = bytes(np.frombuffer(t, np.uint8)[covered[:-1] == 0])
         want = (len(t), int(covered.sum()), int((np.diff(np.append(0, covered)) == 1).sum()), hashlib.sha256(kept).hexdigest())
         assert tuple(got[k])[1:] == want
-    if shard_regions == 2:
+    if shard_bytes == 500:
         assert suffix.remove_repeats(df, length=length).columns == df.columns
         assert suffix.remove_repeats(none, digest=True).count() == 0
 
@@ -448,3 +449,156 @@ def test_wrapped_licences(spark):
     assert [got[k] for k in range(len(rows))] == [name for name, _ in rows]
     every = spark.createDataFrame([(i, wrap("# ", i)) for i in known], "doc_id string, text string")
     assert {r["doc_id"]: r["sentence_ids"] for r in license.scan(every).collect()} == {i: f"<{i}>" for i in known}
+
+
+# ---- brute force beside the operators
+def test_fingerprints_by_brute_force(spark):
+    import struct
+
+    import xxhash
+
+    def signed(x):
+        return x - (1 << 64) if x >> 63 else x
+
+    def h(*parts):
+        seed = 42
+        for p in parts:
+            raw = p.encode() if isinstance(p, str) else struct.pack("<q", p) if isinstance(p, int) else struct.pack("<i", p[0])
+            seed = xxhash.xxh64_intdigest(raw, seed=seed)
+        return signed(seed)
+
+    def brute(text):
+        tokens = [h(w) for w in re.findall(r"[^\x20\x09-\x0D]{1,16}", text)]
+        grams = [h(a, b) for a, b in zip(tokens, tokens[1:], strict=False)] or ([h(*tokens)] if tokens else [])
+        seen, numbered = collections.Counter(), []
+        for at, x in enumerate(grams):
+            high = x >> fingerprint.PLACE_BITS
+            numbered.append((h(high, (seen[high],)) >> fingerprint.PLACE_BITS, at))
+            seen[high] += 1
+        classes = collections.defaultdict(list)
+        for e, at in numbered:
+            classes[(e >> (64 - fingerprint.PLACE_BITS - fingerprint.BUCKET_BITS)) & 31].append((e, at))
+        out = []
+        for c, members in classes.items():
+            least = sorted(sorted(members)[: fingerprint.LEAST], key=lambda m: m[1])
+            out.append(f"{c:02x}{h(*[e for e, _ in least]) & ((1 << 64) - 1):016x}")
+        return ".".join(sorted(out))
+
+    rng = random.Random(8)
+    texts = ["", "one", "a b a b a b a", "x " * 500, "é" * 40, " \n"] + [" ".join(rng.choice(["aa", "bb", "c", "ddd", "é", "x" * 20]) for _ in range(rng.randint(1, 120))) for _ in range(60)]
+    got = fingerprint.fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["fingerprint"] for r in got} == {k: brute(t) for k, t in enumerate(texts)}
+
+
+def test_repeats_at_full_length(spark):
+    rng = random.Random(12)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    long, short = prose(90), prose(45)  # passages of over 50 words, one of over 400 bytes and one below
+    assert len(long) > 450 and len(short) < 400
+    rows = [(k, prose(30) + " " + (long if k % 3 == 0 else short if k % 3 == 1 else prose(60)) + " " + prose(40)) for k in range(60)]
+    rows += [(100, long * 2), (101, long[:399]), (102, "ab" * 5000), (103, prose(200_000))]  # the last is over one block
+    raw = [t.encode() for _, t in rows]
+    counts = collections.Counter()
+    for t in raw:
+        counts.update({hash(t[i : i + 400]) for i in range(len(t) - 399)} if len(t) > 100_000 else [hash(t[i : i + 400]) for i in range(len(t) - 399)])
+    for shard_bytes in (1 << 20, 4000):
+        got = {r["doc_id"]: r for r in suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), digest=True, shard_bytes=shard_bytes).collect()}
+        for (k, _), t in zip(rows, raw, strict=True):
+            step = np.zeros(len(t) + 1, int)
+            for i in range(len(t) - 399):
+                if counts[hash(t[i : i + 400])] > 1:
+                    step[i] += 1
+                    step[i + 400] -= 1
+            covered = np.cumsum(step)[:-1] > 0
+            kept = bytes(np.frombuffer(t, np.uint8)[~covered])
+            assert (got[k]["n_removed"], got[k]["kept_sha256"]) == (int(covered.sum()), hashlib.sha256(kept).hexdigest()), k
+
+
+def test_kneser_ney_by_plain_counts():
+    rng = np.random.default_rng(4)
+    symbols, order = 5, 3
+    text = rng.integers(1, symbols, 900).tolist()
+    grams = [tuple(text[i : i + order]) for i in range(len(text) - order + 1)]
+    tables = {order: collections.Counter(grams)}
+    for k in (2, 1):
+        tables[k] = collections.Counter(g[1:] for g in tables[k + 1])
+
+    def plain(gram):
+        k = len(gram)
+        if not k:
+            return 1 / symbols
+        n1, n2, n3, n4 = (max(1, sum(c == j for c in tables[k].values())) for j in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = [0, *(min(max(x, 0.05), most) for x, most in ((1 - 2 * y * n2 / n1, 1), (2 - 3 * y * n3 / n2, 2), (3 - 4 * y * n4 / n3, 3)))]
+        same = {g: c for g, c in tables[k].items() if g[:-1] == gram[:-1]}
+        if not same:
+            return plain(gram[1:])
+        total = sum(same.values())
+        c = same.get(gram, 0)
+        return (c - d[min(c, 3)] * (c > 0)) / total + sum(d[min(x, 3)] for x in same.values()) / total * plain(gram[1:])
+
+    number = lambda g: sum(x * symbols ** (len(g) - 1 - i) for i, x in enumerate(g))
+    model = quality.KneserNey(np.array([number(g) for g in tables[order]]), np.array(list(tables[order].values())), symbols, order)
+    asked = [tuple(rng.integers(0, symbols, order).tolist()) for _ in range(200)]
+    assert np.allclose(model.lookup(order, np.array([number(g) for g in asked])), [plain(g) for g in asked])
+
+
+def test_quality_bits_follow_from_all_texts(spark):
+    """The distributed shards give what one model of all texts gives."""
+    rng = random.Random(6)
+    words = ["the", "and", "über", "hand", "tree", "日本", "here", "then", "***"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randint(20, 60))), ["en", "de", None][k % 3], "s", 0) for k in range(90)] + [(200, "", "en", None, 0), (201, None, None, None, None)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    for lang in ("en", "de", None):
+        mine = [(k, t) for k, t, x, *_ in rows if x == lang]
+        data, offsets = kernels.utf8(__import__("pyarrow").array([t for _, t in mine]))
+        grams, back, counts = np.unique(quality.codes(data, offsets), return_inverse=True, return_counts=True)
+        bits = quality.KneserNey(grams, counts).surprisal(grams)[back]
+        base = quality.base_counts(data, offsets)
+        for i, (k, _) in enumerate(mine):
+            letters = max(1, int(base["word_chars"][i] - base["n_symbols"][i]))
+            assert abs(got[k]["bits"] - bits[offsets[i] : offsets[i + 1]].sum() / letters) < 1e-3 * (1 + got[k]["bits"])
+
+
+def test_toxicity_scorer_equals_its_sentences():
+    rng = random.Random(3)
+    words = ["blockhead", "tree", "hand", "a", "b", "é", "num-skull", "***", "end.", "so!", "_"]
+    texts = ["", " \n", "b l o c k h e a d", "b  l o\nc"] + ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "\n", "\t"]) for _ in range(rng.randint(1, 130))) for _ in range(80)]
+    clean = [" ".join(rng.choice(words[1:3]) for _ in range(12)) for _ in range(40)]
+    machine = toxicity.train(clean + [c + " blockhead" for c in clean] + [c + " numskull" for c in clean], [0] * 40 + [1] * 80)
+    data, offsets = kernels.utf8(__import__("pyarrow").array(texts))
+    got = toxicity.Scorer(machine).margins(data, offsets)
+    for t, m in zip(texts, got, strict=True):
+        parts = [float(machine.shares(s).sum()) if s else 0.0 for s in toxicity.sentences(t)]
+        assert abs(m - machine.bias - max(parts, default=0.0)) < 1e-6
+
+
+def test_neardup_finds_links_near_the_limit(spark):
+    """Documents of one family around a similarity of 0.8: components by brute force, in cells of several chunks."""
+    rng = random.Random(21)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    rows = []
+    for family in range(4):
+        base = [rng.choice(vocabulary) for _ in range(160)]
+        for _ in range(60):
+            words = list(base)
+            for at in rng.sample(range(160), rng.randint(2, 26)):
+                words[at] = rng.choice(vocabulary)
+            rows.append((len(rows), " ".join(words), "en", "s", 0))
+    df = spark.createDataFrame(rows, SCHEMA)
+    neardup_chunk, neardup.CHUNK = neardup.CHUNK, 16
+    try:
+        got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in neardup.link_classes(df, words=2).collect()), key=repr)
+    finally:
+        neardup.CHUNK = neardup_chunk
+    assert got == components_of(rows, 2, 80)
+
+
+def test_filters_take_any_column_name(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(["the", "and", "tree", "hand", "reed", f"u{k}"]) for _ in range(40)), "en", "s", 0) for k in range(30)]
+    odd = ("judged_key", "kept_key", "kept_row", "_of", "_spans", "_row_key", "spans", "block", "shard", "x", "y", "key", "row", "node", "signature", "who", "class", "_key", "_text")
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(1) for c in odd})
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, toxic int")
+    for out in (quality.quality_filter(df), neardup.deduplicate(df), suffix.remove_repeats(df), toxicity.toxicity_filter(df, labels)):
+        assert out.columns == df.columns and 0 < out.count() <= 30
