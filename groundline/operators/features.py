@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from groundline.operators import kernels as N
@@ -33,6 +33,11 @@ def as_lists(rings: P.Rings) -> list:
     return [[[float(x), float(y)] for x, y in ring] for ring in rings]
 
 
+def _coordinates(rings: str, k: int) -> Column:
+    """All x (k = 0) or y (k = 1) of a polygon."""
+    return F.flatten(F.transform(rings, lambda r: F.transform(r, lambda p: p[k])))
+
+
 # ---- areas
 def area_rings(z: np.ndarray, level: float, upper: bool = True, buffers: tuple[BufferRule, ...] = (), simplify: float = 0.0, frame: P.Rings | None = None, cell: float = CELL) -> P.Rings:
     """The area of a raster at or above a level (``upper``) or below it, in metres east and north of the first sample."""
@@ -94,7 +99,7 @@ def absorbed_areas(areas: DataFrame, key: str = "symbol", least: str = "min_area
     Only areas whose boxes meet can touch, so each connected cluster of boxes is one group, and large maps are many.
     Needs object_id, key, least and rings.
     """
-    x, y = (F.flatten(F.transform("rings", lambda r, k=k: F.transform(r, lambda p: p[k]))) for k in (0, 1))
+    x, y = _coordinates("rings", 0), _coordinates("rings", 1)
     a = areas.withColumns({"_x0": F.array_min(x), "_x1": F.array_max(x), "_y0": F.array_min(y), "_y1": F.array_max(y)})
     span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
     dealt = a.select("object_id", key, "_x0", "_x1", "_y0", "_y1", F.explode(span("_x0", "_x1")).alias("_bx")).withColumn("_by", F.explode(span("_y0", "_y1")))
@@ -131,7 +136,7 @@ def intersecting(left: DataFrame, right: DataFrame, cell: float = 512.0) -> Data
     """
 
     def boxed(df: DataFrame, name: str) -> DataFrame:
-        x, y = (F.flatten(F.transform("rings", lambda r, k=k: F.transform(r, lambda p: p[k]))) for k in (0, 1))
+        x, y = _coordinates("rings", 0), _coordinates("rings", 1)
         b = df.select(F.col("object_id").alias(f"{name}_id"), F.col("rings").alias(f"{name}_rings"), F.array_min(x).alias("x0"), F.array_max(x).alias("x1"), F.array_min(y).alias("y0"), F.array_max(y).alias("y1"))
         span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
         b = b.withColumn("bx", F.explode(span("x0", "x1"))).withColumn("by", F.explode(span("y0", "y1")))

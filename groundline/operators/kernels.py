@@ -85,9 +85,12 @@ def smoothed(z: np.ndarray, angle: float, size: int, sweeps: int, cell: float =
     return out.reshape(z.shape)
 
 
-def discrete_sibson(x: np.ndarray, y: np.ndarray, value: np.ndarray, px: int) -> np.ndarray:
+def discrete_sibson(x: np.ndarray, y: np.ndarray, value: np.ndarray, px: int, slope: np.ndarray | None = None) -> np.ndarray:
     """Natural-neighbour interpolation on cells: each cell gives its nearest site's value to all cells within that site's
-    distance; a cell's value is the mean of what it is given. Sites are in cell units. Published by Park et al., 2006."""
+    distance; a cell's value is the mean of what it is given. Sites are in cell units. Published by Park et al., 2006.
+
+    ``slope`` (n, 2): a site then gives its value carried on along its slope (per cell) to the cell that takes it.
+    """
     best = np.full((px, px), np.inf)
     site = np.zeros((px, px), np.int64)
     yy, xx = np.indices((px, px))
@@ -120,7 +123,9 @@ def discrete_sibson(x: np.ndarray, y: np.ndarray, value: np.ndarray, px: int) ->
             for dx in range(-r, r + 1):
                 y2, x2 = at // px + dy, at % px + dx
                 ok = (dx * dx + dy * dy <= best.ravel()[at]) & (y2 >= 0) & (y2 < px) & (x2 >= 0) & (x2 < px)
-                np.add.at(total, (y2 * px + x2)[ok], value[site.ravel()[at[ok]]])
+                own = site.ravel()[at[ok]]
+                given = value[own] if slope is None else value[own] + slope[own, 0] * (x2[ok] - x[own]) + slope[own, 1] * (y2[ok] - y[own])
+                np.add.at(total, (y2 * px + x2)[ok], given)
                 np.add.at(n, (y2 * px + x2)[ok], 1)
     return (total / np.maximum(n, 1)).reshape(px, px)
 
@@ -195,3 +200,108 @@ def convex_hull(points: np.ndarray) -> np.ndarray:
         return out[:-1]
 
     return np.array(chain(points) + chain(points[::-1]))
+
+
+def corner_slopes(z: np.ndarray, reach: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, values, slopes) of a raster's four corners, in cells; slopes are differences over ``reach`` cells inwards."""
+    rows, columns = z.shape
+    places, values, slopes = [], [], []
+    for y, x in ((0, 0), (0, columns - 1), (rows - 1, 0), (rows - 1, columns - 1)):
+        dx, dy = (1 if x == 0 else -1), (1 if y == 0 else -1)
+        places.append((x, y))
+        values.append(z[y, x])
+        slopes.append((dx * (z[y, x + dx * reach] - z[y, x]) / reach, dy * (z[y + dy * reach, x] - z[y, x]) / reach))
+    return np.array(places, float), np.array(values), np.array(slopes)
+
+
+def vertex_slopes(lines: list[tuple[float, np.ndarray]], shape: tuple[int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places, values, slopes) of contours' points, in cells (y southwards): a slope is square to the line, towards its
+    high side, and as steep as the way to the nearest point of another level tells; 0 where there is no other level. Points
+    on the raster's border, where closed lines run along it, are left out."""
+    places, values, normals = [], [], []
+    for level, line in lines:
+        ring = len(line) > 2 and (line[0] == line[-1]).all()
+        p = line[:-1] if ring else line
+        ahead = np.roll(p, -1, 0) if ring else np.vstack([p[1:], 2 * p[-1:] - p[-2:-1]])
+        behind = np.roll(p, 1, 0) if ring else np.vstack([2 * p[:1] - p[1:2], p[:-1]])
+        along = ahead - behind
+        size = np.maximum(np.hypot(*along.T), 1e-12)[:, None]
+        places.append(p)
+        values.append(np.full(len(p), level))
+        normals.append(np.stack([along[:, 1], -along[:, 0]], 1) / size)  # high ground lies to the left, y runs southwards
+    if not places:
+        return np.zeros((0, 2)), np.zeros(0), np.zeros((0, 2))
+    place, value, normal = np.vstack(places), np.concatenate(values), np.vstack(normals)
+    inner = ((place > 1e-6) & (place < np.array(shape[::-1]) - 1 - 1e-6)).all(1)
+    place, value, normal = place[inner], value[inner], normal[inner]
+    steep = np.zeros(len(place))
+    for level in np.unique(value):
+        mine, other = np.flatnonzero(value == level), np.flatnonzero(value != level)
+        for a in range(0, len(mine) if len(other) else 0, 256):
+            rows = mine[a : a + 256]
+            d = ((place[rows, None] - place[None, other]) ** 2).sum(-1)
+            k = d.argmin(1)
+            steep[rows] = np.abs(value[other[k]] - level) / np.sqrt(np.maximum(d[np.arange(len(rows)), k], 1e-12))
+    return place, value, normal * steep[:, None]
+
+
+def from_contours(lines: list[tuple[float, np.ndarray]], frame: np.ndarray) -> np.ndarray:
+    """A raster interpolated from contours and the frame's corners, with slopes; a cell that gets none keeps the frame's value."""
+    place, value, slope = (np.concatenate([a, b]) for a, b in zip(vertex_slopes(lines, frame.shape), corner_slopes(frame), strict=True))
+    out = discrete_sibson(place[:, 0], place[:, 1], value, frame.shape[0], slope)
+    return np.where(np.isfinite(out), out, frame)
+
+
+def box_mean(z: np.ndarray, half: int) -> np.ndarray:
+    """The mean of the (2 half + 1) squared cells around each one, clipped at the edges."""
+    total = np.pad(z.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    rows, columns = z.shape
+    y, x = np.arange(rows), np.arange(columns)
+    y0, y1, x0, x1 = np.maximum(y - half, 0), np.minimum(y + half + 1, rows), np.maximum(x - half, 0), np.minimum(x + half + 1, columns)
+    n = (y1 - y0)[:, None] * (x1 - x0)
+    return (total[y1][:, x1] - total[y0][:, x1] - total[y1][:, x0] + total[y0][:, x0]) / n
+
+
+def line_energy(line: np.ndarray) -> float:
+    """Squared turning angles over mean lengths, by the line's length; 1000 below three points."""
+    if len(line) < 3:
+        return 1000.0
+    legs = np.diff(line, axis=0)
+    size = np.hypot(*legs.T)
+    legs, size = legs[size > 0], size[size > 0]
+    if (line[0] == line[-1]).all() and len(legs):
+        legs, size = np.vstack([legs, legs[:1]]), np.append(size, size[0])
+        whole = size[:-1].sum()
+    else:
+        whole = size.sum()
+    if len(legs) < 2:
+        return 0.0
+    cosine = np.clip((legs[:-1] * legs[1:]).sum(1) / (size[:-1] * size[1:]), -1, 1)
+    return float((np.arccos(cosine) ** 2 / ((size[:-1] + size[1:]) / 2)).sum() / whole)
+
+
+def contours_of(z: np.ndarray, levels: list[float], tolerance: float = SIMPLIFY, cell: float = CELL) -> list[tuple[float, np.ndarray]]:
+    """(level, line) of all levels, simplified, in cells, without the padding's ends."""
+    limit = np.array(z.shape[::-1]) - 1
+    return [(level, simplified(line.clip(0, limit), tolerance / cell)) for level in levels for line in stitched(z, level)]
+
+
+def error_corrected(z: np.ndarray, levels: list[float], steps: int, weight: float, stop: tuple[float, float] = (0.1, 0.0), cell: float = CELL) -> tuple[np.ndarray, float, float]:
+    """(raster, error, energy): the terrain moved so that its contours, interpolated again, come near the true terrain.
+
+    Each step adds a box mean of what is missing, over boxes and by amounts that shrink; it ends after ``steps``, when the
+    score is at most stop[0] or changes by at most stop[1].
+    """
+    moved, before, error, energy = smoothed(z, 15, 15, 10, cell), math.inf, 0.0, 0.0
+    for k in range(steps):
+        lines = contours_of(moved, levels, cell=cell)
+        again = from_contours(lines, moved)
+        error = float(((z - again) ** 2).mean())
+        energy = sum(line_energy(line * cell) for _, line in lines)
+        score = error + weight * energy
+        if score <= stop[0] or abs(score - before) <= stop[1]:
+            break
+        left = (steps - k) / steps
+        moved = moved + left * box_mean(z - again, int(left * 30))
+        before = score
+    return moved, error, energy

@@ -14,6 +14,7 @@ from groundline.operators import kernels as N
 from groundline.operators import polygons as G
 from groundline.operators import raster as R
 from groundline.plans import contract as B
+from groundline.plans import maps as M
 from groundline.plans.contract import query, r4, with_p
 
 # ---- areas of thresholds: the SQL adds up, cell by cell, what the case of its corners leaves inside
@@ -280,3 +281,31 @@ def terrain(s: SparkSession, d: str) -> DataFrame:
 
 query("terrain_layers")(lambda s, d: terrain(s, d).select(*R.KEY, r4("dem"), r4("returns"), r4("intensity")))
 QUERIES, ORACLE = B.QUERIES, B.ORACLE
+
+
+# ---- whole maps
+def map_layers(s: SparkSession, d: str) -> DataFrame:
+    """All layers of the contract grid: block terrain and its slope, mean returns and intensity, density index, water."""
+    base = R.normalised(mean_grid(s, d), "intensity").join(R.normalised(mean_grid(s, d), "returns"), R.KEY)
+    out = B.dem(s, d).join(slope(s, d).select(*R.KEY, "slope"), R.KEY).join(base, R.KEY)
+    return out.join(B.index(s, d), R.KEY).join(B.water(s, d).select(*R.KEY, "water"), R.KEY)
+
+
+def map_params() -> params.MapParams:
+    return params.MapParams(contour=params.ContourParams(interval=2.5, basemap=True, basemap_interval=1.25), min_size=True)
+
+
+def objects_of_map(s: SparkSession, d: str) -> DataFrame:
+    return M.tile_objects(map_layers(s, d), B.tiles(s, d), map_params(), {"basemap", "contours", "cliffs", "water"})
+
+
+query("map_tile_objects")(lambda s, d: objects_of_map(s, d).groupBy("tile_id", "symbol", "kind").agg(F.count("*").alias("n")))
+query("map_finished")(lambda s, d: M.finished(objects_of_map(s, d), map_params(), {"basemap", "contours", "cliffs", "water"}).groupBy("symbol", "kind").agg(F.count("*").alias("n")))
+query("error_corrected_contours")(lambda s, d: N.per_tile(B.dem(s, d), _corrected, "tile_id int, error double, energy double", "dem"))
+
+
+def _corrected(tile, z):
+    import pandas as pd
+
+    _, error, energy = N.error_corrected(z, M._levels(z, 2.5), 2, 0.01)
+    return pd.DataFrame([(tile, round(error, 4), round(energy, 4))], columns=["tile_id", "error", "energy"])

@@ -10,8 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Rows that a Python worker gets at a time, where the session says no less: rows may hold whole texts.
+BATCH_ROWS = 1000
+
+
 def importable(spark: SparkSession) -> SparkSession:
     """Put this checkout on the workers' path; on a cluster without it, ship the package with --py-files."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [ROOT, env.get("PYTHONPATH", "")]))

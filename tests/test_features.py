@@ -223,3 +223,57 @@ def test_points_are_sorted_so_a_box_reads_few_groups(spark, tmp_path):
     groups = [pq.ParquetFile(f).metadata.row_group(g) for f in (tmp_path / "p").glob("*.parquet") for g in range(pq.ParquetFile(f).metadata.num_row_groups)]
     met = [g for g in groups if g.column(1).statistics.min <= 200 and g.column(1).statistics.max >= 100]
     assert len(groups) > 1 and len(met) < len(groups)
+
+
+# ---- whole maps
+def test_error_correction_comes_nearer():
+    from groundline.operators import kernels as N
+
+    y, x = np.mgrid[:48, :48]
+    z = 10 + 4 * np.exp(-((x - 20) ** 2 + (y - 26) ** 2) / 150.0) + 0.05 * x
+    levels = [9.0 + 1.0 * k for k in range(8)]
+    rough = float(((z - N.from_contours(N.contours_of(z, levels), z)) ** 2).mean())
+    assert rough < 0.5  # a range of five metres from lines a metre apart
+    _, error, energy = N.error_corrected(z, levels, 3, 0.001, (0.0, 0.0))
+    assert error < 0.5 and energy > 0
+    plane = 2.0 * x + 0.0 * y
+    places, values, slopes = N.corner_slopes(plane)
+    assert np.allclose(slopes, [[2, 0]] * 4) and values.tolist() == [0, 94, 0, 94]
+    lines = N.contours_of(plane, [20.0, 40.0, 60.0])
+    p, v, s = N.vertex_slopes(lines, plane.shape)
+    middle = (p[:, 1] > 1) & (p[:, 1] < 46) & (p[:, 0] < 40)
+    assert np.allclose(N.box_mean(plane, 2)[10, 10], 20) and (s[middle, 0] > 1.5).all()
+
+
+def test_map_of_a_tile(spark):
+    from groundline.plans import maps as M
+
+    y, x = np.mgrid[:41, :41]
+    rasters = {"dem": 20 - np.hypot(x - 20, y - 20) / 2, "returns": (x < 20) * 1.0, "intensity": x / 40.0, "slope": np.where(x > 30, 3.0, 0.0), "ndvd": y / 40.0, "water": np.where(y > 30, 0.9, 0.0)}
+    p = params.MapParams(contour=params.ContourParams(interval=2.5, basemap=True, basemap_interval=1.25), intensity=(params.IntensityFilter(0.25, 0.5, "Marsh"),))
+    rows = M.tile_steps(rasters, p, M.STEPS)
+    size = {s: sum(P.area([np.array(r) for r in c]) for n, k, _, c in rows if n == s) for s in {r[0] for r in rows if r[1] == "area"}}
+    assert size["RoughOpenLand"] + 0 > 150 and size["Marsh"] == pytest.approx(5.0 * 20, rel=0.05) and size["GiganticBoulder"] > 80 and size["LightGreen"] > size["MediumGreen"] > size["DarkGreen"]
+    assert {e for n, _, e, _ in rows if n == "Contour"} <= {5.0, 7.5, 10.0, 15.0, 17.5, 20.0} and any(n == "BasemapContour" for n, *_ in rows)
+    assert M.tile_steps(rasters, p, set()) == []
+    cells = spark.createDataFrame([(0, int(j), int(i), *[float(rasters[k][j, i]) for k in M.LAYERS]) for j in range(41) for i in range(41)], "tile_id int, yi int, xi int, " + ", ".join(f"{k} double" for k in M.LAYERS))
+    tiles = spark.createDataFrame([(0, 100.0, 200.0)], "tile_id int, tl_x double, tl_y double")
+    objects = M.tile_objects(cells, tiles, p)
+    assert objects.count() == len(rows) and M.tile_objects(cells.filter("false"), tiles, p).count() == 0
+    done = M.finished(objects, p).collect()
+    assert {r["symbol"] for r in done} >= {"Marsh", "UncrossableWaterWithBankLine", "BasemapContour"} and all(r["coordinates"] for r in done)
+    assert M.updated(objects, objects.filter("false"), ["Marsh"]).filter("symbol = 'Marsh'").count() == 0
+    for bad in (lambda: M.tile_objects(cells, tiles, p, {"odd"}), lambda: M.updated(objects, objects, ["odd"])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_covered_area():
+    from groundline.plans import maps as M
+
+    assert P.area(M.covered_area([(0, 0, 2, 2), (1, 1, 3, 3)])[0]) == pytest.approx(7)
+    assert P.area(M.covered_area([(0, 0, 2, 2)], P.box(1, 1, 5, 5))[0]) == pytest.approx(1)
+    for bad in (P.box(8, 8, 9, 9), np.array([(0, 0), (1, 1), (1, 0), (0, 1), (0, 0)], float)):
+        with pytest.raises(ValueError):
+            M.covered_area([(0, 0, 2, 2)], bad)
+    assert M.covered_area([(0, 0, 2, 2)], P.box(0, 0, 1, 1)[::-1])  # a clockwise filter is the same area
