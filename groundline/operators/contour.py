@@ -86,16 +86,19 @@ def ring_moments(lines: DataFrame, line: str = "line") -> DataFrame:
 
 
 def bending_energy(lines: DataFrame, line: str = "line", exponent: int = 1) -> DataFrame:
-    """lines with energy: squared turning angles over mean lengths, by the line's length; 1000 below three vertices."""
+    """lines with energy: squared turning angles over mean lengths, by the line's length; 1000 below three vertices.
+
+    Legs without a length are left out; a line of such legs only has 1000 as well.
+    """
     c = F.col
     legs = F.zip_with(F.slice(line, F.lit(1), F.size(line) - 1), F.slice(line, F.lit(2), F.size(line) - 1), lambda p, q: F.struct((q.x - p.x).alias("x"), (q.y - p.y).alias("y"), F.sqrt((q.x - p.x) * (q.x - p.x) + (q.y - p.y) * (q.y - p.y)).alias("l")))
-    m = lines.withColumn("_legs", F.when(F.size(line) >= 3, legs)).withColumn("_closed", is_closed(c(line)))
+    m = lines.withColumn("_legs", F.when(F.size(line) >= 3, F.filter(legs, lambda s: s.l > 0))).withColumn("_closed", is_closed(c(line)))
     turn = lambda a, b: F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (a.x * b.x + a.y * b.y) / (a.l * b.l))))
     follow = F.when(c("_closed"), F.concat(F.slice("_legs", F.lit(2), F.size("_legs")), F.slice("_legs", 1, 1))).otherwise(F.slice("_legs", F.lit(2), F.size("_legs")))
     m = m.withColumn("_next", follow)
     parts = F.zip_with("_legs", "_next", lambda a, b: F.when(a.isNotNull() & b.isNotNull(), turn(a, b) * turn(a, b) / ((a.l + b.l) / 2)).otherwise(0.0))
     whole = F.aggregate(F.transform("_legs", lambda s: s.l), F.lit(0.0), lambda s, v: s + v)
-    energy = F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / F.pow(whole, F.lit(float(exponent)))
+    energy = F.aggregate(parts, F.lit(0.0), lambda s, v: s + v) / F.nullif(F.pow(whole, F.lit(float(exponent))), F.lit(0.0))
     return m.withColumn("energy", F.coalesce(energy, F.lit(1000.0))).drop("_legs", "_next", "_closed")
 
 

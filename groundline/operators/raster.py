@@ -165,7 +165,8 @@ def water_likelihood(sums: DataFrame, density: Column, mean: Column, deviation:
     c = F.col
     n = c("n")
     cov = lambda a, b: c(f"s_{a}{b}") - c(f"s_{a}") * c(f"s_{b}") / n
-    s = sums.select(*KEY, "n", "s_i", cov("x", "x").alias("xx"), cov("x", "y").alias("xy"), cov("y", "y").alias("yy"), cov("x", "z").alias("xz"), cov("y", "z").alias("yz"), F.greatest(cov("z", "z"), F.lit(0.0)).alias("zz"))
+    s = sums.select(*KEY, "n", "s_i", density.alias("density"), mean.alias("mean"), deviation.alias("deviation"), cov("x", "x").alias("xx"), cov("x", "y").alias("xy"), cov("y", "y").alias("yy"), cov("x", "z").alias("xz"), cov("y", "z").alias("yz"), F.greatest(cov("z", "z"), F.lit(0.0)).alias("zz"))
+    density, mean, deviation = c("density"), c("mean"), c("deviation")
     s = s.withColumn("det", c("xx") * c("yy") - c("xy") * c("xy"))
     s = s.withColumn("ax", (c("xz") * c("yy") - c("yz") * c("xy")) / c("det")).withColumn("ay", (c("yz") * c("xx") - c("xz") * c("xy")) / c("det"))
     extent = lambda i: F.least(c(i) + half, F.lit(px - 1)) - F.greatest(c(i) - half, F.lit(0)) + 1

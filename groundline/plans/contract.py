@@ -279,8 +279,9 @@ query("box_sums", with_p("SELECT tile_id, yi, xi, round(n, 2) AS n, round(s_i, 2
 
 
 def water(s: SparkSession, d: str) -> DataFrame:
-    st = points(s, d).agg(F.avg("intensity").alias("i_mean"), F.stddev_pop("intensity").alias("i_std"), (F.count("*") / F.lit(128.0 * 128.0)).alias("dens")).first()
-    return R.water_likelihood(moment_sums(s, d), F.lit(st["dens"]), F.lit(st["i_mean"]), F.lit(st["i_std"]), px=PX)
+    st = points(s, d).agg(F.avg("intensity").alias("i_mean"), F.stddev_pop("intensity").alias("i_std"), (F.count("*") / F.lit(128.0 * 128.0)).alias("dens"))
+    sums = moment_sums(s, d).join(F.broadcast(st))  # one row
+    return R.water_likelihood(sums, F.col("dens"), F.col("i_mean"), F.col("i_std"), px=PX)
 
 
 WATER = """st AS (SELECT avg(intensity) AS i_mean, stddev_pop(intensity) AS i_std, count(*) / 16384.0::DOUBLE AS dens FROM q),
@@ -371,11 +372,11 @@ def _thin() -> Column:
     return (xx + yy - F.sqrt((xx - yy) * (xx - yy) + 4 * xy * xy)) / 2 < 0.01
 
 
-query("bending_energy", f"""WITH {LINES}, tu AS (SELECT line_id, k, x2-x AS ax, y2-y AS ay, coalesce(x3, CASE WHEN cl THEN fx END) - x2 AS bx, coalesce(y3, CASE WHEN cl THEN fy END) - y2 AS b2 FROM
-(SELECT *, nth_value(x, 2) OVER o AS fx, nth_value(y, 2) OVER o AS fy, first_value(x) OVER o = last_value(x) OVER o AND first_value(y) OVER o = last_value(y) OVER o AS cl FROM lg WINDOW o AS (PARTITION BY line_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE x2 IS NOT NULL),
-ok AS (SELECT line_id FROM tu GROUP BY ALL HAVING min(ax*ax + ay*ay) > 0)
-SELECT line_id, round(sum(CASE WHEN bx IS NULL THEN 0 ELSE pow(acos(greatest(-1, least(1, (ax*bx + ay*b2) / (sqrt(ax*ax+ay*ay) * sqrt(bx*bx+b2*b2))))), 2) / ((sqrt(ax*ax+ay*ay) + sqrt(bx*bx+b2*b2)) / 2) END) / sum(sqrt(ax*ax+ay*ay)), 4) AS energy FROM tu JOIN ok USING (line_id) GROUP BY line_id""")(
-    lambda s, d: C.bending_energy(lines(s, d).filter(~F.exists(F.zip_with("line", F.slice("line", F.lit(2), F.size("line")), lambda a, b: a.eqNullSafe(b)), lambda e: e))).select("line_id", r4("energy")))
+query("bending_energy", f"""WITH {LINES}, tl AS (SELECT line_id, k, x2-x AS ax, y2-y AS ay, cl FROM
+(SELECT *, first_value(x) OVER o = last_value(x) OVER o AND first_value(y) OVER o = last_value(y) OVER o AS cl FROM lg WINDOW o AS (PARTITION BY line_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE x2 <> x OR y2 <> y),
+tu AS (SELECT *, coalesce(lead(ax) OVER o, CASE WHEN cl THEN first_value(ax) OVER o END) AS bx, coalesce(lead(ay) OVER o, CASE WHEN cl THEN first_value(ay) OVER o END) AS b2 FROM tl WINDOW o AS (PARTITION BY line_id ORDER BY k)),
+en AS (SELECT line_id, sum(CASE WHEN bx IS NULL THEN 0 ELSE pow(acos(greatest(-1, least(1, (ax*bx + ay*b2) / (sqrt(ax*ax+ay*ay) * sqrt(bx*bx+b2*b2))))), 2) / ((sqrt(ax*ax+ay*ay) + sqrt(bx*bx+b2*b2)) / 2) END) / sum(sqrt(ax*ax+ay*ay)) AS e FROM tu GROUP BY line_id)
+SELECT ne.line_id, round(coalesce(e, 1000), 4) AS energy FROM ne LEFT JOIN en USING (line_id)""")(lambda s, d: C.bending_energy(lines(s, d)).select("line_id", r4("energy")))
 query("dot_knolls", f"""WITH {LINES}, {AREA}, {MOMENTS}, cl AS (SELECT line_id, (line_id % 3 <> 0) OR bool_or(c) AS c FROM (SELECT line_id, first_value(x) OVER o = last_value(x) OVER o AND first_value(y) OVER o = last_value(y) OVER o AS c FROM vx WINDOW o AS (PARTITION BY line_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) GROUP BY line_id)
 SELECT line_id, CASE WHEN NOT c OR abs(area) > 160 THEN 'kept' WHEN abs(area) < 10 THEN 'dropped' WHEN area < 0 THEN 'UDepression' WHEN (l2 > 0 AND l1/l2 < 1.5) OR area < 95 THEN 'DotKnoll' ELSE 'ElongatedDotKnoll' END AS fate FROM ar JOIN my USING (line_id) JOIN cl USING (line_id)""")(lambda s, d: C.dot_knolls(lines(s, d)).select("line_id", "fate"))
 ENDS = f"{LINES}, st AS (SELECT line_id, arg_min(x, k) AS sx, arg_min(y, k) AS sy, arg_max(x, k) AS ex, arg_max(y, k) AS ey, line_id % 50 AS elevation FROM vx WHERE line_id % 3 = 0 GROUP BY line_id)"
@@ -465,7 +466,7 @@ def full_dem(s: SparkSession, d: str) -> DataFrame:
     return p.groupBy("tile_id").applyInPandas(run, "tile_id int, yi int, xi int, dem double")
 
 
-query("delaunay_dem")(lambda s, d: full_dem(s, d).select(*R.KEY, r4("dem")))
+query("natural_neighbour_dem")(lambda s, d: full_dem(s, d).select(*R.KEY, r4("dem")))
 query("smoothed_dem")(lambda s, d: N.per_tile(full_dem(s, d), lambda t, z: N.as_cells(t, N.smoothed(z, 15, 7, 5), "dem"), "tile_id int, yi int, xi int, dem double", "dem").select(*R.KEY, r4("dem")))
 
 
