@@ -18,17 +18,17 @@ from groundline.plans import maps as M
 from groundline.plans.contract import query, r4, with_p
 
 # ---- areas of thresholds: the SQL adds up, cell by cell, what the case of its corners leaves inside
-CELLS = """c4 AS (SELECT tile_id, yi, xi, {v} AS nw, lead({v}) OVER r AS ne FROM {source} WINDOW r AS (PARTITION BY tile_id, yi ORDER BY xi)),
-c5 AS (SELECT *, lead(nw) OVER k AS sw, lead(ne) OVER k AS se FROM c4 WINDOW k AS (PARTITION BY tile_id, xi ORDER BY yi)),
-c6 AS (SELECT *, CASE WHEN nw >= {l} THEN 1 ELSE 0 END + CASE WHEN ne >= {l} THEN 2 ELSE 0 END + CASE WHEN se >= {l} THEN 4 ELSE 0 END + CASE WHEN sw >= {l} THEN 8 ELSE 0 END AS k,
-  ({l} - nw) / nullif(ne - nw, 0) AS t, ({l} - ne) / nullif(se - ne, 0) AS r, ({l} - sw) / nullif(se - sw, 0) AS b, ({l} - nw) / nullif(sw - nw, 0) AS f FROM c5 WHERE ne IS NOT NULL AND sw IS NOT NULL),
-c7 AS (SELECT tile_id, CASE k WHEN 0 THEN 0 WHEN 1 THEN t*f/2 WHEN 2 THEN (1-t)*r/2 WHEN 4 THEN (1-b)*(1-r)/2 WHEN 8 THEN b*(1-f)/2 WHEN 3 THEN (f+r)/2 WHEN 6 THEN 1-(t+b)/2 WHEN 12 THEN 1-(f+r)/2 WHEN 9 THEN (t+b)/2
-  WHEN 7 THEN 1-b*(1-f)/2 WHEN 14 THEN 1-t*f/2 WHEN 13 THEN 1-(1-t)*r/2 WHEN 11 THEN 1-(1-b)*(1-r)/2 WHEN 5 THEN 1-(1-t)*r/2-b*(1-f)/2 WHEN 10 THEN (1-t)*r/2+b*(1-f)/2 ELSE 1 END AS share FROM c6)"""
+CELLS = """c4{n} AS (SELECT tile_id, yi, xi, {v} AS nw, lead({v}) OVER r AS ne FROM {source} WINDOW r AS (PARTITION BY tile_id, yi ORDER BY xi)),
+c5{n} AS (SELECT *, lead(nw) OVER k AS sw, lead(ne) OVER k AS se FROM c4{n} WINDOW k AS (PARTITION BY tile_id, xi ORDER BY yi)),
+c6{n} AS (SELECT *, CASE WHEN nw >= {l} THEN 1 ELSE 0 END + CASE WHEN ne >= {l} THEN 2 ELSE 0 END + CASE WHEN se >= {l} THEN 4 ELSE 0 END + CASE WHEN sw >= {l} THEN 8 ELSE 0 END AS k,
+  ({l} - nw) / nullif(ne - nw, 0) AS t, ({l} - ne) / nullif(se - ne, 0) AS r, ({l} - sw) / nullif(se - sw, 0) AS b, ({l} - nw) / nullif(sw - nw, 0) AS f FROM c5{n} WHERE ne IS NOT NULL AND sw IS NOT NULL),
+c7{n} AS (SELECT tile_id, CASE k WHEN 0 THEN 0 WHEN 1 THEN t*f/2 WHEN 2 THEN (1-t)*r/2 WHEN 4 THEN (1-b)*(1-r)/2 WHEN 8 THEN b*(1-f)/2 WHEN 3 THEN (f+r)/2 WHEN 6 THEN 1-(t+b)/2 WHEN 12 THEN 1-(f+r)/2 WHEN 9 THEN (t+b)/2
+  WHEN 7 THEN 1-b*(1-f)/2 WHEN 14 THEN 1-t*f/2 WHEN 13 THEN 1-(1-t)*r/2 WHEN 11 THEN 1-(1-b)*(1-r)/2 WHEN 5 THEN 1-(1-t)*r/2-b*(1-f)/2 WHEN 10 THEN (1-t)*r/2+b*(1-f)/2 ELSE 1 END AS share FROM c6{n})"""
 
 
 def _area_sql(source: str, layer: str, level: float, *more: str, upper: bool = True) -> str:
     share = "share" if upper else "1 - share"
-    return with_p(f"SELECT tile_id, round(sum({share}) * 0.25::DOUBLE, 2) AS area FROM c7 GROUP BY tile_id", *more, CELLS.format(v=layer, source=source, l=f"{level}::DOUBLE"))
+    return with_p(f"SELECT tile_id, round(sum({share}) * 0.25::DOUBLE, 2) AS area FROM c7 GROUP BY tile_id", *more, CELLS.format(v=layer, source=source, l=f"{level}::DOUBLE", n=""))
 
 
 def _total(s: SparkSession, d: str, areas: DataFrame) -> DataFrame:
@@ -62,19 +62,14 @@ def intensity_areas(s: SparkSession, d: str) -> DataFrame:
     return A.band_areas(R.normalised(mean_grid(s, d), "intensity"), "intensity", f.low, f.high)
 
 
-query("intensity_areas")(lambda s, d: _total(s, d, intensity_areas(s, d)))
-query("vegetation_areas")(lambda s, d: _vegetation(s, d))
-
-
-def _vegetation(s: SparkSession, d: str) -> DataFrame:
-    """Area of each green by tile: polygons of the density index, as (tile_id, symbol, parts, area)."""
-    cells, parts = B.index(s, d), []
-    for level, name in zip(params.VegetationParams().green, ("LightGreen", "MediumGreen", "DarkGreen"), strict=True):
-        parts.append(A.threshold_areas(cells, "ndvd", level).withColumn("symbol", F.lit(name)))
-    return O.united(parts).groupBy("tile_id", "symbol").agg(F.count("*").alias("parts"), B.rounded(F.sum("area"), 2).alias("area"))
-
-
-query("water_areas")(lambda s, d: _total(s, d, A.threshold_areas(B.water(s, d), "water", 0.65)))
+_f = params.IntensityFilter()
+NORMAL = "ni AS (SELECT tile_id, yi, xi, (intensity - min(intensity) OVER (PARTITION BY tile_id)) / max(intensity) OVER (PARTITION BY tile_id) AS intensity FROM cg)"
+BANDS = [CELLS.format(v="intensity", source="ni", l=f"{level}::DOUBLE", n=n) for level, n in ((_f.low, ""), (_f.high, "h"))]
+query("intensity_areas", with_p("SELECT tile_id, round((a - h) * 0.25::DOUBLE, 2) AS area FROM (SELECT tile_id, sum(share) AS a FROM c7 GROUP BY tile_id) JOIN (SELECT tile_id, sum(share) AS h FROM c7h GROUP BY tile_id) USING (tile_id)", *B.BASE, B.GRID, B.MEANS, MEAN_GRID, NORMAL, *BANDS))(
+    lambda s, d: _total(s, d, intensity_areas(s, d)))
+for _level, _green in zip(params.VegetationParams().green, ("light", "medium", "dark"), strict=True):
+    query(f"{_green}_green_areas", _area_sql("nd", "ndvd", _level, *B.TERRAIN, B.VEG, B.NDVD))(lambda s, d, level=_level: _total(s, d, A.threshold_areas(B.index(s, d), "ndvd", level)))
+query("water_areas", _area_sql("wa", "water", 0.65, *B.BASE, B.GRID, B.MOM, B.BOXES, B.WATER))(lambda s, d: _total(s, d, A.threshold_areas(B.water(s, d), "water", 0.65)))
 query("buffered_areas")(lambda s, d: _total(s, d, A.threshold_areas(B.dem(s, d), "dem", 50.0, buffers=(params.BufferRule("grow", 2.0), params.BufferRule("shrink", 1.0)), simplify=params.SIMPLIFY)))
 
 # ---- boxes as polygons: one a part, on a grid with gaps, of several sizes
