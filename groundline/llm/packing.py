@@ -31,7 +31,7 @@ SLACK = 1 / 256
 #: Items that one task packs at a time.
 GROUP = 100_000
 #: Places for the round and group in a sequence's number.
-ROUND, PART = 1 << 58, 1 << 30
+ROUND, PART = 1 << 56, 1 << 30
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -92,10 +92,9 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def pack(items: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, group: int = GROUP) -> DataFrame:
     """All columns of items and (sequence_id, offset): items of one sequence_id fill it gapless from 0.
 
-    ``items`` needs a column length, of 1 to capacity.
+    ``items`` needs a column length, of 1 to capacity; columns of its own with the names of the two are replaced.
     """
-    if clash := {"sequence_id", "offset"} & set(items.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
+    items = items.drop(*[c for c in items.columns if c.lower() in ("sequence_id", "offset")])
     full = capacity - int(capacity * slack)
     member = T.StructType(items.schema.fields)
     bin_type = T.StructType([T.StructField("total", T.LongType()), T.StructField("members", T.ArrayType(member)), T.StructField("sequence_id", T.LongType())])
@@ -150,14 +149,14 @@ def pack(items: DataFrame, capacity: int = CAPACITY, slack: float = SLACK, group
         done.append(bins.filter("sequence_id is not null"))
         loose = bins.filter("sequence_id is null").select("total", "members")
         n = loose.count()
-        if before is not None and (before[1] == 1 or n > 0.99 * before[0]):
-            # one group has met, or bins no longer merge: what is left is emitted as it is
+        if before is not None and (before[1] == 1 or n == before[0]):
+            # one group has met, or no bin found another: what is left is emitted as it is
             rest = bins.filter("sequence_id is null").withColumn("sequence_id", F.lit((level + 1) * ROUND) + F.monotonically_increasing_id())
             done.append(cut(rest) if n else rest)
             break
         parts = max(1, -(-n // group))
         loose = loose.repartition(parts)
-        before, level = (n, parts), min(level + 1, 14)
+        before, level = (n, parts), level + 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)

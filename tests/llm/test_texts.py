@@ -70,8 +70,9 @@ def test_bpe_columns(spark, docs, none):
         if r["doc_id"] in (100, 101):
             assert (r["n_tokens"], r["ids_sha256"]) == (0, hashlib.sha256(b"").hexdigest())
     assert bpe.round_trip_digests(none, path).count() == 0
-    with pytest.raises(ValueError):
-        bpe.encode(docs.withColumn("ids", F.lit(1)), path)
+    assert bpe.encode(docs.withColumn("ids", F.lit(1)), path).select("ids").dtypes == [("ids", "array<int>")]  # replaced
+    clash = packing.pieces(docs, path, capacity=64).withColumns({"sequence_id": F.lit(1), "offset": F.lit("x")})
+    assert packing.pack(clash, capacity=64).count() == clash.count()
 
 
 def test_packing(spark, docs, none):
