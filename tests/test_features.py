@@ -277,3 +277,33 @@ def test_covered_area():
         with pytest.raises(ValueError):
             M.covered_area([(0, 0, 2, 2)], bad)
     assert M.covered_area([(0, 0, 2, 2)], P.box(0, 0, 1, 1)[::-1])  # a clockwise filter is the same area
+
+
+# ---- SQL functions and streams
+def test_sql_functions(spark):
+    from groundline import functions
+    from groundline.operators import contour as C
+
+    assert len(functions.register(spark)) == len(functions.FUNCTIONS)
+    df = spark.createDataFrame([([(0.0, 0.0), (4.0, 0.0), (4.0, 3.0), (0.0, 0.0)], 12.5), ([(0.0, 0.0), (3.0, 4.0)], 7.0), ([], 5.0), (None, None)], "line array<struct<x:double,y:double>>, level double")
+    df.createOrReplaceTempView("lines_of_test")
+    got = spark.sql("SELECT gl_ring_area(line) AS a, gl_line_length(line) AS l, gl_contour_symbol(level, 2.5) AS s, gl_paper_mm(level, 10000) AS mm, gl_cell(level, 0, 0.5) AS c, gl_jitter(level, 1) AS j FROM lines_of_test").collect()
+    want = df.select(C.ring_area(F.col("line")).alias("a"), O.jittered(F.col("level"), 1.0).alias("j")).collect()
+    assert [r["a"] for r in got][:3] == [r["a"] for r in want][:3] == [6.0, 0.0, 0.0] and got[3]["a"] is None
+    assert [r["l"] for r in got][:3] == [12.0, 5.0, 0.0] and [r["s"] for r in got] == ["IndexContour", "FormLine", "Contour", None]
+    assert [r["j"] for r in got] == pytest.approx([r["j"] for r in want], nan_ok=True) if None not in [r["j"] for r in got] else got[3]["j"] is None
+    assert got[0]["mm"] == 1.25 and got[0]["c"] == 25 and spark.sql("SELECT gl_boxes_meet(0, 0, 1, 1, 1, 1, 2, 2) AS m").first()["m"]
+
+
+def test_running_statistics(spark, tmp_path):
+    from groundline import streaming
+
+    rows = [(0, float(k), 10.0, float(k), 5.0, 1, 1, 2 if k % 2 else 5, k == 3) for k in range(20)]
+    folder = tmp_path / "points"
+    for part in (rows[:12], rows[12:]):
+        spark.createDataFrame(part, streaming.POINT).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = streaming.running_statistics(streaming.arriving_points(spark, str(folder), 1), 10.0)
+        q = stream.writeStream.outputMode("complete").format("memory").queryName("blocks_of_test").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+    got = {r["bx"]: (r["n_points"], r["n_ground"], r["max_z"]) for r in spark.table("blocks_of_test").collect()}
+    assert got == {0: (9, 4, 9.0), 1: (10, 5, 19.0)}
