@@ -82,9 +82,9 @@ def ndvd(weights: tuple[float, float, float] = (0.5, 0.35, 0.15)) -> Column:
 
 
 def normalised(cells: DataFrame, layer: str) -> DataFrame:
-    """(v - min) / max over each tile, as the maps use it."""
+    """(v - min) / max over each tile, as the maps use it; 0 where the greatest is 0."""
     m = cells.groupBy("tile_id").agg(F.min(layer).alias("_lo"), F.max(layer).alias("_hi"))
-    return cells.join(m, "tile_id").select(*KEY, ((F.col(layer) - F.col("_lo")) / F.col("_hi")).alias(layer))
+    return cells.join(m, "tile_id").select(*KEY, F.when(F.col("_hi") == 0, F.lit(0.0)).otherwise((F.col(layer) - F.col("_lo")) / F.nullif(F.col("_hi"), F.lit(0.0))).alias(layer))
 
 
 def around(cells: DataFrame, layer: str) -> DataFrame:
@@ -163,11 +163,11 @@ def plane_moments(points: DataFrame, tiles: DataFrame, px: int = TILE_PX, cell:
 def water_likelihood(sums: DataFrame, density: Column, mean: Column, deviation: Column, half: int = 6, px: int = TILE_PX, cell: float = CELL) -> DataFrame:
     """How likely a cell is water, from the box sums of ``plane_moments`` and the statistics of all points."""
     c = F.col
-    n = c("n")
+    n = F.nullif(c("n"), F.lit(0.0))
     cov = lambda a, b: c(f"s_{a}{b}") - c(f"s_{a}") * c(f"s_{b}") / n
     s = sums.select(*KEY, "n", "s_i", density.alias("density"), mean.alias("mean"), deviation.alias("deviation"), cov("x", "x").alias("xx"), cov("x", "y").alias("xy"), cov("y", "y").alias("yy"), cov("x", "z").alias("xz"), cov("y", "z").alias("yz"), F.greatest(cov("z", "z"), F.lit(0.0)).alias("zz"))
     density, mean, deviation = c("density"), c("mean"), c("deviation")
-    s = s.withColumn("det", c("xx") * c("yy") - c("xy") * c("xy"))
+    s = s.withColumn("det", F.nullif(c("xx") * c("yy") - c("xy") * c("xy"), F.lit(0.0)))
     s = s.withColumn("ax", (c("xz") * c("yy") - c("yz") * c("xy")) / c("det")).withColumn("ay", (c("yz") * c("xx") - c("xz") * c("xy")) / c("det"))
     extent = lambda i: F.least(c(i) + half, F.lit(px - 1)) - F.greatest(c(i) - half, F.lit(0)) + 1
     rmse2 = F.greatest(c("zz") - c("ax") * c("xz") - c("ay") * c("yz"), F.lit(0.0)) / n

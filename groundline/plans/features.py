@@ -142,14 +142,12 @@ def contour_lines(s: SparkSession, d: str, interval: float = 2.5, clip: float =
     """(tile_id, level, part, line): contours of the block terrain, simplified and clipped to the tile less a margin."""
 
     def run(tile, z):
-        import math
-
         import pandas as pd
 
         frame, rows = [G.box(clip, clip - 63.5, 63.5 - clip, -clip)], []
-        for k in range(math.floor(z.min() / interval), math.ceil(z.max() / interval) + 1):
-            parts = [p for line in N.stitched(z, k * interval) for p in A.clipped_lines(N.simplified(line * (0.5, -0.5)), frame)]
-            rows += [(tile, k * interval, i, [{"x": float(x), "y": float(y)} for x, y in p]) for i, p in enumerate(parts)]
+        for level in M._levels(z, interval):
+            parts = [p for line in N.stitched(z, level) for p in A.clipped_lines(N.simplified(line * (0.5, -0.5)), frame)]
+            rows += [(tile, level, i, [{"x": float(x), "y": float(y)} for x, y in p]) for i, p in enumerate(parts)]
         return pd.DataFrame(rows, columns=["tile_id", "level", "part", "line"])
 
     return N.per_tile(B.dem(s, d), run, "tile_id int, level double, part int, line array<struct<x:double,y:double>>", "dem")
@@ -302,5 +300,7 @@ query("error_corrected_contours")(lambda s, d: N.per_tile(B.dem(s, d), _correcte
 def _corrected(tile, z):
     import pandas as pd
 
+    if not np.isfinite(z).all():
+        return pd.DataFrame([(tile, None, None)], columns=["tile_id", "error", "energy"])
     _, error, energy = N.error_corrected(z, M._levels(z, 2.5), 2, 0.01)
     return pd.DataFrame([(tile, round(error, 4), round(energy, 4))], columns=["tile_id", "error", "energy"])

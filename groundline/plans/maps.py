@@ -28,6 +28,10 @@ FINAL_STOP, WATER_GAP, TIP_GAP = (0.9, 1.1), 1.0, 0.5
 
 
 def _levels(z: np.ndarray, interval: float) -> list[float]:
+    """Every contour level of a raster; none without a value."""
+    if not np.isfinite(z).any():
+        return []
+    z = z[np.isfinite(z)]
     first = math.floor(z.min() / interval) * interval
     return [first + k * interval for k in range(math.ceil((z.max() - z.min()) / interval) + 1)]
 

@@ -307,3 +307,18 @@ def test_running_statistics(spark, tmp_path):
         q.awaitTermination(120)
     got = {r["bx"]: (r["n_points"], r["n_ground"], r["max_z"]) for r in spark.table("blocks_of_test").collect()}
     assert got == {0: (9, 4, 9.0), 1: (10, 5, 19.0)}
+
+
+def test_queries_on_empty_tables(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from groundline.plans import features as Q
+
+    time, text = pa.timestamp("us"), pa.string()
+    item = {"l_orderkey": pa.int64(), "l_partkey": pa.int64(), "l_suppkey": pa.int64(), "l_linenumber": pa.int32(), "l_quantity": pa.float64(), "l_extendedprice": pa.float64(), "l_discount": pa.float64(), "l_tax": pa.float64(), "l_returnflag": text, "l_linestatus": text, "l_shipdate": time}
+    part = {"p_partkey": pa.int64(), "p_name": text, "p_brand": text, "p_type": text, "p_size": pa.int32(), "p_retailprice": pa.float64()}
+    for name, kinds in (("lineitem", item), ("part", part)):
+        pq.write_table(pa.schema(kinds).empty_table(), tmp_path / f"{name}.parquet")
+    for name in ("return_stats", "intensity_stats", "combined_stats", "points_in_tiles", "z_range", "corner_ghosts_idw", "canopy_height_model", "vegetation_density", "slope", "box_sums", "water_mask", "contour_levels", "marching_segments", "mosaic", "ring_area", "bending_energy", "dot_knolls", "line_end_matches", "interval_merge", "line_substring", "convex_hull", "terrain_areas", "area_intersections", "dissolved_areas", "small_area_absorb", "basemap_contours", "map_tile_objects"):
+        assert Q.QUERIES[name](spark, str(tmp_path)).count() >= 0
