@@ -43,7 +43,7 @@ LEAST = 0.25
 LONGEST, SPAN = 40, 24
 THRESHOLD = 0.7
 #: Words that a worker remembers the share of; a full table is emptied. Bounds memory, never results.
-CACHE = 2_000_000
+CACHE = 1_000_000
 RIDGE = 0.0005
 #: Words are runs without ASCII white space.
 WORD, WHITE, LINES = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]+"), re.compile(r"[\n\r]+")
@@ -184,15 +184,21 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -40, 40)))
 
 
-def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights of the squared-hinge machine by Newton steps; the last column of x is the constant."""
-    w = np.zeros(x.shape[1])
-    penalty = np.full(x.shape[1], ridge)
+def hinge_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1.0, strip: int = 4096) -> np.ndarray:
+    """Weights of the squared-hinge machine by Newton steps, the last one the constant's; rows are added up in strips."""
+    n = x.shape[1] + 1
+    w = np.zeros(n)
+    penalty = np.full(n, ridge)
     penalty[-1] = 1e-6
     for _ in range(40):
-        inside = y * (x @ w) < 1
-        s = x[inside] * weight[inside, None]
-        new = np.linalg.solve(s.T @ x[inside] + np.diag(penalty), s.T @ y[inside])
+        left, right = np.diag(penalty), np.zeros(n)
+        for a in range(0, len(x), strip):
+            part = np.append(x[a : a + strip], np.ones((len(x[a : a + strip]), 1)), 1).astype(float)
+            inside = y[a : a + strip] * (part @ w) < 1
+            part, of = part[inside], weight[a : a + strip][inside, None]
+            left += (part * of).T @ part
+            right += (part * of).T @ y[a : a + strip][inside]
+        new = np.linalg.solve(left, right)
         if np.allclose(new, w, atol=1e-8):
             break
         w = new
@@ -224,7 +230,8 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Machine:
         rate = min(max(rate, 1e-9), 1 - 1e-9)
         return Machine([], np.zeros(0), np.zeros(0), 0.0, 0.0, float(np.log(rate / (1 - rate))))
     rng = np.random.default_rng(seed)
-    docs = [sentences(t) for t in texts]
+    one: dict[str, str] = {}  # equal words are one string
+    docs = [[[one.setdefault(w, w) for w in s] for s in sentences(t)] for t in texts]
     seen = [Counter(), Counter()]
     for d, label in zip(docs, y, strict=True):
         seen[label].update({w for s in d for w in map(letters, s) if GRAM < len(w) <= SPAN})
@@ -253,23 +260,23 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Machine:
     words = sorted({x for _, s in rows for w in s for x in spans(letters(w)) if len(x) >= GRAM})
     number = {w: k for k, w in enumerate(words)}
     features = np.concatenate([alike(words[k : k + 20_000], marks, own) for k in range(0, len(words), 20_000)])
-    x = np.zeros((len(rows), len(marks)))
+    x = np.zeros((len(rows) + 1, len(marks)), np.float32)  # the last row is a sentence without words
+    turn = root.astype(np.float32)
     for r, (_, s) in enumerate(rows):
         at = [number[p] for w in s for p in spans(letters(w)) if len(p) >= GRAM]
         if at:
-            x[r] = features[at].sum(0)
-    x = np.concatenate([x @ root, np.ones((len(x), 1))], 1)
+            x[r] = features[at].sum(0) @ turn
+    del features
     bag = np.array([i for i, _ in rows])
     toxic_bag = np.concatenate([y, y])[bag] > 0
     label = np.where(toxic_bag & (bag >= len(docs)), 1.0, -1.0)
     label[list(likeliest.values())] = 1.0
     worst = np.full(2 * len(docs), -np.inf)
-    nothing = np.append(np.zeros(x.shape[1] - 1), 1.0)
     for _ in range(8):
         weight = np.where(label > 0, 0.5 / max(1, (label > 0).sum()), 0.5 / max(1, (label < 0).sum())) * len(label)
         # a sentence without words is clean, whatever else the machine learns
-        w = hinge_machine(np.vstack([x, nothing]), np.append(label, -1.0), np.append(weight, 0.25 * len(label)), RIDGE * len(label))
-        margin = x @ w
+        w = hinge_machine(x, np.append(label, -1.0), np.append(weight, 0.25 * len(label)), RIDGE * len(label))
+        margin = x[:-1] @ w[:-1] + w[-1]
         worst[:] = -np.inf
         np.maximum.at(worst, bag, margin)
         new = np.where(toxic_bag & ((margin > 0) | (margin >= worst[bag])), 1.0, -1.0)
@@ -411,16 +418,10 @@ class Scorer:
         return self.machine.probability(self.margins(data, offsets))
 
 
-_kept: dict[str, Scorer] = {}
-
-
 def scorer_of(shared: Broadcast) -> Scorer:
-    """A worker's scorer for a broadcast (name, machine), kept over its tasks; one machine at a time."""
+    """A worker's scorer for a broadcast (name, machine), kept over its tasks."""
     name, machine = shared.value
-    if name not in _kept:
-        _kept.clear()
-        _kept[name] = Scorer(machine)
-    return _kept[name]
+    return K.worker_cache(f"toxicity {name}", lambda: Scorer(machine))
 
 
 def shared_machine(spark: SparkSession, machine: Machine) -> Broadcast:
