@@ -6,8 +6,7 @@ same two tokens. An automaton with suffix links yields the vocabulary's tokens t
 the first compatible one is stored, and following the stored tokens back from the end emits the exact ids.
 
 Null texts are empty texts; an empty text has no ids and decodes to "". Very long words cost time in proportion to their
-length and are not cached. Equal texts give equal rows; further columns are kept, and a clash with an output name is
-refused by ``encode`` with a clear error.
+length and are not cached. Equal texts give equal rows; further columns are kept, but one of an output's name is replaced.
 """
 
 from __future__ import annotations
@@ -34,7 +33,7 @@ MARK = ""
 #: Code points with the Unicode property White_Space.
 WHITE = "\t-\r \x85\xa0  -     　"
 #: Entries of a worker's caches; a full cache is emptied. Bounds memory, never results.
-CACHE = 2_000_000
+CACHE = 1_000_000
 #: Bytes of text that are encoded at a time: larger blocks have fewer distinct pre-tokens a byte.
 TEXT_BLOCK = 2 << 20
 LONGEST_CACHED = 48
@@ -379,20 +378,14 @@ class BlockEncoder:
         return [body[a : max(a, b - 1)] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
-_encoders: dict[str, BlockEncoder] = {}
-
-
 def encoder(path: str) -> BlockEncoder:
     """A worker's encoder, kept over its tasks."""
-    if path not in _encoders:
-        _encoders[path] = BlockEncoder(path)
-    return _encoders[path]
+    return K.worker_cache(f"bpe {path}", lambda: BlockEncoder(path))
 
 
-def _with(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
-    if clash := {f.name for f in fields} & set(df.columns):
-        raise ValueError(f"columns {sorted(clash)} exist already")
-    return T.StructType([*df.schema.fields, *fields])
+def _with(df: DataFrame, out: str) -> DataFrame:
+    """df without a column of the output's name, which is replaced."""
+    return df.drop(*[c for c in df.columns if c.lower() == out.lower()])
 
 
 def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -405,7 +398,8 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "ids") -> Da
                 ids, starts = encode_block(data, offsets)
                 yield part.append_column(out, pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids)))
 
-    return df.mapInArrow(run, _with(df, [T.StructField(out, T.ArrayType(T.IntegerType()))]))
+    df = _with(df, out)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -416,7 +410,8 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
         for batch in batches:
             yield batch.append_column(out, pa.array([bpe.decode(x or []) for x in batch.column(ids).to_pylist()], pa.string()))
 
-    return df.mapInArrow(run, _with(df, [T.StructField(out, T.StringType())]))
+    df = _with(df, out)
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, T.StringType())]))
 
 
 def round_trip_digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -7,7 +7,9 @@ A null text is an empty text throughout.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +90,26 @@ def blocks(batch: pa.RecordBatch, text: str = "text", size: int = BLOCK) -> Iter
         to = min(to, batch.num_rows)
         yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
         at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that a reused worker no longer needs to the system, where its C library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_libc, "malloc_trim", None):
+        trim(0)
+
+
+_libc = ctypes.CDLL(None)
+_worker: dict[str, Any] = {}
+
+
+def worker_cache(name: str, make: Callable[[], Any]) -> Any:
+    """What ``make`` gives, kept over a worker's tasks. One thing at a time: another operator's tables go first."""
+    if name not in _worker:
+        _worker.clear()
+        _worker[name] = make()
+    return _worker[name]
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -358,6 +358,7 @@ def _across(met: DataFrame, roots: DataFrame, signed: DataFrame, docs: DataFrame
         root, n, node = (table.column(c).to_numpy() for c in ("root", "n_shingles", "node"))
         able = _candidates(root, n, _low_bytes(table.column("bytes")), percent)
         common = common_sizes([np.frombuffer(x.as_buffer(), K.U) for x in table.column("shingles")])
+        K.give_back()
         a, b = spanning_forest(able & (100 * common >= percent * (n[:, None] + n - common)))
         return pa.table({"a": node[a], "b": node[b]})
 

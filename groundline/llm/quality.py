@@ -39,7 +39,7 @@ WINDOW = 8
 REACH = 5.0
 LEAST_SPREAD = 0.02
 #: Bytes of text that a block holds, as a rule.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 #: Surprisals are ranked in steps of a part of a bit, up to MOST bits.
 STEPS, MOST = 1024, 64
 #: Fixed value: the symbols that n_symbols counts.
@@ -401,6 +401,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, docs: DataFrame, key: str, te
             letters = np.maximum(counts["word_chars"] - counts["n_symbols"], 1)
             mean = (total[offsets[1:]] - total[offsets[:-1]]) / letters
             parts.append(pa.table([pa.array(np.full(part.num_rows, block.column("block")[0].as_py())), pa.array(np.arange(rows.start, rows.stop)), part.column(key), part.column(lang).cast(pa.string()), *[pa.array(counts[c]) for c in BASE], pa.array(mean)], names=names))
+        K.give_back()
         return pa.concat_tables(parts)
 
     names = ["block", "row", "key", "lang", *BASE, "bits"]

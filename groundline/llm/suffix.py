@@ -35,7 +35,7 @@ GRAM = 64
 #: Windows of a region at most; longer runs are several regions.
 RUN = 2048
 #: Bytes of regions that a shard holds, as a rule; an anchor with more is dealt to several.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 #: Windows that a merge across shards holds, as a rule.
 MERGED = 1 << 20
 #: Slots of the filter that tells which regions are needed: a fixed 2 MB, whatever the input.
@@ -296,6 +296,7 @@ def _sorted_spans(bodies: DataFrame, length: int, shard_bytes: int) -> DataFrame
         return pa.table({f.name: columns.get(f.name, pa.nulls(n, f.type)) for f in arrow}).cast(arrow)
 
     def ranked(table: pa.Table) -> pa.Table:
+        K.give_back()  # of the shard before
         table = table.combine_chunks()
         texts = table.column("body").to_pylist()
         windows, counts, parts = (table.column(c).to_numpy() for c in ("windows", "n", "parts"))
