@@ -1,8 +1,8 @@
 """The corpus pipeline: documents become training sequences.
 
 Quality rules reject documents, toxicity rejects documents, near-duplicates (five-word shingles, similarity of 0.8 or more)
-leave one document of each group, byte strings that stand elsewhere go from the texts, and what is left is packed into
-sequences. Every stage works on all that its predecessor kept; all but the last return the columns of documents. Nulls,
+leave one document of each group, byte strings of 400 bytes or over 50 words that stand elsewhere go from the texts, and
+what is left is packed into sequences. Every stage works on all that its predecessor kept; all but the last return the columns of documents. Nulls,
 empty texts, ties, repeated rows and empty tables have the results that the stages' operators state.
 """
 
@@ -14,34 +14,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from groundline.llm import bpe, neardup, packing, quality, suffix, toxicity
-from groundline.llm.tables import cut, read, remove, shared_dir
+from groundline.llm.tables import cut, read, remove, shared_dir, shrink
 from groundline.session import importable
 
 
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def prepared(spark: SparkSession) -> None:
+    """What each stage begins with: workers can import the package, and the stage before has left no full heaps."""
     importable(spark)
+    shrink(spark)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    prepared(spark)
     return quality.quality_filter(docs)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(spark)
+    prepared(spark)
     return toxicity.toxicity_filter(docs, read(spark, sf_dir, "labels"))
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(spark)
+    prepared(spark)
     return neardup.deduplicate(docs)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The texts without their repeated bytes; n_chars, if there is one, follows the text."""
-    importable(spark)
-    left = suffix.remove_repeats(docs)
+    prepared(spark)
+    left = suffix.remove_repeats(docs, length=suffix.PASSAGE, passages=True)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    importable(spark)
+    prepared(spark)
     return packing.pack(cut(packing.pieces(docs, bpe.tokenizer_path())))
 
 

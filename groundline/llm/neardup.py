@@ -103,6 +103,7 @@ def sign(docs: DataFrame, key: str, text: str, words: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.forget()
         seen: set[int] = set()
         for batch in batches:
             for part, data, offsets in K.blocks(batch, "_text"):
@@ -130,6 +131,7 @@ def wanted_sets(docs: DataFrame, nodes: DataFrame, text: str, words: int) -> Dat
     shared = docs.sparkSession.sparkContext.broadcast(table.view(K.U))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.forget()
         seen: set[int] = set()
         for batch in batches:
             for _, data, offsets in K.blocks(batch, text):

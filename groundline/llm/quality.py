@@ -236,6 +236,7 @@ def _blocks(docs: DataFrame, text: str, made: Callable[[int, pa.RecordBatch], pa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        K.forget()
         block = TaskContext.get().partitionId() << 32
         held, size = [], 0
         for batch in batches:

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+from groundline.llm import kernels, suffix, tables
 
 
 def test_stages(spark, tmp_path):
@@ -53,3 +54,30 @@ def test_stages_hand_over_parquet(spark, tmp_path, monkeypatch):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [0, 5]
     assert all(files and all(f.endswith(".parquet") for f in files) for files in read_from)
     assert all(f"/{k}-s{k - 1}/" in f for k, files in enumerate(read_from) if k for f in files)
+
+
+def test_passages_of_many_short_words_go(spark):
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    many, fewer, long = prose(55), prose(45), "".join(rng.choice("abcdef") for _ in range(450))
+    assert 200 < len(many) < 400 and 200 < len(fewer) < 400
+    begin, end = [prose(30) + str(k) for k in range(7)], ["<>{}[]~"[k] + prose(30) for k in range(7)]
+    shared = [many, many, fewer, fewer, long, long, prose(55)]
+    rows = [(k, f"{begin[k]} {shared[k]} {end[k]}", 0) for k in range(7)] + [(7, None, None)]
+    out = corpus_pipeline.suffix_stage(spark, spark.createDataFrame(rows, "doc_id long, text string, n_chars long"), "")
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert [got[k] for k in (0, 1, 4, 5)] == [begin[k] + end[k] for k in (0, 1, 4, 5)]
+    assert [got[k] for k in (2, 3, 6, 7)] == [rows[k][1] for k in (2, 3, 6, 7)]
+    assert [suffix.whole_words(b"one two three", a, b) for a, b in ((0, 13), (1, 13), (0, 12), (3, 8), (5, 6))] == [3, 2, 2, 1, 0]
+
+
+def test_stages_begin_without_what_others_left(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = lambda: sum(b.getCollectionCount() for b in beans if "Young" not in b.getName())
+    before = full()
+    corpus_pipeline.prepared(spark)
+    assert full() > before
+    kernels.worker_cache("tables of one operator", dict)
+    kernels.forget()
+    assert not kernels._worker
+    tables.shrink(spark)
