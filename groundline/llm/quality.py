@@ -186,13 +186,24 @@ MODEL = SYMBOLS**ORDER
 PAIR = SYMBOLS**2
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers, packed: first the first bytes of all, then the second ones and so on, as high bytes are alike."""
+    return pa.compress(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(x: bytes, kind: type, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(x, n * size, codec="zstd"), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(n)
+
+
 def _zip(x: np.ndarray) -> bytes:
-    """Numbers with their differences, packed."""
-    return pa.compress(np.diff(x, prepend=x.dtype.type(0)).tobytes(), codec="zstd", asbytes=True)
+    """Sorted numbers, their differences packed."""
+    return _pack(np.diff(x, prepend=x.dtype.type(0)))
 
 
 def _unzip(x: bytes, kind: type, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(pa.decompress(x, n * np.dtype(kind).itemsize, codec="zstd"), kind), dtype=kind)
+    return np.cumsum(_unpack(x, kind, n), dtype=kind)
 
 
 def _shard(grams: np.ndarray, shards: int) -> np.ndarray:
@@ -280,7 +291,7 @@ def _requests(docs: DataFrame, text: str, lang: str, known: list, shards: int) -
         ends = np.searchsorted(shard, np.arange(shards + 1))
         used = np.flatnonzero(np.diff(ends))
         cuts = [(int(ends[k]), int(ends[k + 1])) for k in used]
-        return pa.record_batch([pa.array(np.full(len(used), block)), pa.array(used), pa.array([b - a for a, b in cuts], pa.int64()), pa.array([_zip(grams[a:b]) for a, b in cuts], pa.binary()), pa.array([_zip(counts[a:b]) for a, b in cuts], pa.binary())], names=["block", "shard", "n", "x", "y"])
+        return pa.record_batch([pa.array(np.full(len(used), block)), pa.array(used), pa.array([b - a for a, b in cuts], pa.int64()), pa.array([_zip(grams[a:b]) for a, b in cuts], pa.binary()), pa.array([_pack(counts[a:b]) for a, b in cuts], pa.binary())], names=["block", "shard", "n", "x", "y"])
 
     return _blocks(docs, text, made, "block long, shard long, n long, x binary, y binary")
 
@@ -289,7 +300,7 @@ def _merged(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     """A shard's n-grams, how often they stand in all blocks, and for each block the places of its own."""
     n = table.column("n").to_pylist()
     own = [_unzip(x, np.int64, k) for x, k in zip(table.column("x").to_pylist(), n, strict=True)]
-    counts = np.concatenate([_unzip(y, np.int64, k) for y, k in zip(table.column("y").to_pylist(), n, strict=True)])
+    counts = np.concatenate([_unpack(y, np.int64, k) for y, k in zip(table.column("y").to_pylist(), n, strict=True)])
     grams, back = np.unique(np.concatenate(own), return_inverse=True)
     ends = np.cumsum(n)
     return grams, np.bincount(back, counts), [back[e - k : e] for e, k in zip(ends, n, strict=True)]
@@ -350,7 +361,7 @@ def _answers(docs: DataFrame, text: str, lang: str) -> tuple[DataFrame, list]:
         for m, at in _by_model(grams):
             model = KneserNey(grams[at] % MODEL, counts[at], SYMBOLS, ORDER, base[m], 2, discounts[m])
             bits[at] = model.surprisal(grams[at] % MODEL)
-        return pa.table({"block": table.column("block"), "n": table.column("n"), "grams": table.column("x"), "bits": pa.array([pa.compress(bits[p].tobytes(), codec="zstd", asbytes=True) for p in places], pa.binary())})
+        return pa.table({"block": table.column("block"), "n": table.column("n"), "grams": table.column("x"), "bits": pa.array([_pack(bits[p]) for p in places], pa.binary())})
 
     return made.groupBy("shard").applyInArrow(answer, "block long, n long, grams binary, bits binary"), known
 
@@ -392,7 +403,7 @@ def _scored(blocks: DataFrame, answers: DataFrame, docs: DataFrame, key: str, te
         batch = _opened(block.column("x")[0].as_py())
         n = table.column("n").to_pylist()
         grams = [_unzip(x, np.int64, k) for x, k in zip(table.column("grams").to_pylist(), n, strict=True)]
-        bits = [np.frombuffer(pa.decompress(x, 4 * k, codec="zstd"), np.float32) for x, k in zip(table.column("bits").to_pylist(), n, strict=True)]
+        bits = [_unpack(x, np.float32, k) for x, k in zip(table.column("bits").to_pylist(), n, strict=True)]
         bits_of = _Surprisals(np.concatenate([*grams, np.zeros(0, np.int64)]), np.concatenate([*bits, np.zeros(0, np.float32)]))
         model, parts = _models(batch, lang, known), []
         for part, data, offsets, rows in _slices(batch, text):

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -561,6 +562,19 @@ def test_quality_bits_follow_from_all_texts(spark):
             assert abs(got[k]["bits"] - bits[offsets[i] : offsets[i + 1]].sum() / letters) < 1e-3 * (1 + got[k]["bits"])
 
 
+def test_packed_numbers_are_small_and_whole():
+    rng = np.random.default_rng(3)
+    counts, grams = rng.geometric(0.3, 5000), np.unique(rng.integers(0, quality.MODEL, 5000))
+    bits = rng.random(5000).astype(np.float32) * 20
+    for x in (counts, counts[:1], counts[:0], bits):
+        assert (quality._unpack(quality._pack(x), x.dtype.type, len(x)) == x).all()
+    assert (quality._unzip(quality._zip(grams), np.int64, len(grams)) == grams).all()
+    batch = pa.record_batch([pa.array(["".join(map(chr, rng.integers(97, 107, 400))) for _ in range(200)])], names=["text"])
+    n = quality._block_grams(batch, "text", np.zeros(200, np.int64))[1]
+    plain = len(pa.compress(np.diff(n, prepend=0).tobytes(), codec="zstd", asbytes=True))
+    assert len(quality._pack(n)) < 0.7 * plain
+
+
 def test_toxicity_scorer_equals_its_sentences():
     rng = random.Random(3)
     words = ["blockhead", "tree", "hand", "a", "b", "é", "num-skull", "***", "end.", "so!", "_"]
