@@ -19,6 +19,7 @@ from groundline.operators import kernels as N
 from groundline.operators import polygons as P
 from groundline.operators.columns import KINDS, basemap_wanted, min_size_symbols
 from groundline.params import AREAS, CELL, SIMPLIFY, MapParams
+from groundline.session import checkpointed
 
 OBJECT = "tile_id int, symbol string, kind string, elevation double, coordinates array<array<array<double>>>"
 STEPS = {"basemap", "contours", "openness", "greens", "water", "cliffs", "intensity"}
@@ -116,6 +117,7 @@ def _numbered(df: DataFrame) -> DataFrame:
 def finished(objects: DataFrame, p: MapParams, steps: set[str] = STEPS) -> DataFrame:
     """(symbol, kind, elevation, coordinates, rotation): all tiles' objects after the steps over the whole map, in order:
     small areas, gaps of water, depressions of the basemap, lines tip to tail, small closed contours as points."""
+    objects = checkpointed(objects)  # read many times below: tiles are worked on once
     least = {n: a * (4 / 9 if p.scale == 10_000 else 1) for n, _, a in AREAS}
     names = min_size_symbols(p, steps)
     areas = objects.filter("kind = 'area'").select("symbol", F.col("coordinates").alias("rings"))
