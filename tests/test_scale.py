@@ -26,3 +26,41 @@ def test_tiles_are_worked_on_once(spark, areas):
     done = M.finished(areas.mapInPandas(run, M.OBJECT), params.MapParams(min_size=True), {"cliffs", "water", "contours"}).groupBy("symbol").agg(F.count("*").alias("n"))
     assert {r["symbol"]: r["n"] for r in done.collect()} == {"GiganticBoulder": 1, "UncrossableWaterWithBankLine": 1, "Contour": 1}
     assert seen.value == areas.count()
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_map_computes_the_layers_of_its_steps(spark):
+    from groundline.plans import contract as B
+    from groundline.plans import features as Q
+
+    layers = Q.map_layers(spark, SMALL, {"basemap", "cliffs"})
+    assert layers.columns == ["tile_id", "yi", "xi", "dem", "slope"] and layers.count() == 4 * B.PX * B.PX
+    assert set(M.layers_of(M.STEPS)) == set(M.LAYERS)
+    assert "exp(" not in _plan(M.tile_objects(layers, B.tiles(spark, SMALL), Q.map_params(), {"basemap", "cliffs"}))  # no densities
+    assert _plan(B.dem(spark, SMALL)).count("FileScan") == 1  # the points are read once
+
+
+def test_points_are_not_dealt_by_tile(spark):
+    from groundline.operators import raster as R
+    from groundline.plans import contract as B
+
+    for df in (R.binned(B.points(spark, SMALL), B.tiles(spark, SMALL), B.PX), R.normalised(B.cell_means(spark, SMALL), "intensity")):
+        assert "SortMergeJoin" not in _plan(df)
+    assert "Exchange hash" not in _plan(R.binned(B.points(spark, SMALL), B.tiles(spark, SMALL), B.PX))
+
+
+def test_blocks_of_a_grid_that_they_do_not_divide(spark):
+    from groundline.operators import raster as R
+
+    points = spark.createDataFrame([(0, 0.25, -0.25, 4.0, 2), (0, 0.25, -0.25, 2.0, 9), (0, 4.6, -0.1, 8.0, 2), (0, 1.0, -1.0, 99.0, 5)], "tile_id int, x double, y double, z double, classification int")
+    tiles = spark.createDataFrame([(0, 0.0, 0.0), (1, 50.0, 0.0)], "tile_id int, tl_x double, tl_y double")
+    got = {(r["tile_id"], r["yi"], r["xi"]): r["dem"] for r in R.block_dem(points, tiles, 10).collect()}
+    assert set(got) == {(t, y, x) for t in (0, 1) for y in range(10) for x in range(10)}
+    want = lambda y, x: 3.0 if y < 8 and x < 8 else 8.0 if y < 8 else 14 / 3
+    assert all(got[0, y, x] == want(y, x) and got[1, y, x] is None for y in range(10) for x in range(10))
