@@ -277,23 +277,32 @@ QUERIES, ORACLE = B.QUERIES, B.ORACLE
 
 
 # ---- whole maps
-def map_layers(s: SparkSession, d: str) -> DataFrame:
-    """All layers of the contract grid: block terrain and its slope, mean returns and intensity, density index, water."""
-    base = R.normalised(mean_grid(s, d), "intensity").join(R.normalised(mean_grid(s, d), "returns"), R.KEY)
-    out = B.dem(s, d).join(slope(s, d).select(*R.KEY, "slope"), R.KEY).join(base, R.KEY)
-    return out.join(B.index(s, d), R.KEY).join(B.water(s, d).select(*R.KEY, "water"), R.KEY)
+def map_layers(s: SparkSession, d: str, steps: set[str] = M.STEPS) -> DataFrame:
+    """The steps' layers of the contract grid: block terrain and its slope, mean returns and intensity, density index, water.
+
+    Each has a row a cell, so a layer that no step draws from changes no row of the others.
+    """
+    names = M.layers_of(steps)
+    out = B.dem(s, d)
+    for name in names[1:]:
+        layer = {"slope": slope, "water": B.water, "ndvd": B.index}.get(name) or (lambda s, d, name=name: R.normalised(mean_grid(s, d), name))
+        out = out.join(layer(s, d).select(*R.KEY, name), R.KEY)
+    return out
 
 
 def map_params() -> params.MapParams:
     return params.MapParams(contour=params.ContourParams(interval=2.5, basemap=True, basemap_interval=1.25), min_size=True)
 
 
+MAP_STEPS = {"basemap", "contours", "cliffs", "water"}
+
+
 def objects_of_map(s: SparkSession, d: str) -> DataFrame:
-    return M.tile_objects(map_layers(s, d), B.tiles(s, d), map_params(), {"basemap", "contours", "cliffs", "water"})
+    return M.tile_objects(map_layers(s, d, MAP_STEPS), B.tiles(s, d), map_params(), MAP_STEPS)
 
 
 query("map_tile_objects")(lambda s, d: objects_of_map(s, d).groupBy("tile_id", "symbol", "kind").agg(F.count("*").alias("n")))
-query("map_finished")(lambda s, d: M.finished(objects_of_map(s, d), map_params(), {"basemap", "contours", "cliffs", "water"}).groupBy("symbol", "kind").agg(F.count("*").alias("n")))
+query("map_finished")(lambda s, d: M.finished(objects_of_map(s, d), map_params(), MAP_STEPS).groupBy("symbol", "kind").agg(F.count("*").alias("n")))
 query("error_corrected_contours")(lambda s, d: N.per_tile(B.dem(s, d), _corrected, "tile_id int, error double, energy double", "dem"))
 
 

@@ -24,6 +24,8 @@ from groundline.session import checkpointed
 OBJECT = "tile_id int, symbol string, kind string, elevation double, coordinates array<array<array<double>>>"
 STEPS = {"basemap", "contours", "openness", "greens", "water", "cliffs", "intensity"}
 LAYERS = ["dem", "returns", "intensity", "slope", "ndvd", "water"]
+#: The layer that a step draws from, besides the terrain.
+DRAWN_FROM = {"openness": "returns", "greens": "ndvd", "water": "water", "cliffs": "slope", "intensity": "intensity"}
 #: Score and its change at which error correction of a whole map ends; gaps that water and line tips close over.
 FINAL_STOP, WATER_GAP, TIP_GAP = (0.9, 1.1), 1.0, 0.5
 
@@ -89,25 +91,31 @@ def tile_steps(rasters: dict[str, np.ndarray], p: MapParams, steps: set[str], cu
     return out
 
 
+def layers_of(steps: set[str]) -> list[str]:
+    """The terrain and the layers that the steps draw from."""
+    return [n for n in LAYERS if n == "dem" or n in {DRAWN_FROM.get(step) for step in steps}]
+
+
 def tile_objects(layers: DataFrame, tiles: DataFrame, p: MapParams, steps: set[str] = STEPS) -> DataFrame:
-    """The objects of every tile; layers has tile_id, yi, xi and LAYERS, tiles tile_id, tl_x and tl_y.
+    """The objects of every tile; layers has tile_id, yi, xi and the steps' LAYERS, tiles tile_id, tl_x and tl_y.
 
     Tiles without cells have no objects. Form lines are pruned by ``form_lines_pruned`` of the caller if that is wanted.
     """
     if unknown := steps - STEPS:
         raise ValueError(f"unknown steps {sorted(unknown)}")
+    names = layers_of(steps)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shape = (int(pdf["yi"].max()) + 1, int(pdf["xi"].max()) + 1)
         rasters = {}
-        for name in LAYERS:
+        for name in names:
             rasters[name] = np.full(shape, np.nan)
             rasters[name][pdf["yi"], pdf["xi"]] = pdf[name]
         x0, y0 = float(pdf["tl_x"].iloc[0]), float(pdf["tl_y"].iloc[0])
         rows = [(int(pdf["tile_id"].iloc[0]), s, k, e, [[[x + x0, y + y0] for x, y in ring] for ring in c]) for s, k, e, c in tile_steps(rasters, p, steps)]
         return pd.DataFrame(rows, columns=["tile_id", "symbol", "kind", "elevation", "coordinates"])
 
-    return layers.select("tile_id", "yi", "xi", *LAYERS).join(F.broadcast(tiles.select("tile_id", "tl_x", "tl_y")), "tile_id").groupBy("tile_id").applyInPandas(run, OBJECT)
+    return layers.select("tile_id", "yi", "xi", *names).join(F.broadcast(tiles.select("tile_id", "tl_x", "tl_y")), "tile_id").groupBy("tile_id").applyInPandas(run, OBJECT)
 
 
 def _numbered(df: DataFrame) -> DataFrame:
