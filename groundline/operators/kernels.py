@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame
 
 from groundline.params import CELL, SIMPLIFY
 
+#: Points that a worker adds to the sites of its tiles before it drops what is nearest to no cell.
+HELD = 200_000
+
 
 def per_tile(cells: DataFrame, run: Callable[[int, np.ndarray], pd.DataFrame], schema: str, layer: str) -> DataFrame:
     """run(tile_id, raster) for every tile of a layer in cell form; a tile is one group of a fixed size."""
@@ -85,37 +88,116 @@ def smoothed(z: np.ndarray, angle: float, size: int, sweeps: int, cell: float =
     return out.reshape(z.shape)
 
 
-def discrete_sibson(x: np.ndarray, y: np.ndarray, value: np.ndarray, px: int, slope: np.ndarray | None = None) -> np.ndarray:
+def _nearest_by_ring(x: np.ndarray, y: np.ndarray, px: int, n: int) -> pd.DataFrame:
+    """(cell, ring, d2, row, column, site): for each cell its nearest site in the first ring of buckets that has a site, and in
+    the next one; of equally near sites that of the lesser bucket, then the one given first.
+
+    Buckets hold a site each on average of all ``n``; a ring is counted from the cell's own bucket. Of a part of the sites the
+    rows' sites are enough: what they leave out is nearest in none of the two rings of the whole set either.
+    """
+    size = max(1, int(math.sqrt(px * px / max(1, n))))
+    blocks = -(-px // size)
+    far = 2 * blocks + 2
+    width = blocks + 2 * far
+    j, i = (np.floor_divide(v, size) + far for v in (y, x))
+    site = np.flatnonzero((j >= 0) & (j < width) & (i >= 0) & (i < width))
+    key = (j[site] * width + i[site]).astype(np.int64)
+    site = site[np.argsort(key, kind="stable")]
+    length = np.bincount(key, minlength=width * width)
+    start = length.cumsum() - length
+    full = np.pad((length > 0).reshape(width, width).cumsum(0).cumsum(1), ((1, 0), (1, 0)))
+    first, at = np.full((blocks, blocks), -1), np.arange(blocks) + far
+    for ring in range(far + 1):
+        lo, hi = at - ring, at + ring + 1
+        first[(first < 0) & (full[hi][:, hi] - full[lo][:, hi] - full[hi][:, lo] + full[lo][:, lo] > 0)] = ring
+        if (first >= 0).all():
+            break
+    block, rings, bucket = [], [], []
+    for least in np.unique(first[first >= 0]).tolist():
+        by, bx = np.nonzero(first == least)
+        for ring in range(least, min(least + 1, far) + 1):
+            for dy in range(-ring, ring + 1):
+                for dx in range(-ring, ring + 1) if abs(dy) == ring else (-ring, ring) if ring else (0,):
+                    k = (by + far + dy) * width + bx + far + dx
+                    some = length[k] > 0
+                    block.append((by * blocks + bx)[some])
+                    rings.append(np.full(some.sum(), ring))
+                    bucket.append(k[some])
+    block, rings, bucket = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (block, rings, bucket))
+    oy, ox = np.indices((size, size)).reshape(2, 1, -1)
+    cy, cx = ((block // blocks)[:, None] * size + oy).ravel(), ((block % blocks)[:, None] * size + ox).ravel()
+    rings, bucket = np.repeat(rings, size * size), np.repeat(bucket, size * size)
+    inside = (cy < px) & (cx < px)
+    cy, cx, rings, bucket = cy[inside], cx[inside], rings[inside], bucket[inside]
+    chosen, d2 = np.zeros(len(cy), np.int64), np.zeros(len(cy))
+    todo = np.cumsum(length[bucket]) // 1_000_000  # distances at a time
+    for part in np.split(np.arange(len(cy)), np.flatnonzero(np.diff(todo)) + 1) if len(cy) else []:
+        m = length[bucket[part]]
+        begin, own = m.cumsum() - m, np.repeat(np.arange(len(part)), m)
+        k = site[np.arange(m.sum()) - np.repeat(begin - start[bucket[part]], m)]
+        d = (cx[part][own] - x[k]) ** 2 + (cy[part][own] - y[k]) ** 2
+        d2[part] = np.minimum.reduceat(d, begin)
+        hit = np.flatnonzero(d == d2[part][own])
+        chosen[part] = k[hit[np.searchsorted(own[hit], np.arange(len(part)))]]
+    out = pd.DataFrame({"cell": cy * px + cx, "ring": rings, "d2": d2, "row": bucket // width, "column": bucket % width, "site": chosen})
+    return out.sort_values(["cell", "ring", "d2", "row", "column"]).drop_duplicates(["cell", "ring"])
+
+
+def nearest_sites(points: DataFrame, values: list[str], px: int) -> DataFrame:
+    """The points that ``discrete_sibson`` needs of each tile, with n, the number of all: at most two a cell.
+
+    Points are dropped where they are read, and once more tile after tile; a worker holds those sites and HELD points more, so
+    a tile may have any number. Needs tile_id, cx, cy in cells, and the values.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    names = ["tile_id", "cx", "cy", *values]
+
+    def kept(batches: list) -> pa.RecordBatch:
+        pdf = pa.Table.from_batches(batches).to_pandas().sort_values(names)
+        parts = [g.iloc[np.unique(_nearest_by_ring(g["cx"].to_numpy(), g["cy"].to_numpy(), px, int(g["n"].iloc[0]))["site"])] for _, g in pdf.groupby("tile_id")]
+        return pa.RecordBatch.from_pandas(pd.concat(parts), schema=batches[0].schema, preserve_index=False)
+
+    def run(batches, by_tile: bool):
+        held, rows, least = [], 0, HELD
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                rows += batch.num_rows
+            if rows >= least:
+                sites = kept(held)
+                tiles = sites.column("tile_id").to_numpy()
+                # tiles before the last one are complete, or there are sites of very many tiles
+                done = np.searchsorted(tiles, tiles[-1]) if by_tile else len(tiles) if len(tiles) >= max(2 * HELD, 4 * px * px) else 0
+                if done:
+                    yield sites.slice(0, done)
+                held = [sites.slice(done)] if done < len(tiles) else []
+                rows = len(tiles) - done
+                least = HELD + rows
+        if held:
+            yield kept(held)
+
+    counts = points.groupBy("tile_id").agg(F.count("*").alias("n"))
+    p = points.join(F.broadcast(counts), "tile_id").select(*names, "n")
+    few = p.mapInArrow(lambda batches: run(batches, False), p.schema)
+    return few.repartition("tile_id").sortWithinPartitions("tile_id").mapInArrow(lambda batches: run(batches, True), p.schema)
+
+
+def discrete_sibson(x: np.ndarray, y: np.ndarray, value: np.ndarray, px: int, slope: np.ndarray | None = None, n: int | None = None) -> np.ndarray:
     """Natural-neighbour interpolation on cells: each cell gives its nearest site's value to all cells within that site's
     distance; a cell's value is the mean of what it is given. Sites are in cell units. Published by Park et al., 2006.
 
     ``slope`` (n, 2): a site then gives its value carried on along its slope (per cell) to the cell that takes it.
+    ``n``: how many sites there were, if these are what ``nearest_sites`` left of them.
     """
-    best = np.full((px, px), np.inf)
-    site = np.zeros((px, px), np.int64)
-    yy, xx = np.indices((px, px))
-    bucket: dict[tuple[int, int], list[int]] = {}
-    size = max(1, int(math.sqrt(px * px / max(1, len(x)))))
-    for k, (a, b) in enumerate(zip(x, y, strict=True)):
-        bucket.setdefault((int(b // size), int(a // size)), []).append(k)
-    blocks = -(-px // size)
-    for by in range(blocks):
-        for bx in range(blocks):
-            rows, columns = slice(by * size, min(px, (by + 1) * size)), slice(bx * size, min(px, (bx + 1) * size))
-            found, ring, extra = [], 0, 0
-            while extra < 2 and ring <= 2 * blocks + 2:  # one ring more than the first that has a site, twice for the corners
-                for j in range(by - ring, by + ring + 1):
-                    for i in range(bx - ring, bx + ring + 1):
-                        if max(abs(j - by), abs(i - bx)) == ring:
-                            found += bucket.get((j, i), [])
-                ring += 1
-                extra += bool(found)
-            k = np.array(found)
-            d = (xx[rows, columns][..., None] - x[k]) ** 2 + (yy[rows, columns][..., None] - y[k]) ** 2
-            least = d.argmin(-1)
-            best[rows, columns] = np.take_along_axis(d, least[..., None], -1)[..., 0]
-            site[rows, columns] = k[least]
-    total, n = np.zeros(px * px), np.zeros(px * px)
+    near = _nearest_by_ring(x, y, px, len(x) if n is None else n)
+    # one ring more than the first that has a site, for the corners
+    near = near.sort_values(["cell", "d2", "ring", "row", "column"]).drop_duplicates("cell")
+    if len(near) < px * px:
+        raise ValueError("no site is near the tile")
+    best, site = near["d2"].to_numpy().reshape(px, px), near["site"].to_numpy().reshape(px, px)
+    total, taken = np.zeros(px * px), np.zeros(px * px)
     radius = np.sqrt(best)
     for r in np.unique(np.ceil(radius).astype(int)):
         at = np.flatnonzero(np.ceil(radius).astype(int).ravel() == r)
@@ -126,8 +208,8 @@ def discrete_sibson(x: np.ndarray, y: np.ndarray, value: np.ndarray, px: int, sl
                 own = site.ravel()[at[ok]]
                 given = value[own] if slope is None else value[own] + slope[own, 0] * (x2[ok] - x[own]) + slope[own, 1] * (y2[ok] - y[own])
                 np.add.at(total, (y2 * px + x2)[ok], given)
-                np.add.at(n, (y2 * px + x2)[ok], 1)
-    return (total / np.maximum(n, 1)).reshape(px, px)
+                np.add.at(taken, (y2 * px + x2)[ok], 1)
+    return (total / np.maximum(taken, 1)).reshape(px, px)
 
 
 def stitched(z: np.ndarray, level: float) -> list[np.ndarray]:

@@ -254,22 +254,22 @@ query("utm_round_trip", "SELECT p_partkey, round(24 + (p_partkey % 60) / 10.0::D
 def terrain(s: SparkSession, d: str) -> DataFrame:
     """(tile_id, yi, xi, dem, returns, intensity): all three layers interpolated from ground and water points and smoothed;
     returns and intensity normalised by tile."""
-    p = B.points(s, d).filter("classification in (2, 9)").join(B.tiles(s, d), "tile_id")
+    p = B.points(s, d).filter("classification in (2, 9)").join(F.broadcast(B.tiles(s, d)), "tile_id")
     p = p.select("tile_id", ((F.col("x") - F.col("tl_x")) / 0.5).alias("cx"), ((F.col("tl_y") - F.col("y")) / 0.5).alias("cy"), "z", F.col("return_number").cast("double").alias("returns"), "intensity")
 
     def run(pdf):
-        pdf = pdf.sort_values(["cx", "cy", "z"])
+        pdf = pdf.sort_values(["cx", "cy", "z", "returns", "intensity"])
         sites = pdf["cx"].to_numpy(), pdf["cy"].to_numpy()
         tile, out = int(pdf["tile_id"].iloc[0]), None
         for name, column in (("dem", "z"), ("returns", "returns"), ("intensity", "intensity")):
-            z = N.smoothed(N.discrete_sibson(*sites, pdf[column].to_numpy(), B.PX), 15, 7, 5)
+            z = N.smoothed(N.discrete_sibson(*sites, pdf[column].to_numpy(), B.PX, n=int(pdf["n"].iloc[0])), 15, 7, 5)
             cells = N.as_cells(tile, z, name)
             out = cells if out is None else out.assign(**{name: cells[name]})
         for name in ("returns", "intensity"):
             out[name] = (out[name] - out[name].min()) / out[name].max()
         return out
 
-    return p.groupBy("tile_id").applyInPandas(run, "tile_id int, yi int, xi int, dem double, returns double, intensity double")
+    return N.nearest_sites(p, ["z", "returns", "intensity"], B.PX).groupBy("tile_id").applyInPandas(run, "tile_id int, yi int, xi int, dem double, returns double, intensity double")
 
 
 query("terrain_layers")(lambda s, d: terrain(s, d).select(*R.KEY, r4("dem"), r4("returns"), r4("intensity")))

@@ -1,5 +1,7 @@
 """What keeps the work of large tables bounded: steps that are done once, groups that stay small, and the same results."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,28 @@ def test_blocks_of_a_grid_that_they_do_not_divide(spark):
     assert set(got) == {(t, y, x) for t in (0, 1) for y in range(10) for x in range(10)}
     want = lambda y, x: 3.0 if y < 8 and x < 8 else 8.0 if y < 8 else 14 / 3
     assert all(got[0, y, x] == want(y, x) and got[1, y, x] is None for y in range(10) for x in range(10))
+
+
+@pytest.mark.parametrize("n", [60, 5000])
+def test_sites_of_a_tile_are_few_and_enough(spark, monkeypatch, n):
+    from groundline.operators import kernels as N
+
+    monkeypatch.setattr(N, "HELD", 100)
+    rng, px = np.random.default_rng(n), 12
+    places = np.round(rng.random((n, 2)) * (px if n > 1000 else px / 3) - 0.5, 1)  # with ties and, where few, an empty corner
+    rows = [(t, float(x), float(y), float(v)) for t in (0, 1) for (x, y), v in zip(places, rng.random(n), strict=True)]
+    kept = N.nearest_sites(spark.createDataFrame(rows, "tile_id int, cx double, cy double, z double").repartition(5), ["z"], px).toPandas()
+    for tile in (0, 1):
+        all_of = pd.DataFrame([r for r in rows if r[0] == tile], columns=["tile_id", "cx", "cy", "z"]).sort_values(["cx", "cy", "z"])
+        few = kept[kept.tile_id == tile].sort_values(["cx", "cy", "z"])
+        assert len(few) <= min(n, 2 * px * px) and set(few["n"]) == {n}
+        want, got = (N.discrete_sibson(*(p[c].to_numpy() for c in ("cx", "cy", "z")), px, n=n) for p in (all_of, few))
+        assert np.array_equal(want, got)
+
+
+def test_tiles_get_the_sites_they_need(spark):
+    from groundline.plans import features as Q
+
+    for name in ("natural_neighbour_dem", "terrain_layers", "contours_stitched"):
+        plan = _plan(Q.QUERIES[name](spark, SMALL))
+        assert "SortMergeJoin" not in plan and plan.count("MapInArrow") == 2
