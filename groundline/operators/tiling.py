@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from groundline.operators.stats import among_least
 from groundline.params import CELL, MIN_MARGIN, TILE_SIZE
 from groundline.session import checkpointed
 
@@ -128,6 +129,7 @@ def corner_ghosts(points: DataFrame, tiles: DataFrame, k: int = 4) -> DataFrame:
     corners = F.array(*[F.struct(F.lit(i).alias("corner"), F.col(x).alias("gx"), F.col(y).alias("gy")) for i, (x, y) in enumerate([("min_x", "min_y"), ("max_x", "min_y"), ("max_x", "max_y"), ("min_x", "max_y")])])
     c = tiles.select("tile_id", F.explode(corners).alias("c")).select("tile_id", "c.*")
     d2 = (F.col("x") - F.col("gx")) * (F.col("x") - F.col("gx")) + (F.col("y") - F.col("gy")) * (F.col("y") - F.col("gy"))
-    near = points.join(c, "tile_id").withColumn("d2", F.greatest(d2, F.lit(2.220446049250313e-16)))
+    near = points.join(F.broadcast(c), "tile_id").withColumn("d2", F.greatest(d2, F.lit(2.220446049250313e-16)))
+    near = among_least(near.select("tile_id", "corner", "gx", "gy", "d2", "x", "y", "z"), ["tile_id", "corner"], "d2", k)
     near = near.withColumn("rank", F.row_number().over(Window.partitionBy("tile_id", "corner").orderBy("d2", "x", "y", "z"))).filter(F.col("rank") <= k)
     return near.groupBy("tile_id", "corner", "gx", "gy").agg((F.sum(F.col("z") / F.col("d2")) / F.sum(1 / F.col("d2"))).alias("z"))

@@ -91,3 +91,23 @@ def test_tiles_get_the_sites_they_need(spark):
     for name in ("natural_neighbour_dem", "terrain_layers", "contours_stitched"):
         plan = _plan(Q.QUERIES[name](spark, SMALL))
         assert "SortMergeJoin" not in plan and plan.count("MapInArrow") == 2
+
+
+def test_few_rows_can_be_among_the_least(spark):
+    from groundline.operators.stats import among_least
+
+    rng = np.random.default_rng(5)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 6000), rng.integers(0, 900, 6000), strict=True)] + [(None, 7.0), (None, None), (9, 3.0), (9, 1.0), (0, None)]
+    got = among_least(spark.createDataFrame(rows, "k int, v double").repartition(5), ["k"], "v", 4).toPandas()
+    for key in (0, 1, 2):
+        all_of = sorted(v for k, v in rows if k == key and v is not None)
+        mine = sorted(got[(got.k == key) & got.v.notna()].v)
+        assert mine[:4] == all_of[:4] and mine == [v for v in all_of if v <= mine[-1]] and len(mine) < 100
+    assert len(got[got.k.isna()]) == 2 and sorted(got[got.k == 9].v) == [1, 3] and got[got.k == 0].v.isna().sum() == 1
+
+
+def test_ghosts_of_corners_come_from_few_points(spark):
+    from groundline.plans import contract as B
+
+    plan = _plan(B.QUERIES["corner_ghosts_idw"](spark, SMALL))
+    assert "SortMergeJoin" not in plan and "_bound" in plan
