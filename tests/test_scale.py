@@ -111,3 +111,16 @@ def test_ghosts_of_corners_come_from_few_points(spark):
 
     plan = _plan(B.QUERIES["corner_ghosts_idw"](spark, SMALL))
     assert "SortMergeJoin" not in plan and "_bound" in plan
+
+
+def test_first_points_are_found_without_sorting_a_file(spark):
+    from groundline.operators import stats as S
+
+    order = ["a", "b"]
+    rows = [(f, int(a), int(b), float((a * 7919 + b) % 997)) for f in (0, 1) for a in range(40) for b in range(50 if f else 3)]
+    points = spark.createDataFrame(rows, "file_id int, a int, b int, intensity double").repartition(7)
+    for r in S.intensity_stats(points, order, 300).collect():
+        first = [v for f, *_, v in sorted(rows) if f == r["file_id"]][:300]
+        after = [v for k, v in enumerate(first) if k and v >= min(first[:k])]
+        assert (r["min_intensity"], r["max_intensity"]) == (min(first), max(after)) and r["mean_intensity"] == pytest.approx(np.mean(first)) and r["std_intensity"] == pytest.approx(np.std(first))
+    assert "_bound" in _plan(S.intensity_stats(points, order, 300))
