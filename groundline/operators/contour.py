@@ -149,16 +149,18 @@ def substring(lines: DataFrame, start: Column, end: Column, line: str = "line")
 def end_matches(lines: DataFrame, delta: float) -> DataFrame:
     """(start_id, end_id, d2): for each line's start the nearest line end of the same elevation within delta.
 
-    Both are dealt to buckets of the size of delta; a start looks into the nine buckets around it.
+    Both are dealt to buckets of the size of delta; a start looks into the nine buckets around it. Tips at one place are one
+    row, an end's with its least id, so pairs grow with the places that are within delta of each other, not with the lines.
     """
     b = lambda v: F.floor(v / delta)
-    ends = lines.select("elevation", F.col("line_id").alias("end_id"), F.element_at("line", -1).alias("p")).select("elevation", "end_id", F.col("p.x").alias("ex"), F.col("p.y").alias("ey"))
+    tips = lines.select("elevation", "line_id", F.element_at("line", 1).alias("p"), F.element_at("line", -1).alias("q"))
+    tips = tips.select("elevation", "line_id", F.col("p.x").alias("sx"), F.col("p.y").alias("sy"), F.col("q.x").alias("ex"), F.col("q.y").alias("ey"))
+    ends = tips.groupBy("elevation", "ex", "ey").agg(F.min("line_id").alias("end_id"))
     ends = ends.withColumn("bx", b(F.col("ex"))).withColumn("by", b(F.col("ey")))
     near = F.sequence(F.lit(-1), F.lit(1))
-    starts = lines.select("elevation", F.col("line_id").alias("start_id"), F.element_at("line", 1).alias("p")).select("elevation", "start_id", F.col("p.x").alias("sx"), F.col("p.y").alias("sy"), F.explode(near).alias("ox"))
-    starts = starts.withColumn("oy", F.explode(near)).withColumn("bx", b(F.col("sx")) + F.col("ox")).withColumn("by", b(F.col("sy")) + F.col("oy"))
+    places = tips.select("elevation", "sx", "sy").distinct().select("*", F.explode(near).alias("ox")).withColumn("oy", F.explode(near))
+    places = places.withColumn("bx", b(F.col("sx")) + F.col("ox")).withColumn("by", b(F.col("sy")) + F.col("oy"))
     d2 = (F.col("sx") - F.col("ex")) * (F.col("sx") - F.col("ex")) + (F.col("sy") - F.col("ey")) * (F.col("sy") - F.col("ey"))
-    m = starts.join(ends, ["elevation", "bx", "by"]).withColumn("d2", d2).filter(F.col("d2") <= delta * delta)
-    return m.groupBy("start_id").agg(F.min(F.struct("d2", "end_id")).alias("m")).select("start_id", "m.end_id", "m.d2")
-
-
+    m = places.join(ends, ["elevation", "bx", "by"]).withColumn("d2", d2).filter(F.col("d2") <= delta * delta)
+    m = m.groupBy("elevation", "sx", "sy").agg(F.min(F.struct("d2", "end_id")).alias("m"))
+    return tips.select("elevation", F.col("line_id").alias("start_id"), "sx", "sy").join(m, ["elevation", "sx", "sy"]).select("start_id", "m.end_id", "m.d2")

@@ -1,5 +1,7 @@
 """What keeps the work of large tables bounded: steps that are done once, groups that stay small, and the same results."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -124,3 +126,41 @@ def test_first_points_are_found_without_sorting_a_file(spark):
         after = [v for k, v in enumerate(first) if k and v >= min(first[:k])]
         assert (r["min_intensity"], r["max_intensity"]) == (min(first), max(after)) and r["mean_intensity"] == pytest.approx(np.mean(first)) and r["std_intensity"] == pytest.approx(np.std(first))
     assert "_bound" in _plan(S.intensity_stats(points, order, 300))
+
+
+def test_tips_at_one_place_are_paired_once(spark):
+    from groundline.operators import contour as C
+
+    rng = np.random.default_rng(6)
+    rows = [(k, int(rng.integers(0, 2)), [tuple(map(float, rng.integers(0, 6, 2))), (90.0, 90.0), tuple(map(float, rng.integers(0, 6, 2)))]) for k in range(1500)]
+    matched = C.end_matches(spark.createDataFrame(rows, "line_id long, elevation int, line array<struct<x:double,y:double>>"), 1.5)
+    want = {}
+    for k, level, (start, *_) in rows:
+        best = min(((start[0] - x) ** 2 + (start[1] - y) ** 2, i) for i, lv, (_, _, (x, y)) in rows if lv == level)
+        if best[0] <= 2.25:
+            want[k] = best
+    assert {r["start_id"]: (r["d2"], r["end_id"]) for r in matched.collect()} == want and len(want) > 1000
+    joined = max(int(m) for m in re.findall(r"number of output rows: ([\d,]+)", _metrics(matched)) or [0])
+    assert joined <= 2 * 1500
+
+
+def _metrics(df):
+    """How many rows each operator gave, as text."""
+    spark = df.sparkSession
+    df.collect()
+    plan, out = df._jdf.queryExecution().executedPlan(), []
+    plan = plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan
+
+    def visit(node):
+        m = node.metrics().get("numOutputRows")
+        if m.isDefined():
+            out.append(f"number of output rows: {m.get().value()}")
+        kids = node.children()
+        for k in range(kids.size()):
+            visit(kids.apply(k))
+        if "QueryStage" in node.nodeName():
+            visit(node.plan())
+
+    visit(plan)
+    assert spark and out
+    return "\n".join(out)
